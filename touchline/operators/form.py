@@ -67,6 +67,7 @@ def rolling_form(
     id_col: str = "ID",
     tie_break: Sequence[str] = ("KickoffTimeLocal",),
     block_rows: int = DEFAULT_BLOCK_ROWS,
+    rows_at_most: int | None = None,
 ) -> DataFrame:
     """Form over each team's previous ``window_rows`` rows, ordered by (date nulls last, id, kick-off).
 
@@ -75,6 +76,7 @@ def rolling_form(
 
     All six aggregates share one window, so one shuffle and one sort. A team with more than
     ``block_rows`` rows is cut into blocks that each bring along the rows just before them.
+    ``rows_at_most`` is an optional upper bound of the row count (see ``cut_into_blocks``).
     """
     extra = [c for c in tie_break if c in team_rows.columns]
     order = [
@@ -85,7 +87,7 @@ def rolling_form(
     ]
     # Rows without a team get no form, yet still have to be spread over tasks.
     keyed = team_rows.withColumn("_team", F.coalesce("Team", F.lit("")))
-    blocks = cut_into_blocks(keyed, ["_team"], date_col, id_col, block_rows)
+    blocks = cut_into_blocks(keyed, ["_team"], date_col, id_col, block_rows, rows_at_most)
     if blocks is None:
         return keyed.withColumns(_form(Window.partitionBy("_team").orderBy(*order), window_rows)).drop("_team")
     return (
@@ -126,7 +128,8 @@ def attach_form(
         *[F.max(F.when(at_home, F.col(c))).alias(f"Home_{c}") for c in FORM_COLUMNS],
         *[F.max(F.when(~at_home, F.col(c))).alias(f"Away_{c}") for c in FORM_COLUMNS],
     )
-    joined = matches.join(folded, [*id_cols, home, away], "left")
+    # Both sides have one row per match, so neither is ever worth broadcasting.
+    joined = matches.join(folded.hint("merge"), [*id_cols, home, away], "left")
     differences = {f"Diff_{c}": F.col(f"Home_{c}") - F.col(f"Away_{c}") for c in FORM_DIFFERENCES}
     form = [f"{side}_{c}" for side in ("Home", "Away") for c in FORM_COLUMNS]
     return joined.withColumns(differences).select(*matches.columns, *form, *differences)

@@ -55,12 +55,16 @@ def cut_into_blocks(
     time: str,
     tie: str,
     block_rows: int = DEFAULT_BLOCK_ROWS,
+    rows_at_most: int | None = None,
 ) -> Blocks | None:
     """Blocks for the order (time nulls last, tie), or None when every group fits one task.
 
-    The decision is one aggregation job over the group and time columns only.
+    The decision is one aggregation job over the group and time columns only; a caller that
+    already knows a small enough upper bound of the row count saves that job.
     ``groups`` must not be null.
     """
+    if rows_at_most is not None and rows_at_most <= block_rows:
+        return None
     keyed = df.withColumn("_day", _day_of(F.col(time)))
     keys = [*groups, "_day"]
     counts = keyed.groupBy(*keys).agg(F.count("*").alias("_n"), F.min(time).alias("_t0"), F.max(time).alias("_t1"))

@@ -6,7 +6,7 @@ import hashlib
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -52,6 +52,29 @@ def validate(df: DataFrame, rules: Sequence[ColumnRule], what: str = "Transforme
             raise ValueError(_mismatch(what, rule, present[rule.name]))
 
 
+def validation_report(df: DataFrame, rules: Sequence[ColumnRule]) -> DataFrame:
+    """One row per rule: presence, type match, nulls and values outside {0, 1} for boolean rules."""
+    present = {field.name: field.dataType for field in df.schema.fields}
+
+    def line(rule: ColumnRule) -> Column:
+        actual = present.get(rule.name)
+        known = actual is not None
+        flagged = known and needs_zero_one_check(actual, rule.data_type)
+        outside = F.count(F.when(~F.col(rule.name).isin(0, 1), 1)) if flagged else F.lit(0)
+        nulls = F.count("*") - F.count(rule.name) if known else F.count("*")
+        return F.struct(
+            F.lit(rule.name).alias("column_name"),
+            F.lit(rule.data_type).alias("data_type"),
+            F.lit(rule.required).alias("is_required"),
+            F.lit(known).alias("is_present"),
+            F.lit(known and type_matches(actual, rule.data_type)).alias("type_ok"),
+            nulls.alias("nulls"),
+            outside.cast("bigint").alias("outside_zero_one"),
+        )
+
+    return df.agg(F.array(*[line(r) for r in rules]).alias("report")).select(F.inline("report"))
+
+
 def _mismatch(what: str, rule: ColumnRule, actual: T.DataType) -> str:
     return (
         f"{what} has unexpected data type for column: {rule.name}. "
@@ -103,9 +126,14 @@ def text_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
 
 
-def as_number(column: str):
-    """Text as a double, null where it does not parse."""
-    return strip(column).try_cast("double")
+def as_number(column: str) -> Column:
+    """Text as a double, null where it does not parse.
+
+    ``NaN`` is no value, and the Java literal suffixes (``1d``, ``1f``) are no numbers.
+    """
+    text = strip(column)
+    value = F.when(~text.rlike("[0-9.][dDfF]$"), text.try_cast("double"))
+    return F.when(~F.isnan(value), value)
 
 
 def profile_text_columns(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

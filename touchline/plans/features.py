@@ -39,16 +39,22 @@ INTERNATIONAL = FeatureSet(with_tier=True, half_life_years=10.0)
 LEAGUE = FeatureSet(with_tier=False, half_life_years=5.0)
 
 
-def _with_form(
-    matches: DataFrame, teams: DataFrame, venues: DataFrame, features: FeatureSet, id_cols: tuple[str, ...], block_rows: int
-) -> DataFrame:
-    """Canonical matches with team attributes and form.
+def _canonical(matches: DataFrame, teams: DataFrame, venues: DataFrame) -> DataFrame:
+    """Matches between known teams at known venues.
 
     Names are filtered before form is computed: a match at an unknown venue is no history.
     """
-    known = keep_canonical_venues(keep_canonical_teams(without_columns(matches, *AUDIT_COLUMNS), teams), venues)
+    return keep_canonical_venues(keep_canonical_teams(without_columns(matches, *AUDIT_COLUMNS), teams), venues)
+
+
+def _with_form(
+    known: DataFrame, teams: DataFrame, features: FeatureSet, id_cols: tuple[str, ...], block_rows: int, matches: int
+) -> DataFrame:
+    """Team attributes and form on canonical matches, of which there are at most ``matches``."""
     long = to_team_rows(known, context=[*id_cols[1:], "KickoffTimeLocal"])
-    form = rolling_form(long, FORM_WINDOW, tie_break=("KickoffTimeLocal",), block_rows=block_rows)
+    form = rolling_form(
+        long, FORM_WINDOW, tie_break=("KickoffTimeLocal",), block_rows=block_rows, rows_at_most=2 * matches
+    )
     return attach_form(add_team_features(known, teams, features.with_tier), form, id_cols)
 
 
@@ -63,12 +69,10 @@ def results_model_ready(
 
     Draws still count for form and for the newest date; they leave with the targets.
     """
-    with_form = _with_form(results, teams, venues, features, ("ID",), block_rows)
-    played = drop_null_rows(with_form, SCORES)
+    known = _canonical(results, teams, venues)
+    played = drop_null_rows(_with_form(known, teams, features, ("ID",), block_rows, results.count()), SCORES)
     # The newest date comes from the filtered matches: same rows, none of the form work.
-    reference = latest_date(
-        drop_null_rows(keep_canonical_venues(keep_canonical_teams(results, teams), venues), SCORES), "MatchDate"
-    )
+    reference = latest_date(drop_null_rows(known, SCORES), "MatchDate")
     weighted = add_time_decay(played, "MatchDate", features.half_life_years, reference)
     final = without_columns(add_targets(weighted), *SCORES)
     return final.withColumn("MatchDate", midnight(timestamp_of(final, "MatchDate")))
@@ -86,9 +90,9 @@ def fixtures_model_ready(
 
     Fixtures are picked out last, after they took part in the ordering.
     """
-    everything = union_fixtures(fixtures, results, SOURCE)
-    with_form = _with_form(everything, teams, venues, features, ("ID", SOURCE), block_rows)
-    reference = latest_date(keep_canonical_venues(keep_canonical_teams(everything, teams), venues), "MatchDate")
-    weighted = add_time_decay(with_form, "MatchDate", features.half_life_years, reference)
+    known = _canonical(union_fixtures(fixtures, results, SOURCE), teams, venues)
+    matches = fixtures.count() + results.count()
+    with_form = _with_form(known, teams, features, ("ID", SOURCE), block_rows, matches)
+    weighted = add_time_decay(with_form, "MatchDate", features.half_life_years, latest_date(known, "MatchDate"))
     final = keep_timed(without_columns(weighted, *SCORES, SOURCE), "KickoffTimeLocal")
     return final.withColumn("MatchDate", midnight(timestamp_of(final, "MatchDate")))

@@ -15,16 +15,20 @@ def snapshot_path(root: str, kind: str, provider: str, dataset: str) -> str:
     return f"{root.rstrip('/')}/{kind}/{provider}/{dataset}"
 
 
+# CSV as other tools write and read it: quotes doubled, padding kept, blank means null.
+_FORMAT = {
+    "header": True,
+    "escape": '"',
+    "ignoreLeadingWhiteSpace": False,
+    "ignoreTrailingWhiteSpace": False,
+    "emptyValue": "",
+}
+
+
 def write_snapshot(df: DataFrame, root: str, kind: str, provider: str, dataset: str) -> str:
     """Write the frame as header CSV, replacing an earlier snapshot of the same dataset."""
     path = snapshot_path(root, kind, provider, dataset)
-    (
-        df.write.mode("overwrite")
-        .option("header", True)
-        .option("escape", '"')
-        .option("emptyValue", "")
-        .csv(path)
-    )
+    df.write.mode("overwrite").options(**_FORMAT).csv(path)
     return path
 
 
@@ -33,13 +37,16 @@ def schema_from_rules(rules: Sequence[ColumnRule]) -> T.StructType:
     return T.StructType([T.StructField(r.name, spark_type(r.data_type), not r.required) for r in rules])
 
 
-def read_snapshot(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+def read_snapshot(
+    spark: SparkSession, path: str, schema: T.StructType | None = None, multi_line: bool = True
+) -> DataFrame:
     """Read a snapshot. With a schema there is one pass; without, types are inferred first.
 
     The schema is matched to the header by name, so columns may come in any order and extra
-    columns of the file are not read.
+    columns of the file are not read. ``multi_line`` allows line breaks inside quotes; a large
+    single file without any is read in parallel pieces when it is switched off.
     """
-    reader = spark.read.option("header", True).option("escape", '"').option("multiLine", True)
+    reader = spark.read.options(**_FORMAT, multiLine=multi_line)
     if schema is None:
         return reader.option("inferSchema", True).csv(path)
     header = reader.csv(path).columns
