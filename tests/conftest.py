@@ -13,11 +13,11 @@ def spark(tmp_path_factory):
     root = tmp_path_factory.mktemp("spark")
     session = build_session(
         "tests",
-        "local[4]",
+        "local[8]",
         **{
             "spark.ui.enabled": "false",
             "spark.ui.showConsoleProgress": "false",
-            "spark.sql.shuffle.partitions": "4",
+            "spark.sql.shuffle.partitions": "2",
             "spark.sql.warehouse.dir": str(root / "warehouse"),
             "spark.checkpoint.dir": str(root / "checkpoints"),
         },

@@ -149,7 +149,7 @@ def profile_text_columns(df: DataFrame, columns: Sequence[str] | None = None) ->
             F.count("*").alias("rows"),
             F.count(name).alias("non_null"),
             F.count(as_number(name)).alias("numeric"),
-            F.approx_count_distinct(name, 0.01).alias("distinct_estimate"),
+            F.approx_count_distinct(name).alias("distinct_estimate"),
         )
         for name in names
     ]

@@ -8,24 +8,36 @@ from typing import Any
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from touchline.operators.quality import ColumnRule, validate_source, validate_target
 from touchline.plans import cleaning, features
 from touchline.plans.ledger import (
     FAILED,
+    INGESTED,
     RUNNING,
-    STARTED,
     SUCCEEDED,
     current_state,
     plan_events,
     roll_up,
     transition,
+    with_status,
     work_plan,
 )
+from touchline.session import ensure_checkpoint_dir
 from touchline.sources.catalog import catalog_columns, column_rules
 from touchline.sources.snapshots import read_snapshot, schema_from_rules
-from touchline.sources.tables import active_venues, append_rows, read_table, replace_rows, scope_to_batch, truncate_table
+from touchline.sources.tables import (
+    active_venues,
+    append_rows,
+    create_table,
+    read_table,
+    replace_rows,
+    scope_to_batch,
+    truncate_table,
+)
 
+HISTORY_SCHEMA = "id string, status string, error_message string, at timestamp, step int"
 APPEND, TRUNCATE_FIRST, REPLACE = "append", "truncate first", "replace after validation"
 
 
@@ -153,33 +165,40 @@ def run_job(spark: SparkSession, event: Row | dict[str, Any], names: Tables = Ta
 
 
 def run_batch(spark: SparkSession, names: Tables = Tables()) -> DataFrame:
-    """Plan, record and run everything ingested but not yet processed; returns the batch outcome.
+    """Plan, record and run everything ingested but not yet processed; returns the batch outcomes.
 
-    A failed job is recorded and the others still run. Only plan rows reach the driver.
+    A failed job is recorded and the others still run. Only plan rows reach the driver. An
+    ingestion event with a recorded outcome is not planned again.
     """
-    ingested = spark.table(names.ingestion_events)
-    plan = work_plan(ingested, spark.table(names.mappings))
-    started = plan_events(plan)
-    append_rows(started, names.events, id_col="", stamp_col="")
-
-    recorded = current_state(spark.table(names.history), tie="step") if spark.catalog.tableExists(names.history) else None
-    events = spark.table(names.events)
-    if recorded is not None:
-        events = events.join(recorded.select("id"), "id", "left_anti")
-    queue = events.where(F.col("status") == STARTED).orderBy("execution_order", "pipeline_name", "id").collect()
-    for event in queue:
+    create_table(spark, names.history, T.StructType.fromDDL(HISTORY_SCHEMA))
+    ensure_checkpoint_dir(spark)
+    settled = spark.table(names.history).select("id")
+    ingested = spark.table(names.ingestion_events).join(settled, "id", "left_anti")
+    # Event ids are drawn per evaluation, so the plan is fixed before anything reads it.
+    events = plan_events(work_plan(ingested, spark.table(names.mappings))).checkpoint()
+    append_rows(events, names.events, id_col="", stamp_col="")
+    batches = with_status(ingested, INGESTED).checkpoint()
+
+    for event in events.orderBy("execution_order", "pipeline_name", "id").collect():
         _record(spark, names, event["id"], RUNNING, 1)
         try:
             run_job(spark, event, names)
             _record(spark, names, event["id"], SUCCEEDED, 2)
         except Exception as problem:  # recorded; the other jobs still run
             _record(spark, names, event["id"], FAILED, 2, str(problem))
-    if not queue:
-        return roll_up(ingested.where(F.lit(False)), spark.table(names.events))
-    state = current_state(spark.table(names.history), tie="step").select("id", "status", "error_message")
-    children = spark.table(names.events).drop("status", "error_message").join(state, "id")
-    batches = ingested.where(F.col("status") == "ingested").select("id", "batch_id", "integration_type", "integration_provider")
-    return roll_up(batches, children)
+
+    state = current_state(spark.table(names.history), tie="step").select("id", "status")
+    children = events.drop("status").join(state, "id")
+    outcome = roll_up(batches.select("id", "batch_id"), children).checkpoint()
+    settled_now = outcome.select(
+        "id",
+        F.col("batch_status").alias("status"),
+        "error_message",
+        F.current_timestamp().alias("at"),
+        F.lit(2).alias("step"),
+    )
+    append_rows(settled_now, names.history, id_col="", stamp_col="")
+    return outcome
 
 
 def _record(spark: SparkSession, names: Tables, event_id: str, status: str, step: int, error: str | None = None) -> None:
