@@ -84,6 +84,16 @@ def test_missing_parts_are_null(spark):
         assert row[name] is None, name
 
 
+def test_untidy_markup(spark):
+    text = page(game("A", "B", "KO", 1))
+    text = text.replace("<body>", "<body><!-- <section class='games-list'> --><script>var t = '<section class=\"games-list\">';</script>")
+    text = text.replace('<div class="round">', "<div title=it's a>b class='x round y'>").replace('<img alt=" A "/>', "<IMG ALT='A > B' loose=>")
+    text = text.replace('<div class="game-time">', '<p>unclosed<div class=game-time data-x>').replace("</html>", '<div class="game-time" <b')
+    row = extract_games(pages_of(spark, text), "results", "feed").first().asDict()
+    assert (row["home_team"], row["away_team"], row["match_id"], row["state"]) == ("A > B", "B", "1", "KO")
+    assert row["kickoff_time_local"] == "7:00pm"
+
+
 def test_first_page_wins(spark):
     first, later = page(game("A", "B", "KO", 9)), page(game("Z", "B", "KO", 9), game("C", "D", "KO", 10))
     out = scrape(pages_of(spark, first, later), "results", "feed", dates_of(spark, DAY))

@@ -22,6 +22,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 TODAY = dt.date(2024, 3, 15)
+SMALL_TABLE_ROWS = 5_000_000
 REPORT_DAY = dt.date(1998, 6, 1)
 
 
@@ -120,7 +121,10 @@ def url_param(spark, sf_dir):
 @query
 def extract_pages(spark, sf_dir):
     wanted = views.matches(spark, sf_dir).where("HomeScore > 25").select(F.col("MatchDate").cast("date").alias("day"))
-    return pages.extract_games(views.game_pages(spark, sf_dir), "fixtures", "feed", wanted).drop("pos")
+    # A small table is one file: without spreading, one core would parse it all.
+    small = views.table(spark, sf_dir, "orders").count() <= SMALL_TABLE_ROWS
+    tasks = spark.sparkContext.defaultParallelism if small else None
+    return pages.extract_games(views.game_pages(spark, sf_dir), "fixtures", "feed", wanted, tasks).drop("pos")
 
 
 @query

@@ -6,10 +6,11 @@ scores, links, filters and deduplication are Spark expressions on top of that.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
-from html.parser import HTMLParser
+from html import unescape
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -55,140 +56,179 @@ GAME_FIELDS = (
     "away_score",
     "match_link",
 )
+_RAW_FIELDS = pa.schema(
+    [("page_id", pa.int64()), ("pos", pa.int32()), *[(name, pa.string()) for name in ("header_date", *GAME_FIELDS)]]
+)
 _RAW_SCHEMA = "page_id bigint, pos int, header_date string, " + ", ".join(f"`{f}` string" for f in GAME_FIELDS)
 
 
-class _Node:
-    __slots__ = ("tag", "attrs", "children", "parent")
-
-    def __init__(self, tag: str, attrs: dict[str, str | None], parent: _Node | None) -> None:
-        self.tag, self.attrs, self.parent = tag, attrs, parent
-        self.children: list[_Node | str] = []
-
-    def elements(self) -> Iterator[_Node]:
-        return (c for c in self.children if isinstance(c, _Node))
-
-    def descendants(self) -> Iterator[_Node]:
-        for child in self.elements():
-            yield child
-            yield from child.descendants()
-
-    def is_a(self, tag: str, css: str) -> bool:
-        """Tag plus class. One word may be any of the classes; several must be the whole attribute."""
-        if self.tag != tag:
-            return False
-        value = self.attrs.get("class") or ""
-        return css == value if " " in css else css in value.split()
-
-    def first(self, tag: str, css: str) -> _Node | None:
-        return next((n for n in self.descendants() if n.is_a(tag, css)), None)
-
-    def text(self) -> str:
-        parts = []
-        for child in self.children:
-            parts.append(child.strip() if isinstance(child, str) else child.text())
-        return "".join(parts)
-
-
-class _TreeBuilder(HTMLParser):
-    """Element tree of one page; an end tag closes up to its nearest open start tag."""
-
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.root = self.at = _Node("", {}, None)
-
-    def handle_starttag(self, tag, attrs):
-        node = _Node(tag, dict(attrs), self.at)
-        self.at.children.append(node)
-        if tag not in VOID_ELEMENTS:
-            self.at = node
-
-    def handle_startendtag(self, tag, attrs):
-        self.at.children.append(_Node(tag, dict(attrs), self.at))
-
-    def handle_endtag(self, tag):
-        node = self.at
-        while node.parent is not None and node.tag != tag:
-            node = node.parent
-        if node.parent is not None:
-            self.at = node.parent
-
-    def handle_data(self, data):
-        self.at.children.append(data)
+# One token of markup. Quotes count only in attribute values; possessive quantifiers keep
+# malformed pages linear. Groups: raw = script or style, end, start, attributes.
+_TOKEN = re.compile(
+    r"""<!--.*?(?:-->|\Z) | <[!?][^>]*+>
+      | <(?P<raw>script|style)\b[^>]*+>.*?</(?P=raw)\s*+>
+      | </(?P<end>[a-z][^\s/>]*+)[^>]*+>
+      | <(?P<start>[a-z][^\s/>]*+)
+         (?P<attributes>(?:[^\s>/=]++(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+))?+|[\s/=]++)*+)>
+    """,
+    re.IGNORECASE | re.DOTALL | re.VERBOSE,
+)
+_ATTRIBUTE = re.compile(r"""([^\s>/=]++)\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>"'][^\s>]*+))""")
 
 
-def _text_of(node: _Node | None) -> str | None:
-    return None if node is None else node.text()
+class _Outline:
+    """Elements of a page in document order.
 
+    An element's descendants are the elements from its own place up to ``end``, so looking
+    inside it is a slice. An end tag closes up to its nearest open start tag.
+    """
 
-def _logo_name(game: _Node, side: str) -> str | None:
-    for box in game.descendants():
-        if box.is_a("div", "logo") and box.is_a("div", side):
-            image = next((n for n in box.descendants() if n.tag == "img"), None)
-            if image is not None:
-                return image.attrs.get("alt") or None
+    def __init__(self, html: str) -> None:
+        self.tags: list[str] = []
+        self.attributes: list[dict[str, str]] = []
+        self.classes: list[str] = []
+        self.parents: list[int] = []
+        self.ends: list[int] = []
+        self.pieces: list[str] = []
+        self.text_spans: list[list[int]] = []
+        self._open: list[int] = []
+        read = 0
+        for token in _TOKEN.finditer(html):
+            self._add_text(html[read : token.start()])
+            read = token.end()
+            if token["start"]:
+                self._start(token["start"].lower(), token["attributes"])
+            elif token["end"]:
+                self._end(token["end"].lower())
+        self._add_text(html[read:])
+        self._close_down_to(0)
+
+    def _add_text(self, text: str) -> None:
+        text = text.strip()
+        if text:
+            self.pieces.append(unescape(text).strip())
+
+    def _start(self, tag: str, source: str) -> None:
+        place, start = len(self.tags), len(self.pieces)
+        attributes = {}
+        for name, double, single, bare in _ATTRIBUTE.findall(source):
+            attributes[name.lower()] = unescape(double or single or bare)
+        self.tags.append(tag)
+        self.attributes.append(attributes)
+        self.classes.append(attributes.get("class", ""))
+        self.parents.append(self._open[-1] if self._open else -1)
+        self.ends.append(place + 1)
+        self.text_spans.append([start, start])
+        if tag not in VOID_ELEMENTS and not source.endswith("/"):
+            self._open.append(place)
+
+    def _end(self, tag: str) -> None:
+        for depth in range(len(self._open) - 1, -1, -1):
+            if self.tags[self._open[depth]] == tag:
+                self._close_down_to(depth)
+                return
+
+    def _close_down_to(self, depth: int) -> None:
+        while len(self._open) > depth:
+            place = self._open.pop()
+            self.ends[place] = len(self.tags)
+            self.text_spans[place][1] = len(self.pieces)
+
+    def inside(self, place: int, tag: str, css: str | None = None) -> Iterator[int]:
+        """Descendants by tag and class. One word may be any class; several are the whole attribute."""
+        for at in range(place + 1, self.ends[place]):
+            if self.tags[at] == tag and (css is None or self.has_class(at, css)):
+                yield at
+
+    def has_class(self, place: int, css: str) -> bool:
+        value = self.classes[place]
+        return value == css or (" " not in css and css in value.split())
+
+    def children(self, place: int, tag: str, css: str) -> Iterator[int]:
+        return (at for at in self.inside(place, tag, css) if self.parents[at] == place)
+
+    def first(self, place: int | None, tag: str, css: str | None = None) -> int | None:
+        return None if place is None else next(self.inside(place, tag, css), None)
+
+    def text(self, place: int | None) -> str | None:
+        return None if place is None else "".join(self.pieces[slice(*self.text_spans[place])])
+
+    def attribute(self, place: int | None, name: str) -> str | None:
+        return None if place is None else self.attributes[place].get(name)
+
+
+def _logo_name(page: _Outline, game: int, side: str) -> str | None:
+    for box in page.inside(game, "div", "logo"):
+        image = page.first(box, "img") if page.has_class(box, side) else None
+        if image is not None:
+            return page.attribute(image, "alt") or None
     return None
 
 
 def games_in_page(html: str) -> Iterator[dict[str, str | None]]:
     """Raw text fields of every game block of one page, in page order."""
-    builder = _TreeBuilder()
-    builder.feed(html)
-    builder.close()
-    section = builder.root.first("section", "games-list")
+    page = _Outline(html)
+    sections = (at for at, tag in enumerate(page.tags) if tag == "section" and page.has_class(at, "games-list"))
+    section = next(sections, None)
     if section is None:
         return
-    for item in (n for n in section.elements() if n.is_a("div", "games-list-item")):
-        header_date = _text_of(item.first("div", "date"))
+    for item in page.children(section, "div", "games-list-item"):
+        header_date = page.text(page.first(item, "div", "date"))
         if header_date is None:
             continue
-        for competition in (n for n in item.elements() if n.is_a("div", "comp")):
-            title = next((n for n in competition.descendants() if n.tag == "h2"), None)
-            games = competition.first("div", "games")
+        for competition in page.children(item, "div", "comp"):
+            games = page.first(competition, "div", "games")
             if games is None:
                 continue
-            for game in (n for n in games.descendants() if n.is_a("div", "game")):
-                when = game.first("div", "time")
-                link = game.first("a", "link-box")
+            shared = {
+                "header_date": header_date,
+                "competition_id": page.attribute(competition, "data-id"),
+                "competition_name": page.text(page.first(competition, "h2")),
+            }
+            for game in page.inside(games, "div", "game"):
+                when = page.first(game, "div", "time")
                 yield {
-                    "header_date": header_date,
-                    "competition_id": competition.attrs.get("data-id"),
-                    "competition_name": _text_of(title),
-                    "state": _text_of(when.first("div", "state")) if when else None,
-                    "venue": _text_of(when.first("div", "venue")) if when else None,
-                    "home_team": _logo_name(game, "home"),
-                    "away_team": _logo_name(game, "away"),
-                    "kickoff_time_local": _text_of(game.first("div", "game-time")),
-                    "round": _text_of(game.first("div", "round")),
-                    "live_note": _text_of(game.first("div", "live-note")),
-                    "home_score": _text_of(game.first("div", "score home")),
-                    "away_score": _text_of(game.first("div", "score away")),
-                    "match_link": (link.attrs.get("href") or None) if link else None,
+                    **shared,
+                    "state": page.text(page.first(when, "div", "state")),
+                    "venue": page.text(page.first(when, "div", "venue")),
+                    "home_team": _logo_name(page, game, "home"),
+                    "away_team": _logo_name(page, game, "away"),
+                    "kickoff_time_local": page.text(page.first(game, "div", "game-time")),
+                    "round": page.text(page.first(game, "div", "round")),
+                    "live_note": page.text(page.first(game, "div", "live-note")),
+                    "home_score": page.text(page.first(game, "div", "score home")),
+                    "away_score": page.text(page.first(game, "div", "score away")),
+                    "match_link": page.attribute(page.first(game, "a", "link-box"), "href") or None,
                 }
 
 
-def _parse_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    columns = ["page_id", "pos", "header_date", *GAME_FIELDS]
+def _parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = [
-            {"page_id": page_id, "pos": pos, **game}
-            for page_id, html in zip(batch["page_id"], batch["html"])
-            for pos, game in enumerate(games_in_page(html))
-        ]
-        yield pd.DataFrame(rows, columns=columns)
+        columns: dict[str, list] = {field.name: [] for field in _RAW_FIELDS}
+        for page_id, html in zip(batch["page_id"].to_pylist(), batch["html"].to_pylist()):
+            for pos, game in enumerate(games_in_page(html)):
+                for name, value in {"page_id": page_id, "pos": pos, **game}.items():
+                    columns[name].append(value)
+        yield pa.RecordBatch.from_pydict(columns, schema=_RAW_FIELDS)
 
 
-def extract_games(pages: DataFrame, kind: str, provider: str, dates: DataFrame | None = None) -> DataFrame:
+def extract_games(
+    pages: DataFrame, kind: str, provider: str, dates: DataFrame | None = None, tasks: int | None = None
+) -> DataFrame:
     """Scraped records of ``pages`` (page_id, html) with page_id and pos for ordering.
 
     kind      ``results`` or ``fixtures``; fixtures leave completed games out.
     dates     one date column; only games under these header dates are kept (all when None).
+    tasks     spread the parsing over this many tasks first. For an input in fewer files than
+              there are cores; otherwise the scan's own pieces are used and nothing is shuffled.
 
     Pages without a game list are dropped before Python sees them. Game blocks under an
     unreadable date header are skipped.
     """
     with_games = pages.where(F.col("html").contains("games-list")).select("page_id", "html")
-    raw = with_games.mapInPandas(_parse_batches, _RAW_SCHEMA)
+    if tasks:
+        with_games = with_games.repartition(tasks)
+    raw = with_games.mapInArrow(_parse_batches, _RAW_SCHEMA)
     # "Sun Dec 7, 2025": the weekday has to be there but does not take part in reading the date.
     header = F.regexp_extract(strip("header_date"), HEADER_DATE, 1)
     day = F.try_to_timestamp(F.regexp_replace(header, r"\s+", " "), F.lit("MMM d, yyyy")).cast("date")
