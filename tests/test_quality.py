@@ -33,12 +33,12 @@ def test_schema_hash():
         quality.schema_hash([])
 
 
-def test_schema_hashes(spark):
-    df = spark.createDataFrame([("t", "b"), ("t", "a"), ("u", "c")], "t string, c string")
-    assert dict(rows(quality.schema_hashes(df, "t", "c"))) == {
-        "t": quality.schema_hash(["a", "b"]),
-        "u": quality.schema_hash(["c"]),
-    }
+def test_schema_fingerprint(spark):
+    df = spark.createDataFrame([(["b", "a"],), (["c"],)], "names array<string>")
+    got = [r[0] for r in df.select(quality.schema_fingerprint(F.col("names"))).collect()]
+    assert got == [quality.schema_hash(["a", "b"]), quality.schema_hash(["c"])]
+    with pytest.raises(Exception, match="columns list cannot be empty"):
+        spark.createDataFrame([([],)], "names array<string>").select(quality.schema_fingerprint(F.col("names"))).collect()
 
 
 def test_require_columns(spark):

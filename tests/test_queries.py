@@ -39,6 +39,40 @@ def test_query(spark, db, name):
     assert rows_of(frame.columns, frame.collect()) == rows_of(columns, cursor.fetchall())
 
 
+@pytest.mark.parametrize("name", ["geo_lookup", "team_attrs", "rejected_names", "results_model_ready", "plan_expansion"])
+def test_without_any_broadcast(spark, db, name):
+    """Reference tables too large to broadcast take the sort-merge way to the same rows."""
+    switches = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    try:
+        for switch in switches:
+            spark.conf.set(switch, "-1")
+        frame = contract.queries()[name](spark, SF_DIR)
+        got = rows_of(frame.columns, frame.collect())
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" not in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
+    finally:
+        for switch in switches:
+            spark.conf.unset(switch)
+    cursor = db.execute(contract.oracle_sql()[name])
+    assert got == rows_of([d[0] for d in cursor.description], cursor.fetchall())
+
+
+@pytest.mark.parametrize("name", sorted(set(contract.queries()) - {"train_score", "auc"}))
+def test_plan(spark, name):
+    """No pair-emitting joins anywhere, and Python only where pages are parsed."""
+    plan = contract.queries()[name](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+    assert name == "extract_pages" or "Python" not in plan and "MapInArrow" not in plan
+
+
+def test_filters_reach_the_scan(spark):
+    frame = contract.queries()["table_scan_filter"](spark, SF_DIR)
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    assert "DataFilters: [isnotnull(o_totalprice" in plan
+    assert "PushedFilters: [IsNotNull(o_totalprice), IsNotNull(o_orderpriority), GreaterThan(o_totalprice" in plan
+    assert "ReadSchema: struct<o_orderkey:bigint,o_custkey:bigint,o_totalprice:double,o_orderpriority:string>" in plan
+
+
 def test_train_score(spark):
     out = contract.queries()["train_score"](spark, SF_DIR)
     assert out.columns == ["ID", "homewin_v1", "pointdiff_v1"]

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
 from touchline.functions.dates import decay_weight, timestamp_of
 from touchline.functions.windows import lagged_mean, lagged_sum
-from touchline.operators.ordering import DEFAULT_BLOCK_ROWS, cut_into_blocks, with_preceding_rows
+from touchline.operators.ordering import DEFAULT_BLOCK_ROWS, lagged
 
 FORM_MEANS = {
     "FormWinRate": "Win",
@@ -87,18 +87,20 @@ def rolling_form(
     ]
     # Rows without a team get no form, yet still have to be spread over tasks.
     keyed = team_rows.withColumn("_team", F.coalesce("Team", F.lit("")))
-    blocks = cut_into_blocks(keyed, ["_team"], date_col, id_col, block_rows, rows_at_most)
-    if blocks is None:
-        return keyed.withColumns(_form(Window.partitionBy("_team").orderBy(*order), window_rows)).drop("_team")
-    return (
-        with_preceding_rows(blocks, ["_team"], window_rows)
-        .withColumns(_form(Window.partitionBy("_team", "_block").orderBy(*order), window_rows))
-        .where("not _context")
-        .drop("_block", "_context", "_team")
-    )
+    return lagged(
+        keyed,
+        ["_team"],
+        date_col,
+        id_col,
+        order,
+        window_rows,
+        lambda ordered: _form(ordered, window_rows),
+        block_rows,
+        rows_at_most,
+    ).drop("_team")
 
 
-def _form(ordered, window_rows: int) -> dict[str, Column]:
+def _form(ordered: WindowSpec, window_rows: int) -> dict[str, Column]:
     played = (F.col("PointsFor").isNotNull() & F.col("PointsAgainst").isNotNull()).cast("long")
     form = {name: lagged_mean(source, ordered, window_rows) for name, source in FORM_MEANS.items()}
     form["FormGames"] = lagged_sum(played, ordered, window_rows)

@@ -14,10 +14,10 @@ The cuts only affect balance. The order, and so the result, is exact.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -127,6 +127,10 @@ def with_preceding_rows(blocks: Blocks, groups: Sequence[str], rows_back: int) -
 
     Whole cells are copied, and only into blocks that start fewer than ``rows_back`` rows
     after the cell ends, i.e. at most ``rows_back`` later blocks.
+
+    The rows look their blocks up by (group, day). Neighbouring slices of a day that go to the
+    same blocks are merged first, so this table has one row per group and day with a few
+    entries each, and is usually small enough for Spark to broadcast.
     """
     starts = blocks.cells.groupBy(*groups, "_block", "_block_start").agg(F.count("*").alias("_cells"))
     following = Window.partitionBy(*groups).orderBy("_block").rowsBetween(1, rows_back)
@@ -142,14 +146,51 @@ def with_preceding_rows(blocks: Blocks, groups: Sequence[str], rows_back: int) -
         F.filter("_later", lambda later_block: later_block["start"] - cell_end < rows_back),
         lambda later_block: later_block["block"],
     )
-    cells = blocks.cells.join(later, [*groups, "_block"]).select(
-        *blocks.cell_keys, F.col("_block").alias("_own"), F.concat(F.array("_block"), fed).alias("_targets")
+    day = [*groups, "_day"]
+    in_day = Window.partitionBy(*day).orderBy("_slice")
+    targets = F.struct(F.col("_block").alias("own"), F.concat(F.array("_block"), fed).alias("targets"))
+    runs = (
+        blocks.cells.join(later, [*groups, "_block"])
+        .select(*day, "_slice", targets.alias("_to"))
+        .withColumn("_previous", F.lag("_to").over(in_day))
+        .where(~F.col("_to").eqNullSafe(F.col("_previous")))
+        .groupBy(*day)
+        .agg(F.array_sort(F.collect_list(F.struct(F.col("_slice").alias("from"), F.col("_to").alias("to")))).alias("_runs"))
+    )
+    run = F.element_at(F.filter("_runs", lambda entry: entry["from"] <= F.col("_slice")), -1)
+    return (
+        blocks.rows.join(runs, day)
+        .withColumn("_run", run["to"])
+        .withColumn("_block", F.explode("_run.targets"))
+        .withColumn("_context", F.col("_block") != F.col("_run.own"))
+        .drop("_runs", "_run", "_day", "_slice")
     )
+
+
+def lagged(
+    df: DataFrame,
+    groups: Sequence[str],
+    time: str,
+    tie: str,
+    order: Sequence[Column],
+    rows_back: int,
+    aggregates: Callable[[WindowSpec], dict[str, Column]],
+    block_rows: int = DEFAULT_BLOCK_ROWS,
+    rows_at_most: int | None = None,
+) -> DataFrame:
+    """Window aggregates over frames that reach at most ``rows_back`` rows back, for groups of any size.
+
+    ``order`` must refine (time nulls last, tie). ``aggregates`` builds the columns for a given
+    ordered window, e.g. ``lambda w: {"m": lagged_mean("x", w, 10)}``. ``groups`` must not be null.
+    """
+    blocks = cut_into_blocks(df, groups, time, tie, block_rows, rows_at_most)
+    if blocks is None:
+        return df.withColumns(aggregates(Window.partitionBy(*groups).orderBy(*order)))
     return (
-        blocks.rows.join(cells, list(blocks.cell_keys))
-        .withColumn("_block", F.explode("_targets"))
-        .withColumn("_context", F.col("_block") != F.col("_own"))
-        .drop("_targets", "_own", "_day", "_slice")
+        with_preceding_rows(blocks, groups, rows_back)
+        .withColumns(aggregates(Window.partitionBy(*groups, "_block").orderBy(*order)))
+        .where("not _context")
+        .drop("_block", "_context")
     )
 
 

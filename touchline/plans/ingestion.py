@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from touchline.functions.dates import days_between
+from touchline.functions.dates import days_between, timestamp_of
 from touchline.sources.pages import scrape
 from touchline.sources.snapshots import write_snapshot
 
@@ -29,10 +29,9 @@ def high_water(
     status: str = "status",
     created: str = "created_at",
 ) -> DataFrame:
-    """Newest fetch per (provider, type); a feed without one is absent."""
-    return (
-        ledger.where(F.col(status).isin(*FETCHED_STATES)).groupBy(provider, kind).agg(F.max(created).alias("high_water"))
-    )
+    """Newest fetch per (provider, type); a feed without one is absent. Times may be text."""
+    newest = F.max(timestamp_of(ledger, created)).alias("high_water")
+    return ledger.where(F.col(status).isin(*FETCHED_STATES)).groupBy(provider, kind).agg(newest)
 
 
 def fetch_ranges(ledger: DataFrame, feeds: DataFrame, today: dt.date, bootstrap: dt.date = BOOTSTRAP) -> DataFrame:

@@ -395,8 +395,10 @@ ORACLE = {
                l_linestatus = 'F' AS is_required, CAST(l_linenumber AS BIGINT) AS ordinal_position
         FROM part JOIN lineitem ON p_partkey = l_partkey WHERE p_type = 'LARGE' AND p_brand = 'Brand#17'""",
     "schema_hash": """
-        SELECT l_orderkey, sha256(string_agg('col_' || l_partkey, '|' ORDER BY 'col_' || l_partkey)) AS schema_hash
-        FROM lineitem GROUP BY l_orderkey""",
+        SELECT l_orderkey, l_linenumber,
+               sha256(array_to_string(list_sort(['l_partkey_' || l_partkey, 'l_suppkey_' || l_suppkey,
+                                                 'l_returnflag_' || l_returnflag]), '|')) AS schema_hash
+        FROM lineitem""",
     "type_check": """
         WITH judged AS (SELECT * FROM orders LEFT JOIN labels ON o_orderkey = doc_id)
         SELECT 'o_orderkey' AS column_name, 'int' AS data_type, true AS is_required, true AS is_present, true AS type_ok,

@@ -5,13 +5,13 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from touchline.functions.dates import days_between, kickoff_timestamp, midnight, timestamp_of
 from touchline.functions.text import blank_to_null, contains_ignore_case, name_key, neutral_flag, query_parameter
 from touchline.functions.windows import lagged_mean, lagged_sum
-from touchline.operators import form, lookups, metrics, quality, rows
+from touchline.operators import form, lookups, metrics, ordering, quality, rows
 from touchline.operators.quality import ColumnRule
 from touchline.plans import cleaning, features, ingestion, ledger, modelling, report
 from touchline.queries import views
@@ -308,12 +308,16 @@ def lagged_windows(spark, sf_dir):
     """Rolling mean and sum of the previous three values per user, nulls skipped."""
     events = views.table(spark, sf_dir, "events")
     gaps = events.withColumn("amount", F.when(F.col("event_type") != "error", F.floor("value")))
-    ordered = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return gaps.select(
+    summed = ordering.lagged(
+        gaps,
+        ["user_id"],
+        "ts",
         "event_id",
-        lagged_mean("amount", ordered, 3).alias("mean_3"),
-        lagged_sum("amount", ordered, 3).alias("sum_3"),
+        [F.col("ts").asc_nulls_last(), F.col("event_id")],
+        3,
+        lambda w: {"mean_3": lagged_mean("amount", w, 3), "sum_3": lagged_sum("amount", w, 3)},
     )
+    return summed.select("event_id", "mean_3", "sum_3")
 
 
 @query
@@ -404,11 +408,10 @@ def schema_catalog(spark, sf_dir):
 
 @query
 def schema_hash(spark, sf_dir):
-    """Column fingerprint per order, reading its lines as columns."""
-    columns = views.table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", F.concat(F.lit("col_"), "l_partkey").alias("column_name")
-    )
-    return quality.schema_hashes(columns, "l_orderkey", "column_name")
+    """Column fingerprint of every order line, reading its values as column names."""
+    lines = views.table(spark, sf_dir, "lineitem")
+    names = F.array(*[F.concat(F.lit(f"{c}_"), F.col(c)) for c in ("l_partkey", "l_suppkey", "l_returnflag")])
+    return lines.select("l_orderkey", "l_linenumber", quality.schema_fingerprint(names).alias("schema_hash"))
 
 
 @query
