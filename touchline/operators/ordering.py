@@ -28,7 +28,7 @@ DEFAULT_BLOCK_ROWS = 4_000_000
 # A cell (day, or slice of a day) is at most about this share of a block, so that copying
 # the cells that precede a block stays cheap.
 CELLS_PER_BLOCK = 16
-SLICES_PER_DAY = 256
+MOST_SLICES_PER_DAY = 1024
 _LAST_DAY = 2_147_483_647  # nulls sort last
 
 
@@ -79,7 +79,8 @@ def cut_into_blocks(
 
     cell_rows = max(1, block_rows // CELLS_PER_BLOCK)
     if sizes["day_rows"] > cell_rows:
-        keyed = _slice_busy_days(keyed, keys, counts.where(F.col("_n") > cell_rows), time, tie)
+        slices = min(MOST_SLICES_PER_DAY, -(-sizes["day_rows"] // cell_rows))
+        keyed = _slice_busy_days(keyed, keys, counts.where(F.col("_n") > cell_rows), time, tie, slices)
         counts = keyed.groupBy(*keys, "_slice").agg(F.count("*").alias("_n"))
     else:
         keyed = keyed.withColumn("_slice", F.lit(0))
@@ -96,15 +97,17 @@ def cut_into_blocks(
     return Blocks(keyed, cells, (*keys, "_slice"))
 
 
-def _slice_busy_days(keyed: DataFrame, keys: list[str], busy: DataFrame, time: str, tie: str) -> DataFrame:
-    """Cut busy days at quantiles. The cut points are checkpointed: quantile sketches depend on
+def _slice_busy_days(
+    keyed: DataFrame, keys: list[str], busy: DataFrame, time: str, tie: str, slices: int
+) -> DataFrame:
+    """Cut busy days at quantiles, finely enough for the busiest. The cut points are checkpointed: quantile sketches depend on
     merge order, and both readers of the cuts must see the same ones."""
     ensure_checkpoint_dir(keyed.sparkSession)
     moment = F.unix_micros(F.col(time).cast("timestamp"))
     numeric_tie = isinstance(keyed.schema[tie].dataType, T.IntegralType)
     by_tie = F.col(tie).cast("long") if numeric_tie else F.lit(None).cast("long")
     one_time = busy.select(*keys, F.col("_t0").eqNullSafe(F.col("_t1")).alias("_one_time"))
-    shares = [i / SLICES_PER_DAY for i in range(1, SLICES_PER_DAY)]
+    shares = [i / slices for i in range(1, slices)]
     position = F.when(F.col("_one_time"), by_tie).otherwise(moment)
     cuts = (
         keyed.join(one_time, keys)
@@ -194,11 +197,18 @@ def lagged(
     )
 
 
-def global_rank(df: DataFrame, time: str, tie: str, rank: str, block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
+def global_rank(
+    df: DataFrame,
+    time: str,
+    tie: str,
+    rank: str,
+    block_rows: int = DEFAULT_BLOCK_ROWS,
+    rows_at_most: int | None = None,
+) -> DataFrame:
     """Add the exact 1-based position in the order (time nulls last, tie) over the whole frame."""
     single = df.withColumn("_all", F.lit(0))
     order = [F.col(time).asc_nulls_last(), F.col(tie)]
-    blocks = cut_into_blocks(single, ["_all"], time, tie, block_rows)
+    blocks = cut_into_blocks(single, ["_all"], time, tie, block_rows, rows_at_most)
     if blocks is None:
         return single.withColumn(rank, F.row_number().over(Window.partitionBy("_all").orderBy(*order))).drop("_all")
     in_block = Window.partitionBy("_all", "_block").orderBy(*order)
