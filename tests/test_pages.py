@@ -1,4 +1,7 @@
 import datetime as dt
+import os
+import subprocess
+import sys
 
 import pytest
 from conftest import rows
@@ -105,6 +108,27 @@ def test_null_ids_count_as_one_key(spark):
     assert rows(keep_first(df, "match_id", ["page_id"])) == [("x", 3), (None, 1)]
 
 
+def test_workers_need_no_installed_package(tmp_path):
+    """A session started elsewhere, with the package on the driver's path only."""
+    repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    html = page(game("A", "B", "KO", 1))
+    script = tmp_path / "elsewhere.py"
+    script.write_text(
+        f"""
+import sys
+sys.path.insert(0, {repo!r})
+from touchline.session import build_session
+from touchline.sources.pages import extract_games
+spark = build_session("elsewhere", "local[1]", **{{"spark.ui.enabled": "false"}})
+pages = spark.createDataFrame([(1, {html!r})], "page_id bigint, html string")
+print("teams", extract_games(pages, "results", "feed").select("home_team").first()[0])
+"""
+    )
+    clean = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, str(script)], cwd=tmp_path, env=clean, capture_output=True, text=True, timeout=240)
+    assert "teams A" in done.stdout, done.stderr[-2000:]
+
+
 def test_stream_takes_each_page_once(spark, tmp_path):
     folder, target, checkpoint = (str(tmp_path / n) for n in ("pages", "bronze", "checkpoint"))
     schema = "page_id bigint, url string, html string"

@@ -7,16 +7,21 @@ scores, links, filters and deduplication are Spark expressions on top of that.
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Iterator
 from html import unescape
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from touchline.functions.text import query_parameter, strip
 from touchline.operators.rows import exclude_completed, keep_first
 
+# The markup walk travels to the workers with the job: they need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # The scraped record layout, in order.
 SCRAPED_COLUMNS = (
     "provider",
