@@ -235,10 +235,12 @@ def fit_toxicity(
         whole = all(sizes.get((number, label)) for label in (0, 1))
         return vectors.where(F.col("part") == number) if whole else vectors
 
-    boosted = GBTClassifier(
-        featuresCol=f"{OWN}vector", labelCol="label", predictionCol=f"{OWN}class", probabilityCol=f"{OWN}probability",
-        rawPredictionCol=f"{OWN}raw", maxIter=trees, maxDepth=depth, minInstancesPerNode=3, stepSize=0.2, seed=7,
-    ).fit(part_of(1).coalesce(4))
+    booster = GBTClassifier(
+        featuresCol=f"{OWN}vector", labelCol="label", predictionCol=f"{OWN}class", maxIter=trees, maxDepth=depth,
+        minInstancesPerNode=3, stepSize=0.2, seed=7,
+    )
+    booster = booster.setProbabilityCol(f"{OWN}probability").setRawPredictionCol(f"{OWN}raw")
+    boosted = booster.fit(part_of(1).coalesce(4))
     scale = IsotonicRegression(featuresCol=f"{OWN}probability", labelCol="label", predictionCol=f"{OWN}level").fit(
         _raw_score(boosted, part_of(2))
     )
