@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchline.llm import line_dedup, ngram_jaccard, toxicity
+from touchline.llm import line_dedup, ngram_jaccard, packing, pii, toxicity
 from touchline.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,3 +38,15 @@ def op8_toxicity(spark, sf_dir):
 def op4_ngram_jaccard_join(spark, sf_dir):
     found = ngram_jaccard.jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
+
+
+@query
+def op6_pii(spark, sf_dir):
+    return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def op9_packing(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    pieces = packing.pack(docs, packing.json_ranks(packing.public_path("byte_bpe_50k.json")), end_id=1)
+    return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
