@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from touchline.llm import line_dedup, ngram_jaccard, packing, pii, toxicity
 from touchline.llm.common import table
 
@@ -50,3 +51,8 @@ def op9_packing(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     pieces = packing.pack(docs, packing.json_ranks(packing.public_path("byte_bpe_50k.json")), end_id=1)
     return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+@query
+def pipeline(spark, sf_dir):
+    return corpus_pipeline.run(spark, sf_dir)
