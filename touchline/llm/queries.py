@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from touchline.llm import line_dedup, ngram_jaccard, packing, pii, toxicity
+from touchline.llm import bpe, bpe_codec, line_dedup, ngram_jaccard, packing, pii, toxicity
 from touchline.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,6 +35,18 @@ def op8_toxicity(spark, sf_dir):
     return model.score(docs).select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
+@query
+def op3_bpe(spark, sf_dir):
+    ranks = bpe.rank_file(bpe.public_path("byte_bpe_multi_50k.tiktoken"))
+    coded = bpe_codec.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), ranks)
+    return coded.select(
+        F.col("id").alias("doc_id"),
+        F.size("ids").cast("long").alias("n_tokens"),
+        bpe_codec.ids_sha256("ids").alias("ids_sha256"),
+        F.sha2(bpe_codec.decode(spark, F.col("ids"), ranks), 256).alias("decoded_sha256"),
+    )
+
+
 @query
 def op4_ngram_jaccard_join(spark, sf_dir):
     found = ngram_jaccard.jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
