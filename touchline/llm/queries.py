@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from touchline.llm import bpe, bpe_codec, line_dedup, ngram_jaccard, packing, pii, toxicity
+from touchline.llm import bpe, bpe_codec, language_id, line_dedup, ngram_jaccard, packing, pii, toxicity
 from touchline.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,6 +35,15 @@ def op8_toxicity(spark, sf_dir):
     return model.score(docs).select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
+@query
+def op2_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
+    profiles = language_id.learn_profiles(docs.where(~held_out))
+    found = language_id.identify(docs.select("doc_id", "text"), profiles)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 @query
 def op3_bpe(spark, sf_dir):
     ranks = bpe.rank_file(bpe.public_path("byte_bpe_multi_50k.tiktoken"))
