@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from touchline.llm import bpe, bpe_codec, language_id, line_dedup, ngram_jaccard, packing, pii, toxicity
+from touchline.llm import bpe, bpe_codec, hilbert_search, language_id, line_dedup, ngram_jaccard, packing, pii, toxicity
 from touchline.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -74,6 +74,12 @@ def op9_packing(spark, sf_dir):
     return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+@query
+def op10_nearest_neighbours(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return hilbert_search.search(vectors, vectors.where("vec_id % 20 = 0"), 20)
+
+
 @query
 def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
