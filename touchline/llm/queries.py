@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from touchline.llm import bpe, bpe_codec, hilbert_search, language_id, line_dedup, ngram_jaccard, packing, pii, toxicity
+from touchline.llm import bpe, bpe_codec, embedding_dedup, hilbert_search, language_id, line_dedup, ngram_jaccard, packing, pii, toxicity
 from touchline.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +27,12 @@ def op1_line_dedup(spark, sf_dir):
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+@query
+def op7_embedding_near_dedup(spark, sf_dir):
+    found = embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return found.withColumnRenamed("id", "vec_id")
+
+
 @query
 def op8_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
