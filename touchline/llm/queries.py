@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from touchline.llm import bpe, bpe_codec, embedding_dedup, hilbert_search, language_id, line_dedup, ngram_jaccard, packing, pii, toxicity
+from touchline.llm import bpe, bpe_codec, embedding_dedup, hilbert_search, language_id, line_dedup, ngram_jaccard, packing, pii, quality, toxicity
 from touchline.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,6 +68,14 @@ def op4_ngram_jaccard_join(spark, sf_dir):
     return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
 
 
+@query
+def op5_quality(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    model = quality.fit_quality(docs, table(spark, sf_dir, "labels").where(~held_out))
+    return model.score(docs).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 @query
 def op6_pii(spark, sf_dir):
     return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
