@@ -36,6 +36,8 @@ CLAIM, MEMBER, OPEN = 1, 0, 2
 TILE_ROWS = 2048
 NEAREST = 3
 CACHED_WORDS = 300_000
+# Most rows of ids that are broadcast: at some 40 bytes a row, 20 MB. More are joined by shuffle.
+BROADCAST_ROWS = 500_000
 
 _STEP = 0x9E3779B97F4A7C15
 _M2, _M3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -140,7 +142,7 @@ def _sketches(rule: Rule) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
         starts = rule.bands(1)
         for batch in batches:
             for piece in value_slices(batch):
-                out: dict[str, list] = {"n": [], "f1": [], "f2": [], "meets": []}
+                out: dict[str, list] = {"n": [], "f1": [], "f2": [], "keys": [], "sketches": []}
                 for text in bytes_of(piece.column(1)):
                     shingles = shingle_set(text, rule.width, hashes)
                     n = len(shingles)
@@ -149,20 +151,24 @@ def _sketches(rule: Rule) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
                     for name, salt in (("f1", 5), ("f2", 6)):
                         out[name].append(int(np.bitwise_xor.reduce(_mix(shingles, salt)).view(np.int64)) if n else 0)
                     out["n"].append(n)
-                    out["meets"].append(_meetings(rule, starts, shingles) if n else [])
+                    meetings = _meetings(rule, starts, shingles) if n else []
+                    for name in ("keys", "sketches"):
+                        out[name].append([{"place": m["place"], name: m[name]} for m in meetings])
                 yield pa.RecordBatch.from_arrays(
                     [
                         piece.column(0),
                         *(pa.array(out[k], pa.int64()) for k in ("n", "f1", "f2")),
-                        pa.array(out["meets"], _MEETS),
+                        pa.array(out["keys"], _meets("keys", pa.list_(pa.int64()))),
+                        pa.array(out["sketches"], _meets("sketches", pa.binary())),
                     ],
-                    names=["id", "n", "f1", "f2", "meets"],
+                    names=["id", "n", "f1", "f2", "keys", "sketches"],
                 )
 
     return run
 
 
-_MEETS = pa.list_(pa.struct([("place", pa.int32()), ("keys", pa.list_(pa.int64())), ("sketch", pa.binary())]))
+def _meets(name: str, kind: pa.DataType) -> pa.DataType:
+    return pa.list_(pa.struct([("place", pa.int32()), (name, kind)]))
 
 
 def _meetings(rule: Rule, starts: list[int], shingles: np.ndarray) -> list[dict]:
@@ -174,7 +180,7 @@ def _meetings(rule: Rule, starts: list[int], shingles: np.ndarray) -> list[dict]
         most = rule.band_difference(starts, place)
         if most:  # else only equal sets link there, and these are one node
             keys = sketch_words(shingles, rule.words(most), most, place)
-            out.append({"place": place, "keys": keys, "sketch": parity_sketch(shingles, rule.bits(most))})
+            out.append({"place": place, "keys": keys, "sketches": parity_sketch(shingles, rule.bits(most))})
     return out
 
 
@@ -247,7 +253,7 @@ def _blocks(nodes: DataFrame, reps: DataFrame) -> DataFrame:
     """(leader, place, uid): documents that share a sketch word with their leader, leaders included."""
     tasks = shuffle_tasks(nodes.sparkSession)
     keyed = (
-        nodes.select("uid", F.explode("meets").alias("meet"))
+        nodes.select("uid", F.explode("keys").alias("meet"))
         .select(F.explode("meet.keys").alias("key"), "uid", F.col("meet.place").alias("place"))
         .repartitionByRange(tasks, "key", "uid")
         .sortWithinPartitions("key", "uid")
@@ -367,13 +373,20 @@ def _verify(rule: Rule) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
 
 
 def _links(pairs: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("uid")).distinct()
+    texts = texts.join(_sent(ends), "uid", "left_semi")
     left = texts.select(F.col("uid").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("uid").alias("b"), F.col("text").alias("text_b"))
     whole = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
     return whole.mapInArrow(_verify(rule), "a long, b long")
 
 
-def _id_order(id_type: T.DataType) -> Column:
+def _sent(rows: DataFrame) -> DataFrame:
+    """Short rows (ids, fingerprints) for a join: sent to every executor when a count shows that they are few."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
+def _id_order() -> Column:
     return F.struct(F.col("id").isNotNull().alias("given"), F.col("id"))
 
 
@@ -385,30 +398,31 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     id_type = plain.schema["id"].dataType
-    meets = "array<struct<place:int,keys:array<bigint>,sketch:binary>>"
     schema = T.StructType([T.StructField("id", id_type), *(T.StructField(c, T.LongType()) for c in ("n", "f1", "f2"))])
-    schema = schema.add("meets", T._parse_datatype_string(meets))
+    for name, kind in (("keys", T.ArrayType(T.LongType())), ("sketches", T.BinaryType())):
+        schema = schema.add(name, T.ArrayType(T.StructType([T.StructField("place", T.IntegerType()), T.StructField(name, kind)])))
     nodes = stored(plain.mapInArrow(_sketches(rule), schema).withColumn("uid", F.monotonically_increasing_id()), "jaccard-sketches")
     with_words = nodes.where("n > 0")
     firsts = with_words.groupBy("n", "f1", "f2").agg(F.min("uid").alias("rep"))
     reps = stored(with_words.select("uid", "n", "f1", "f2", "id").join(firsts, ["n", "f1", "f2"]), "jaccard-nodes")
 
     blocks = stored(_blocks(with_words, reps), "jaccard-blocks")
-    needed = blocks.select("uid").distinct()
-    known = reps.where("uid = rep").select("uid", "id", "n", "f1", "f2").join(needed, "uid")
-    sketches = nodes.join(needed, "uid", "left_semi").select("uid", "n", F.explode("meets").alias("meet"))
-    sketches = sketches.select("uid", "n", F.col("meet.place").alias("place"), F.col("meet.sketch").alias("sketch"))
+    needed = stored(blocks.select("uid").distinct(), "jaccard-needed")
+    known = stored(reps.where("uid = rep").select("uid", "id", "n", "f1", "f2").join(_sent(needed), "uid"), "jaccard-known")
+    sketches = nodes.select("uid", "n", F.explode("sketches").alias("meet"))
+    sketches = sketches.select("uid", "n", F.col("meet.place").alias("place"), F.col("meet.sketches").alias("sketch"))
+    sketches = stored(sketches.join(_sent(needed), "uid", "left_semi"), "jaccard-bits")
     texts = stored(_texts_of(plain, known, rule), "jaccard-texts")
 
     tried = stored(_candidates(blocks, sketches, None, rule, NEAREST), "jaccard-pairs")
     links = stored(_links(tried, texts, rule), "jaccard-links")
     groups = components(links)
-    rest = _candidates(blocks, sketches, groups, rule, None).join(tried, ["a", "b"], "left_anti")
+    rest = stored(_candidates(blocks, sketches, groups, rule, None).join(tried, ["a", "b"], "left_anti"), "jaccard-pairs")
     more = stored(_links(rest, texts, rule), "jaccard-links")
     if not more.isEmpty():
         groups = components(links.unionByName(more))
 
-    owner = _id_order(id_type)
+    owner = _id_order()
     placed = (
         reps.select("uid", "rep", "id")
         .join(groups.withColumnRenamed("node", "rep"), "rep", "left")
@@ -423,22 +437,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     )
 
 
-BROADCAST_IDS = 500_000
-
-
 def _texts_of(plain: DataFrame, known: DataFrame, rule: Rule) -> DataFrame:
-    """(uid, text) of the known nodes: one text for each fingerprint.
-
-    The ids wanted are sent to the texts when they are few (a counted bound), else joined by shuffle.
-    """
-    known = stored(known, "jaccard-known")
-    ids = known.select(F.col("id").alias(f"{OWN}id")).distinct()
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
+    """(uid, text) of the known nodes: one text for each fingerprint."""
+    ids = _sent(known.select(F.col("id").alias(f"{OWN}id")).distinct())
     wanted = plain.join(ids, F.col("id").eqNullSafe(F.col(f"{OWN}id")), "left_semi")
     marked = wanted.mapInArrow(_fingerprints(rule), T.StructType([*plain.schema.fields, *(T.StructField(c, T.LongType()) for c in ("n", "f1", "f2"))]))
-    uid_of = known.select("uid", F.col("id").alias(f"{OWN}id"), "n", "f1", "f2")
-    joined = uid_of.join(marked, ["n", "f1", "f2"]).where(F.col("id").eqNullSafe(F.col(f"{OWN}id")))
+    uid_of = _sent(known.select("uid", F.col("id").alias(f"{OWN}id"), "n", "f1", "f2"))
+    joined = marked.join(uid_of, ["n", "f1", "f2"]).where(F.col("id").eqNullSafe(F.col(f"{OWN}id")))
     return joined.groupBy("uid").agg(F.first("text").alias("text"))
 
 
