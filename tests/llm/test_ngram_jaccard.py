@@ -1,0 +1,171 @@
+"""Jaccard components against all pairs in plain Python."""
+
+import random
+
+import pyarrow as pa
+import pytest
+
+from touchline.llm import graph, ngram_jaccard
+from touchline.llm.ngram_jaccard import Rule
+
+
+def shingles(text, width=4):
+    words = (text or "").encode().lower().split()
+    if not words:
+        return set()
+    size = min(width, len(words))
+    return {tuple(words[i : i + size]) for i in range(len(words) - size + 1)}
+
+
+def expected(rows):
+    sets = [shingles(t) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
+                root[find(i)] = find(j)
+    order = lambda d: (d is not None, d or 0)
+    smallest = {}
+    for i, (doc, _) in enumerate(rows):
+        r = find(i)
+        smallest[r] = min(smallest.get(r, doc), doc, key=order)
+    return sorted(((doc, len(s), smallest[find(i)]) for i, ((doc, _), s) in enumerate(zip(rows, sets))), key=repr)
+
+
+def got(df):
+    return sorted((tuple(r) for r in df.collect()), key=repr)
+
+
+def edited(words, changes):
+    words = list(words)
+    for _ in range(changes):
+        words[random.randrange(len(words))] = f"new{random.random()}"
+    return " ".join(words)
+
+
+def chain_rows():
+    """A chain: each text near the next, ends far apart."""
+    random.seed(3)
+    words = [f"w{i}" for i in range(200)]
+    rows = []
+    for i in range(12):
+        rows.append((100 - i, " ".join(words)))
+        words[16 * i % 200 : 16 * i % 200 + 2] = [f"x{i}", f"y{i}"]
+    return rows
+
+
+def group_rows():
+    """A large group of near copies at all degrees of likeness, exact copies, and strangers."""
+    random.seed(4)
+    base = [f"w{random.randrange(500)}" for _ in range(130)]
+    rows = [(i, edited(base, random.randrange(9))) for i in range(160)]
+    rows += [(1000 + i, " ".join(base)) for i in range(60)]
+    rows += [(2000 + i, " ".join(f"v{random.randrange(900)}" for _ in range(random.randrange(1, 90)))) for i in range(80)]
+    random.shuffle(rows)
+    return rows
+
+
+CASES = {
+    "nulls and empties": [(1, None), (2, ""), (3, " \n\t"), (None, None), (4, None)],
+    "few words": [(1, "a b c"), (2, "A B  C"), (3, "a b"), (4, "a"), (5, "a"), (6, "a b c d"), (None, "a b c d")],
+    "repeated ids": [(5, "a b c d e"), (5, "a b c d e"), (5, "x y z u v"), (2, "x y z u v")],
+    "only ascii white space splits": [(1, "a b c d e"), (2, "a b c d e"), (3, "a\x0bb\x0cc\rd e")],
+    "chain": chain_rows(),
+    "group": group_rows(),
+}
+
+
+@pytest.mark.parametrize("name", CASES)
+def test_cases(docs_of, name):
+    assert got(ngram_jaccard.jaccard_components(docs_of(CASES[name]))) == expected(CASES[name])
+
+
+def test_group_in_small_tiles(docs_of, monkeypatch):
+    monkeypatch.setattr(ngram_jaccard, "TILE_ROWS", 16)
+    monkeypatch.setattr(ngram_jaccard, "BROADCAST_ROWS", 5)
+    assert got(ngram_jaccard.jaccard_components(docs_of(CASES["group"]))) == expected(CASES["group"])
+
+
+def test_every_size_at_the_threshold(docs_of):
+    """Pairs of all sizes just at and just below the wanted likeness."""
+    rows, at = [], 0
+    for n in [*range(4, 60), 97, 150, 331]:
+        words = [f"s{n}w{i}" for i in range(n + 3)]
+        for cut in range(1, max(2, n // 6)):
+            if abs(100 * (n - cut) - 85 * n) <= 100 or abs(100 * (n - cut) - 85 * (n + cut)) <= 200:
+                rows += [(at, " ".join(words)), (at + 1, " ".join(words[cut:])), (at + 2, " ".join(words[cut:] + [f"t{i}" for i in range(cut)]))]
+                at += 3
+                words = [w + "z" for w in words]
+    assert got(ngram_jaccard.jaccard_components(docs_of(rows))) == expected(rows)
+
+
+def test_long_texts(docs_of):
+    words = [f"w{i}" for i in range(20000)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[:9000] + ["other"] * 40 + words[9000:])), (3, " ".join(words[::-1]))]
+    assert got(ngram_jaccard.jaccard_components(docs_of(rows))) == expected(rows)
+
+
+def test_empty_table(docs_of):
+    assert got(ngram_jaccard.jaccard_components(docs_of([]))) == []
+
+
+def test_one_of_each_group_stays(spark):
+    df = spark.createDataFrame([(2, "a b c d e", 1), (1, "a b c d e", 2), (3, None, 3), (None, "", 4)], "doc_id int, text string, uid int")
+    assert sorted((r.doc_id, r.uid) for r in ngram_jaccard.keep_one(df).where("doc_id is not null").collect()) == [(1, 2), (3, 3)]
+    assert ngram_jaccard.keep_one(df).count() == 3
+
+
+def test_hamming_distance_is_a_lower_bound():
+    import numpy as np
+
+    random.seed(9)
+    hashes = ngram_jaccard.WordHashes()
+    for _ in range(30):
+        a = ngram_jaccard.shingle_set(" ".join(f"w{random.randrange(50)}" for _ in range(60)).encode(), 4, hashes)
+        b = ngram_jaccard.shingle_set(" ".join(f"w{random.randrange(50)}" for _ in range(60)).encode(), 4, hashes)
+        x, y = (np.frombuffer(ngram_jaccard.parity_sketch(s, 256), dtype=np.uint64) for s in (a, b))
+        assert ngram_jaccard._popcount(x ^ y) <= len(np.setxor1d(a, b))
+
+
+def test_bands_cover_all_pairs():
+    rule = Rule()
+    starts = rule.bands(3000)
+    band = lambda n: max(i for i, s in enumerate(starts) if s <= n)
+    for b in range(1, 2500):
+        for a in {-(-b * rule.num // rule.den), b}:
+            assert band(b) - band(a) <= 1
+            assert rule.difference(a, b) <= rule.band_difference(starts, band(a))
+
+
+@pytest.mark.parametrize("cuts", [[], [2], [1, 3, 4], [1, 2, 3, 4, 5, 6]])
+def test_runs_cut_by_partitions_and_batches(cuts):
+    rows = [(1, 3), (1, 4), (1, 8), (2, 1), (5, 2), (5, 3), (5, 9)]
+    schema = pa.schema([("key", pa.int64()), ("uid", pa.int64()), ("place", pa.int32())])
+    batches = [pa.RecordBatch.from_pylist([{"key": k, "uid": u, "place": 0} for k, u in rows[a:b]], schema=schema) for a, b in zip([0, *cuts], [*cuts, len(rows)])]
+
+    def pairs(partitions):
+        out = [r for p in partitions for batch in ngram_jaccard._lead_runs(iter(p)) for r in batch.to_pylist()]
+        first = {}
+        for r in out:
+            if r["kind"] == ngram_jaccard.CLAIM:
+                first[r["key"]] = min(first.get(r["key"], r["leader"]), r["leader"])
+        found = {(r["leader"], r["uid"]) for r in out if r["kind"] == ngram_jaccard.MEMBER}
+        found |= {(first[r["key"]], u) for r in out if r["kind"] != ngram_jaccard.MEMBER for u in (r["uid"], r["leader"])}
+        return {(a, b) for a, b in found if a != b}
+
+    truth = {(3, 4), (3, 8), (2, 3), (2, 9)}
+    assert pairs([batches]) == truth
+    assert pairs([[b] for b in batches]) == truth
+
+
+def test_components_of_chain_star_and_loops(spark):
+    edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7), (None, 3), (300, 200), (200, 300)]
+    found = dict(map(tuple, graph.components(spark.createDataFrame(edges, "a long, b long")).collect()))
+    assert found == {i: 0 for i in range(41)} | {100 + i: 100 for i in range(30)} | {200: 200, 300: 200}
+    assert graph.components(spark.createDataFrame([], "a long, b long")).collect() == []
