@@ -1,0 +1,199 @@
+"""Vector operators and packing against exhaustive definitions, and the pipeline on its contracts."""
+
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from touchline.llm import embedding_dedup, hilbert_search, packing
+from touchline.llm.queries import QUERIES
+
+SF_DIR = "/root/testdata/sf0.001"
+BAD = [(9001, None), (9002, [0.0] * 8), (9003, [float("nan")] + [1.0] * 7), (9004, [None] + [1.0] * 7), (9005, [float("inf")] * 8), (9006, [1.0, 2.0]), (9007, [])]
+
+
+def vectors(seed=1, n=260):
+    random = np.random.default_rng(seed)
+    rows = random.normal(size=(n, 8)).astype(np.float32)
+    for group in range(6):  # near copies, in groups of several sizes
+        rows[20 * group : 20 * group + 3 * group] = rows[20 * group] + random.normal(size=(3 * group, 8)) * 0.02
+    rows[200:240] = rows[200]  # one very common vector
+    rows[250] = rows[251] * 3
+    return [(i, [float(x) for x in r]) for i, r in enumerate(rows)]
+
+
+@pytest.fixture
+def table_of(spark):
+    return lambda rows: spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+
+
+def links_of(rows):
+    ids = np.array([i for i, _ in rows])
+    x = np.array([v for _, v in rows], dtype=np.float64)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    linked = x @ x.T >= 0.95
+    np.fill_diagonal(linked, False)
+    root = ids.copy()
+    while True:
+        new = np.array([min(root[i], *root[linked[i]]) if linked[i].any() else root[i] for i in range(len(ids))])
+        if (new == root).all():
+            return {int(i): (int(n), int(r)) for i, n, r in zip(ids, linked.sum(axis=1), root)}
+        root = new
+
+
+def test_near_duplicates(table_of, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "TILE_ROWS", 7)
+    rows = vectors()
+    truth = links_of(rows) | {i: (0, i) for i, _ in BAD}
+    found = embedding_dedup.near_duplicates(table_of([*rows, *BAD, rows[3], (None, rows[0][1])])).collect()
+    assert len(found) == len(truth)
+    assert {r.id: (r.n_links, r.component_id) for r in found} == truth
+    assert all(r.kept == (r.id == r.component_id) for r in found)
+
+
+def test_near_duplicates_of_nothing(table_of):
+    assert embedding_dedup.near_duplicates(table_of([])).collect() == []
+    assert [tuple(r) for r in embedding_dedup.near_duplicates(table_of([(4, None)])).collect()] == [(4, 0, 4, True)]
+
+
+def nearest(rows, asked, k):
+    out = []
+    for q, v in asked:
+        scores = [(-float(np.sum(np.float64(v) * np.float64(w))), i) for i, w in rows if i != q]
+        out += [(q, rank, i, -s) for rank, (s, i) in enumerate(sorted(scores)[:k], 1)]
+    return out
+
+
+@pytest.mark.parametrize("window", [1024, 16])
+def test_search(table_of, window):
+    rows = vectors(2)
+    whole = table_of([*rows, *BAD, rows[3], (None, rows[0][1])])
+    found = hilbert_search.search(whole, whole.where("vec_id % 20 = 0"), 20, window=window, recall=1.0)
+    truth = nearest(rows, [r for r in rows if r[0] % 20 == 0], 20)
+    got = sorted(tuple(r) for r in found.collect())
+    assert [g[:3] for g in got] == [t[:3] for t in truth]
+    assert np.allclose([g[3] for g in got], [t[3] for t in truth], rtol=1e-12)
+
+
+def test_search_with_few_candidates(table_of):
+    rows = vectors(3)[:5]
+    found = hilbert_search.search(table_of(rows), table_of(rows[:1]), 20)
+    assert [r.rank for r in found.orderBy("rank").collect()] == [1, 2, 3, 4]
+    assert hilbert_search.search(table_of([]), table_of([]), 20).collect() == []
+
+
+def test_hilbert_keys_follow_a_curve():
+    side = 8
+    cells = np.array([(x, y, z) for x in range(side) for y in range(side) for z in range(side)])
+    keys = hilbert_search.hilbert_keys(cells, 3)
+    assert sorted(keys) == list(range(side**3))
+    path = cells[np.argsort(keys)]
+    assert (np.abs(np.diff(path, axis=0)).sum(axis=1) == 1).all()
+
+
+# ---- packing -----------------------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def ranks():
+    return packing.json_ranks(packing.public_path("byte_bpe_50k.json"))
+
+
+def check_pieces(rows, pieces, capacity):
+    """Every id in one piece, sequences without gaps, padding nowhere."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(packing.public_path("byte_bpe_50k.json"))
+    tokenizer.encode_special_tokens = True
+    wanted = sorted(
+        (doc, at, int(i)) for doc, text in rows for at, i in enumerate([*tokenizer.encode(text or "", add_special_tokens=False).ids, 1])
+    )
+    got = []
+    for p in pieces:
+        assert len(p.ids) == p.length and zlib.crc32(np.array(p.ids, dtype="<u4").tobytes()) == p.ids_crc32
+        got += [(p.doc_id, p.start + k, i) for k, i in enumerate(p.ids)]
+    assert sorted(got) == wanted
+    sequences = {}
+    for p in pieces:
+        sequences.setdefault(p.sequence_id, []).append((p.offset, p.length))
+    for parts in sequences.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at == capacity or at & (at - 1) == 0
+    assert sorted(sequences) == list(range(len(sequences)))
+
+
+def mixed_rows():
+    rows = [(i, f"text {i} " * (i % 17), None, f"s{i % 5 and 1 + i % 3}") for i in range(200)]
+    return rows + [(300, None, None, None), (301, "", None, "s0"), (302, "long words here " * 3000, None, "s1"), (303, "<|endoftext|>", None, "s9")]
+
+
+@pytest.mark.parametrize("weights", [None, {"s0": 3.0, "s1": 1.0}])
+def test_packing(docs_of, ranks, weights):
+    rows = mixed_rows()
+    pieces = packing.pack(docs_of(rows), ranks, 1, capacity=256, weights=weights, window_sequences=4, with_ids=True).collect()
+    check_pieces([r[:2] for r in rows], pieces, 256)
+
+
+def test_packing_of_nothing(docs_of, ranks):
+    assert packing.pack(docs_of([]), ranks, 1).collect() == []
+
+
+def test_windows_hold_the_mixture(spark):
+    """Served tokens of a source stay within one document of its credit, in every window."""
+    rows = [(i, "a" if i % 4 else "b", 50 + i % 30) for i in range(2000)]
+    total = sum(r[2] for r in rows)
+    placed = packing.placed(spark.createDataFrame(rows, "row long, source string, n long"), total, window=5000)
+    out = {r.row: (r.window, r.place) for r in placed.collect()}
+    stream = sorted((out[row][1], out[row][0], source, n) for row, source, n in rows)
+    assert [w for _, w, _, _ in stream] == sorted(w for _, w, _, _ in stream)
+    assert [place for place, *_ in stream] == list(np.cumsum([0, *(n for *_, n in stream)])[:-1])
+    share = {s: sum(n for _, x, n in rows if x == s) / total for s in "ab"}
+    for last in range(max(w for _, w, _, _ in stream)):
+        for s in "ab":
+            served = sum(n for _, w, x, n in stream if x == s and w <= last)
+            assert 0 <= (last + 1) * 5000 * share[s] - served < 80
+
+
+def test_weighted_windows_then_the_rest(spark):
+    rows = [(i, "ab"[i % 2], 100) for i in range(400)]
+    placed = packing.placed(spark.createDataFrame(rows, "row long, source string, n long"), 40000, {"a": 3.0, "b": 1.0}, window=4000)
+    out = {r.row: r.window for r in placed.collect()}
+    assert sum(out[i] == 0 for i, s, _ in rows if s == "a") == 30 and sum(out[i] == 0 for i, s, _ in rows if s == "b") == 10
+
+
+# ---- pipeline ----------------------------------------------------------------------------
+
+
+def test_pipeline_stages(spark):
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    docs = docs.unionByName(spark.createDataFrame([(None, None, None, None, None), (9999, "", None, None, 0)], docs.schema)).withColumn("score", F.lit("theirs"))
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES:
+        before = docs
+        docs = corpus_pipeline.stored(stage(spark, docs, SF_DIR), f"test-{name}")
+        if name == "packing":
+            assert docs.select("doc_id").distinct().count() == before.select("doc_id").distinct().count()
+            continue
+        assert docs.columns == columns
+        if name in ("line_dedup", "pii"):
+            assert docs.count() == before.count()
+            assert docs.where("text is not null and length(text) <> n_chars").isEmpty()
+        else:
+            assert docs.exceptAll(before).isEmpty()
+        assert docs.where("doc_id is null or doc_id = 9999").count() == 2
+
+
+def test_pipeline_of_nothing(spark):
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        docs = corpus_pipeline.stored(stage(spark, docs, SF_DIR), f"test-{name}")
+        assert docs.isEmpty()
+
+
+def test_every_operator_is_registered():
+    assert [sum(q.startswith(f"op{n}_") for q in QUERIES) for n in range(1, 11)] == [1] * 10 and "pipeline" in QUERIES
