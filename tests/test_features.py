@@ -74,15 +74,27 @@ def test_league_build_has_no_tier_and_a_shorter_half_life(spark, teams, venues):
     assert weights[2] == 1.0 and weights[1] == pytest.approx(0.5 ** (3652 / 365.25 / 5))
 
 
-def test_blocked_and_plain_builds_agree(spark, teams, venues):
+def test_builds_in_one_and_many_pieces_agree(spark, teams, venues):
     made = [
         result(i, f"2024-{1 + i % 3:02d}-{1 + i % 9:02d}", *(("FRANCE", "WALES") if i % 2 else ("WALES", "FRANCE")), i % 11, i % 7)
         for i in range(300)
     ]
     df = spark.createDataFrame(made, RESULTS)
-    plain = features.results_model_ready(df, teams, venues)
-    blocked = features.results_model_ready(df, teams, venues, block_rows=40)
-    assert rows(plain) == rows(blocked)
+    one = features.results_model_ready(df, teams, venues, pieces=1)
+    many = features.results_model_ready(df, teams, venues, pieces=30)
+    assert rows(one) == rows(many)
+
+
+def test_null_and_repeated_ids_lose_no_match(spark, teams, venues):
+    made = [result(None, "2024-02-01", "FRANCE", "WALES", 10, 7), result(None, "2024-02-02", "WALES", "FRANCE", 3, 9), result(5, "2024-02-03", "FRANCE", "WALES", 1, 7), result(5, "2024-02-04", "FRANCE", "WALES", 1, 8)]
+    assert features.results_model_ready(spark.createDataFrame(made, RESULTS), teams, venues).count() == 4
+
+
+def test_matches_are_scanned_once(spark, teams, venues, tmp_path):
+    """Everything after the canonical matches reads their stored copy."""
+    spark.createDataFrame([result(1, "2024-02-01", "FRANCE", "WALES", 10, 7)], RESULTS).write.parquet(str(tmp_path / "raw_results"))
+    out = features.results_model_ready(spark.read.parquet(str(tmp_path / "raw_results")), teams, venues)
+    assert "raw_results" not in out._jdf.queryExecution().toString()
 
 
 def test_bad_date_is_an_error(spark, teams, venues):

@@ -90,42 +90,53 @@ def test_unplayed_rows_take_a_slot(spark):
     assert got[(4, "A", 1)] == (1.0, 0.0, 10.0, 0.0, 10.0, 2)
 
 
-@pytest.mark.parametrize("block_rows", [4_000_000, 200, 40, 7])
-def test_form_matches_definition_at_every_block_size(spark, block_rows):
-    """A hot team and a hot day: the blocked plan must give the plain plan's values exactly."""
+@pytest.mark.parametrize("pieces", [1, 3, 40, 400])
+def test_form_matches_definition_in_any_number_of_pieces(spark, pieces):
+    """A hot team and a hot day: the cut order must give the values of the definition exactly."""
     df = spark.createDataFrame(league(11, 600, 5, 60), MATCH)
     long = form.to_team_rows(df)
     expected = brute_form([r.asDict() for r in long.collect()])
-    got = form.rolling_form(long, block_rows=block_rows)
+    got = form.rolling_form(long, pieces=pieces)
     assert got.count() == 1200
     approximately(as_dict(got), expected)
 
 
-def test_blocks_stay_small(spark):
-    """No task orders much more than the block size, hot team and hot day included."""
-    df = spark.createDataFrame(league(5, 2000, 5, 400, hot=0.6), MATCH)
-    long = form.to_team_rows(df).withColumn("_team", F.col("Team"))
-    blocks = ordering.cut_into_blocks(long, ["_team"], "MatchDate", "ID", block_rows=160)
-    with_context = ordering.with_preceding_rows(blocks, ["_team"], 10)
-    largest = with_context.groupBy("_team", "_block").count().agg(F.max("count")).first()[0]
-    assert largest <= 2 * 160
-    assert with_context.where("not _context").count() == 4000
+def test_pieces_stay_small(spark):
+    """No piece orders much more than its share: one hot group, text ids, one day and one stray time of day."""
+    for stray in (0, 1):
+        made = [(f"id{i * 7919 % 20000:05d}", day(1) + dt.timedelta(hours=int(stray and i == 5)), "A") for i in range(20000)]
+        df = spark.createDataFrame(made, "ID string, at timestamp, team string")
+        cut = ordering.in_pieces(df, [F.col("team"), F.col("at"), F.col("ID")], 20)
+        assert cut.groupBy("_piece").count().agg(F.max("count")).first()[0] <= 3 * 1000
+        ranked = ordering.global_rank(df, [F.col("at"), F.col("ID")], "rank", 20)
+        order = [r["ID"] for r in ranked.orderBy("rank").collect()]
+        assert order == [m[0] for m in sorted(made, key=lambda m: (m[1], m[0]))]
 
 
-def test_block_rows_with_times_within_a_day(spark):
+def test_form_with_times_within_a_day(spark):
     made = [(i, day(2) + dt.timedelta(minutes=(i * 37) % 1000), "A", f"B{i % 4}", i % 9, i % 5) for i in range(300)]
     df = spark.createDataFrame(made, MATCH)
     long = form.to_team_rows(df)
-    approximately(as_dict(form.rolling_form(long, block_rows=20)), as_dict(form.rolling_form(long)))
+    approximately(as_dict(form.rolling_form(long, pieces=30)), as_dict(form.rolling_form(long, pieces=1)))
 
 
 def test_null_dates_sort_last_and_null_teams_get_no_form(spark):
-    made = [(1, None, "A", "B", 1, 0), (2, day(1), "A", "B", 5, 0), (3, day(2), None, "B", 5, 0), (4, day(3), None, "B", 5, 0)]
+    made = [(1, None, "A", "B", 1, 0), (2, day(1), "A", "B", 5, 0), (3, day(2), None, "B", 5, 0), (4, day(3), None, "B", 5, 0), (5, day(4), "", "B", 5, 0)]
     df = spark.createDataFrame(made, MATCH)
-    for block_rows in (100, 1):
-        got = as_dict(form.rolling_form(form.to_team_rows(df), block_rows=block_rows))
+    for pieces in (1, 8):
+        got = as_dict(form.rolling_form(form.to_team_rows(df), pieces=pieces))
         assert got[(1, "A", 1)][2] == 5.0
         assert got[(4, None, 1)] == (None,) * 6
+        assert got[(5, "", 1)] == (None,) * 6
+
+
+def test_attach_with_one_unknown_side(spark):
+    made = [(1, day(1), "A", "B", 5, 0), (2, day(2), None, "B", 5, 0), (3, day(3), "A", None, 5, 0)]
+    df = spark.createDataFrame(made, MATCH)
+    out = {r["ID"]: r for r in form.attach_form(df, form.rolling_form(form.to_team_rows(df))).collect()}
+    assert len(out) == 3
+    assert (out[2]["Home_FormGames"], out[2]["Away_FormGames"], out[2]["Away_FormWinRate"]) == (None, 1, 0.0)
+    assert (out[3]["Home_FormWinRate"], out[3]["Away_FormGames"], out[3]["Diff_FormWinRate"]) == (1.0, None, None)
 
 
 def test_attach_preserves_rows_and_subtracts(spark):
@@ -183,17 +194,19 @@ def test_time_decay_rejects_bad_dates(spark):
         form.add_time_decay(df).collect()
 
 
-@pytest.mark.parametrize("block_rows", [10_000, 50, 5])
-def test_global_rank(spark, block_rows):
+@pytest.mark.parametrize("pieces", [1, 8, 80])
+def test_global_rank(spark, pieces):
     rng = random.Random(2)
     made = [(i * 13 % 997, None if rng.random() < 0.1 else day(rng.randrange(5))) for i in range(400)]
     df = spark.createDataFrame(made, "ID bigint, at timestamp")
-    got = {r["ID"]: r["rank"] for r in ordering.global_rank(df, "at", "ID", "rank", block_rows).collect()}
+    ranked = ordering.global_rank(df, [F.col("at"), F.col("ID")], "rank", pieces)
+    got = {r["ID"]: r["rank"] for r in ranked.collect()}
     expected = sorted(made, key=lambda r: (r[1] is None, r[1] or dt.datetime.max, r[0]))
     assert got == {r[0]: i + 1 for i, r in enumerate(expected)}
+    assert "SinglePartition" not in ranked._jdf.queryExecution().executedPlan().toString()
 
 
 def test_form_is_one_window_without_python(spark):
     df = spark.createDataFrame(league(1, 50, 5, 20), MATCH)
     plan = form.rolling_form(form.to_team_rows(df))._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Window [") == 1 and "Python" not in plan
+    assert "Python" not in plan and "SinglePartition" not in plan

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from touchline.functions.dates import decay_weight, timestamp_of
 from touchline.functions.windows import lagged_mean, lagged_sum
-from touchline.operators.ordering import DEFAULT_BLOCK_ROWS, lagged
+from touchline.operators.ordering import lagged
 
 FORM_MEANS = {
     "FormWinRate": "Win",
@@ -66,38 +66,27 @@ def rolling_form(
     date_col: str = "MatchDate",
     id_col: str = "ID",
     tie_break: Sequence[str] = ("KickoffTimeLocal",),
-    block_rows: int = DEFAULT_BLOCK_ROWS,
-    rows_at_most: int | None = None,
+    pieces: int | None = None,
 ) -> DataFrame:
     """Form over each team's previous ``window_rows`` rows, ordered by (date nulls last, id, kick-off).
 
     The frame counts rows, so an unplayed fixture takes a slot, while means skip its nulls.
-    ``FormGames`` counts the played rows in the frame; it is null on a team's first row.
+    ``FormGames`` counts the played rows in the frame; it is null on a team's first row. Rows
+    without a team get no form, and are no history of a team with an empty name.
 
-    All six aggregates share one window, so one shuffle and one sort. A team with more than
-    ``block_rows`` rows is cut into blocks that each bring along the rows just before them.
-    ``rows_at_most`` is an optional upper bound of the row count (see ``cut_into_blocks``).
+    All six aggregates share one window. The order runs through ``pieces`` tasks (see
+    :func:`touchline.operators.ordering.lagged`), so a team of any size is spread.
     """
     extra = [c for c in tie_break if c in team_rows.columns]
     order = [
-        F.col(date_col).asc_nulls_last(),
+        F.col(date_col),
         F.col(id_col),
         *[F.coalesce(F.col(c).cast("timestamp"), F.col(date_col).cast("timestamp")) for c in extra],
-        F.col("IsHome").desc() if "IsHome" in team_rows.columns else F.lit(0),
+        *([-F.col("IsHome")] if "IsHome" in team_rows.columns else []),
     ]
-    # Rows without a team get no form, yet still have to be spread over tasks.
-    keyed = team_rows.withColumn("_team", F.coalesce("Team", F.lit("")))
-    return lagged(
-        keyed,
-        ["_team"],
-        date_col,
-        id_col,
-        order,
-        window_rows,
-        lambda ordered: _form(ordered, window_rows),
-        block_rows,
-        rows_at_most,
-    ).drop("_team")
+    keyed = team_rows.withColumns({"_named": F.col("Team").isNotNull(), "_team": F.coalesce("Team", F.lit(""))})
+    form = lagged(keyed, ["_named", "_team"], order, window_rows, lambda ordered: _form(ordered, window_rows), pieces)
+    return form.drop("_named", "_team")
 
 
 def _form(ordered: WindowSpec, window_rows: int) -> dict[str, Column]:
@@ -112,29 +101,32 @@ def attach_form(
     matches: DataFrame,
     form_rows: DataFrame,
     id_cols: Sequence[str] = ("ID",),
-    home: str = "HomeTeam",
-    away: str = "AwayTeam",
 ) -> DataFrame:
     """Home_*, Away_* and Diff_* form columns on every match; row count is preserved.
 
-    The two long rows of a match are folded into one row per (ids, home, away) first, so the
-    match table is shuffled once, not once per side. ``id_cols`` must identify a match.
+    The two long rows of a match are folded into one row per id first, so the match table is
+    shuffled once, not once per side. ``id_cols`` must identify a match; either side's name may be
+    null, the other keeps its form.
     """
+    folded = form_rows.groupBy(*id_cols).agg(*folded_form())
+    # Both sides have one row per match, so neither is ever worth broadcasting.
+    joined = with_differences(matches.join(folded.hint("merge"), list(id_cols), "left"))
+    return joined.select(*matches.columns, *SIDE_FORM, *[f"Diff_{c}" for c in FORM_DIFFERENCES])
+
+
+SIDE_FORM = tuple(f"{side}_{c}" for side in ("Home", "Away") for c in FORM_COLUMNS)
+
+
+def folded_form() -> list[Column]:
+    """Aggregates that turn the two long rows of a match into its Home_* and Away_* form."""
     at_home = F.col("IsHome") == 1
-    match_key = [
-        *id_cols,
-        F.when(at_home, F.col("Team")).otherwise(F.col("Opponent")).alias(home),
-        F.when(at_home, F.col("Opponent")).otherwise(F.col("Team")).alias(away),
+    return [
+        F.max(F.when(side, F.col(c))).alias(f"{name}_{c}") for name, side in (("Home", at_home), ("Away", ~at_home)) for c in FORM_COLUMNS
     ]
-    folded = form_rows.groupBy(*match_key).agg(
-        *[F.max(F.when(at_home, F.col(c))).alias(f"Home_{c}") for c in FORM_COLUMNS],
-        *[F.max(F.when(~at_home, F.col(c))).alias(f"Away_{c}") for c in FORM_COLUMNS],
-    )
-    # Both sides have one row per match, so neither is ever worth broadcasting.
-    joined = matches.join(folded.hint("merge"), [*id_cols, home, away], "left")
-    differences = {f"Diff_{c}": F.col(f"Home_{c}") - F.col(f"Away_{c}") for c in FORM_DIFFERENCES}
-    form = [f"{side}_{c}" for side in ("Home", "Away") for c in FORM_COLUMNS]
-    return joined.withColumns(differences).select(*matches.columns, *form, *differences)
+
+
+def with_differences(df: DataFrame) -> DataFrame:
+    return df.withColumns({f"Diff_{c}": F.col(f"Home_{c}") - F.col(f"Away_{c}") for c in FORM_DIFFERENCES})
 
 
 def add_targets(

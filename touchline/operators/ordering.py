@@ -1,219 +1,100 @@
 """Ordered computation without a hot task.
 
-A window over (group, time) puts a whole group in one task. When one group holds a large
-share of the rows that task never ends. This module cuts every group into consecutive
-*blocks* of a bounded number of rows, each of which can be ordered on its own:
-
-1. count rows per (group, calendar day): map-side combined, bounded by the calendar;
-2. a day with too many rows is cut further at quantiles of its time (or of the tie-break id
-   when the whole day carries one time value);
-3. a running count over these cells gives each cell its block and the rows before it.
-
-The cuts only affect balance. The order, and so the result, is exact.
+A window over (group, time) puts a whole group in one task; a global rank puts everything in one.
+Here the rows are range-partitioned by (group, order) instead, and written once to the shared
+folder with the number of their piece. A piece is one task's share of the order: a group of any
+size runs through as many pieces as it needs, whatever the types of time and tie-break are, and
+however many rows share a day. What a piece needs from the ones before it is little: how many rows
+there are (a count for each piece) and, for lagged frames, the last few rows of its first group.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from touchline.session import ensure_checkpoint_dir
-
-# Rows one task may order. Above it a group is cut into blocks.
-DEFAULT_BLOCK_ROWS = 4_000_000
-# A cell (day, or slice of a day) is at most about this share of a block, so that copying
-# the cells that precede a block stays cheap.
-CELLS_PER_BLOCK = 16
-MOST_SLICES_PER_DAY = 1024
-_LAST_DAY = 2_147_483_647  # nulls sort last
-
-
-@dataclass(frozen=True)
-class Blocks:
-    """``rows`` carries ``_day``/``_slice``; ``cells`` one row per (group, _day, _slice)."""
-
-    rows: DataFrame
-    cells: DataFrame
-    cell_keys: tuple[str, ...]
-
-    def attach(self) -> DataFrame:
-        """Rows with their cell's block columns. Cells carry non-null keys only."""
-        return self.rows.join(self.cells, list(self.cell_keys))
-
 
-def _day_of(time: Column) -> Column:
-    return F.coalesce(F.unix_date(time.cast("date")), F.lit(_LAST_DAY))
+from touchline.session import scratch_path
 
 
-def cut_into_blocks(
-    df: DataFrame,
-    groups: Sequence[str],
-    time: str,
-    tie: str,
-    block_rows: int = DEFAULT_BLOCK_ROWS,
-    rows_at_most: int | None = None,
-) -> Blocks | None:
-    """Blocks for the order (time nulls last, tie), or None when every group fits one task.
+def in_pieces(df: DataFrame, order: Sequence[Column], pieces: int | None = None) -> DataFrame:
+    """``df`` in consecutive pieces of the ascending order (nulls last), numbered in ``_piece``.
 
-    The decision is one aggregation job over the group and time columns only; a caller that
-    already knows a small enough upper bound of the row count saves that job.
-    ``groups`` must not be null.
+    Written to the shared folder: every reader sees the same cuts. ``pieces`` defaults to the
+    number of shuffle partitions. Rows that agree in the whole order lie in one piece.
     """
-    if rows_at_most is not None and rows_at_most <= block_rows:
-        return None
-    keyed = df.withColumn("_day", _day_of(F.col(time)))
-    keys = [*groups, "_day"]
-    counts = keyed.groupBy(*keys).agg(F.count("*").alias("_n"), F.min(time).alias("_t0"), F.max(time).alias("_t1"))
-    sizes = (
-        counts.groupBy(*groups)
-        .agg(F.sum("_n").alias("group_rows"), F.max("_n").alias("day_rows"))
-        .agg(F.max("group_rows").alias("group_rows"), F.max("day_rows").alias("day_rows"))
-        .first()
-    )
-    if sizes["group_rows"] is None or sizes["group_rows"] <= block_rows:
-        return None
-
-    cell_rows = max(1, block_rows // CELLS_PER_BLOCK)
-    if sizes["day_rows"] > cell_rows:
-        slices = min(MOST_SLICES_PER_DAY, -(-sizes["day_rows"] // cell_rows))
-        keyed = _slice_busy_days(keyed, keys, counts.where(F.col("_n") > cell_rows), time, tie, slices)
-        counts = keyed.groupBy(*keys, "_slice").agg(F.count("*").alias("_n"))
-    else:
-        keyed = keyed.withColumn("_slice", F.lit(0))
-        counts = counts.withColumn("_slice", F.lit(0))
-
-    in_group = Window.partitionBy(*groups).orderBy("_day", "_slice")
-    cells = counts.select(
-        *keys,
-        "_slice",
-        "_n",
-        F.coalesce(F.sum("_n").over(in_group.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"),
-    ).withColumn("_block", F.floor(F.col("_before") / F.lit(block_rows)))
-    cells = cells.withColumn("_block_start", F.min("_before").over(Window.partitionBy(*groups, "_block")))
-    return Blocks(keyed, cells, (*keys, "_slice"))
-
-
-def _slice_busy_days(
-    keyed: DataFrame, keys: list[str], busy: DataFrame, time: str, tie: str, slices: int
-) -> DataFrame:
-    """Cut busy days at quantiles, finely enough for the busiest. The cut points are checkpointed: quantile sketches depend on
-    merge order, and both readers of the cuts must see the same ones."""
-    ensure_checkpoint_dir(keyed.sparkSession)
-    moment = F.unix_micros(F.col(time).cast("timestamp"))
-    numeric_tie = isinstance(keyed.schema[tie].dataType, T.IntegralType)
-    by_tie = F.col(tie).cast("long") if numeric_tie else F.lit(None).cast("long")
-    one_time = busy.select(*keys, F.col("_t0").eqNullSafe(F.col("_t1")).alias("_one_time"))
-    shares = [i / slices for i in range(1, slices)]
-    position = F.when(F.col("_one_time"), by_tie).otherwise(moment)
-    cuts = (
-        keyed.join(one_time, keys)
-        .groupBy(*keys, "_one_time")
-        .agg(F.percentile_approx(position, shares, F.lit(10_000)).alias("_cuts"))
-        .withColumn("_cuts", F.array_distinct("_cuts"))
-        .checkpoint()
-    )
-    passed = F.size(F.filter("_cuts", lambda cut: cut <= F.col("_position")))
-    return (
-        keyed.join(cuts, keys, "left")
-        .withColumn("_position", position)
-        .withColumn("_slice", F.when(F.col("_cuts").isNull() | F.col("_position").isNull(), 0).otherwise(passed))
-        .drop("_one_time", "_cuts", "_position")
-    )
-
-
-def with_preceding_rows(blocks: Blocks, groups: Sequence[str], rows_back: int) -> DataFrame:
-    """Rows of every block plus, flagged ``_context``, the cells holding the ``rows_back`` rows before it.
+    spark = df.sparkSession
+    pieces = pieces or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(pieces, *[c.asc_nulls_last() for c in order]).withColumn("_piece", F.spark_partition_id())
+    path = scratch_path(spark, "ordered")
+    ranged.write.parquet(path)
+    return spark.read.schema(ranged.schema).parquet(path)
 
-    Whole cells are copied, and only into blocks that start fewer than ``rows_back`` rows
-    after the cell ends, i.e. at most ``rows_back`` later blocks.
 
-    The rows look their blocks up by (group, day). Neighbouring slices of a day that go to the
-    same blocks are merged first, so this table has one row per group and day with a few
-    entries each, and is usually small enough for Spark to broadcast.
-    """
-    starts = blocks.cells.groupBy(*groups, "_block", "_block_start").agg(F.count("*").alias("_cells"))
-    following = Window.partitionBy(*groups).orderBy("_block").rowsBetween(1, rows_back)
-    later = starts.select(
-        *groups,
-        "_block",
-        F.collect_list(F.struct(F.col("_block").alias("block"), F.col("_block_start").alias("start")))
-        .over(following)
-        .alias("_later"),
-    )
-    cell_end = F.col("_before") + F.col("_n")
-    fed = F.transform(
-        F.filter("_later", lambda later_block: later_block["start"] - cell_end < rows_back),
-        lambda later_block: later_block["block"],
-    )
-    day = [*groups, "_day"]
-    in_day = Window.partitionBy(*day).orderBy("_slice")
-    targets = F.struct(F.col("_block").alias("own"), F.concat(F.array("_block"), fed).alias("targets"))
-    runs = (
-        blocks.cells.join(later, [*groups, "_block"])
-        .select(*day, "_slice", targets.alias("_to"))
-        .withColumn("_previous", F.lag("_to").over(in_day))
-        .where(~F.col("_to").eqNullSafe(F.col("_previous")))
-        .groupBy(*day)
-        .agg(F.array_sort(F.collect_list(F.struct(F.col("_slice").alias("from"), F.col("_to").alias("to")))).alias("_runs"))
-    )
-    run = F.element_at(F.filter("_runs", lambda entry: entry["from"] <= F.col("_slice")), -1)
-    return (
-        blocks.rows.join(runs, day)
-        .withColumn("_run", run["to"])
-        .withColumn("_block", F.explode("_run.targets"))
-        .withColumn("_context", F.col("_block") != F.col("_run.own"))
-        .drop("_runs", "_run", "_day", "_slice")
-    )
+def _sorted(order: Sequence[Column]) -> list[Column]:
+    return [c.asc_nulls_last() for c in order]
 
 
 def lagged(
     df: DataFrame,
     groups: Sequence[str],
-    time: str,
-    tie: str,
     order: Sequence[Column],
     rows_back: int,
     aggregates: Callable[[WindowSpec], dict[str, Column]],
-    block_rows: int = DEFAULT_BLOCK_ROWS,
-    rows_at_most: int | None = None,
+    pieces: int | None = None,
 ) -> DataFrame:
     """Window aggregates over frames that reach at most ``rows_back`` rows back, for groups of any size.
 
-    ``order`` must refine (time nulls last, tie). ``aggregates`` builds the columns for a given
-    ordered window, e.g. ``lambda w: {"m": lagged_mean("x", w, 10)}``. ``groups`` must not be null.
+    ``order`` lists ascending values, nulls last; use a negative value for a descending one.
+    ``aggregates`` builds the columns for a given ordered window, e.g.
+    ``lambda w: {"m": lagged_mean("x", w, 10)}``. ``groups`` must not be null.
     """
-    blocks = cut_into_blocks(df, groups, time, tie, block_rows, rows_at_most)
-    if blocks is None:
-        return df.withColumns(aggregates(Window.partitionBy(*groups).orderBy(*order)))
+    cut = in_pieces(df, [*map(F.col, groups), *order], pieces)
+    in_group = Window.partitionBy(*groups).orderBy("_piece")
+    whole = Window.partitionBy(*groups)
+    parts = cut.groupBy(*groups, "_piece").agg(F.count("*").alias("_n")).withColumn("_parts", F.count("*").over(whole))
+    parts = parts.where("_parts > 1").select(
+        *groups,
+        "_piece",
+        "_n",
+        F.coalesce(F.sum("_n").over(in_group.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"),
+    )
+    # A later part needs a row of this one when the row is among the last before its start.
+    later = F.collect_list(F.struct(F.col("_piece").alias("piece"), F.col("_start").alias("start")))
+    parts = parts.withColumn("_later", later.over(in_group.rowsBetween(1, rows_back)))
+    # Only the first and the last group of a piece can be cut: at most two rows a piece.
+    backwards = Window.partitionBy(*groups, "_piece").orderBy(*[c.desc_nulls_first() for c in order])
+    tails = (
+        cut.join(F.broadcast(parts), [*groups, "_piece"])
+        .withColumn("_from_end", F.row_number().over(backwards))
+        .where(F.col("_from_end") <= rows_back)
+    )
+    place = F.col("_start") + F.col("_n") - F.col("_from_end")
+    needing = F.filter("_later", lambda part: part["start"] - place <= rows_back)
+    context = tails.withColumn("_piece", F.explode(F.transform(needing, lambda part: part["piece"])))
+    context = context.select(*cut.columns, F.lit(True).alias("_context"))
+    ordered = Window.partitionBy(*groups, "_piece").orderBy(*_sorted(order))
     return (
-        with_preceding_rows(blocks, groups, rows_back)
-        .withColumns(aggregates(Window.partitionBy(*groups, "_block").orderBy(*order)))
+        cut.withColumn("_context", F.lit(False))
+        .unionByName(context)
+        .withColumns(aggregates(ordered))
         .where("not _context")
-        .drop("_block", "_context")
+        .drop("_piece", "_context")
     )
 
 
-def global_rank(
-    df: DataFrame,
-    time: str,
-    tie: str,
-    rank: str,
-    block_rows: int = DEFAULT_BLOCK_ROWS,
-    rows_at_most: int | None = None,
-) -> DataFrame:
-    """Add the exact 1-based position in the order (time nulls last, tie) over the whole frame."""
-    single = df.withColumn("_all", F.lit(0))
-    order = [F.col(time).asc_nulls_last(), F.col(tie)]
-    blocks = cut_into_blocks(single, ["_all"], time, tie, block_rows, rows_at_most)
-    if blocks is None:
-        return single.withColumn(rank, F.row_number().over(Window.partitionBy("_all").orderBy(*order))).drop("_all")
-    in_block = Window.partitionBy("_all", "_block").orderBy(*order)
+def global_rank(df: DataFrame, order: Sequence[Column], rank: str, pieces: int | None = None) -> DataFrame:
+    """Add the exact 1-based position in the ascending order (nulls last) over the whole frame."""
+    cut = in_pieces(df, order, pieces)
+    before, starts = 0, []
+    for piece, rows in cut.groupBy("_piece").count().orderBy("_piece").collect():  # one row a piece
+        starts.append((piece, before))
+        before += rows
+    offsets = df.sparkSession.createDataFrame(starts, "_piece int, _before long")
+    in_piece = Window.partitionBy("_piece").orderBy(*_sorted(order))
     return (
-        blocks.attach()
-        .withColumn(rank, F.row_number().over(in_block) + F.col("_block_start"))
-        .drop("_all", "_day", "_slice", "_n", "_before", "_block", "_block_start")
+        cut.join(F.broadcast(offsets), "_piece")
+        .withColumn(rank, F.row_number().over(in_piece) + F.col("_before"))
+        .drop("_piece", "_before")
     )

@@ -4,27 +4,32 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from touchline.functions.dates import midnight, timestamp_of
 from touchline.operators.form import (
+    FORM_DIFFERENCES,
+    SIDE_FORM,
     add_targets,
     add_time_decay,
-    attach_form,
+    folded_form,
     latest_date,
     rolling_form,
     to_team_rows,
     union_fixtures,
+    with_differences,
 )
 from touchline.operators.lookups import add_team_features, keep_canonical_teams, keep_canonical_venues
-from touchline.operators.ordering import DEFAULT_BLOCK_ROWS
-from touchline.operators.rows import drop_null_rows, keep_timed, without_columns
+from touchline.operators.rows import drop_null_rows, without_columns
+from touchline.session import scratch_path
 
 AUDIT_COLUMNS = ("CreatedAt",)
 SCORES = ("HomeScore", "AwayScore")
 FORM_WINDOW = 10
 # Tells fixture ids from result ids, which are numbered per table.
 SOURCE = "_source"
+ROW = "_row"
 
 
 @dataclass(frozen=True)
@@ -47,15 +52,36 @@ def _canonical(matches: DataFrame, teams: DataFrame, venues: DataFrame) -> DataF
     return keep_canonical_venues(keep_canonical_teams(without_columns(matches, *AUDIT_COLUMNS), teams), venues)
 
 
+def _stored_canonical(matches: DataFrame, teams: DataFrame, venues: DataFrame) -> DataFrame:
+    """Canonical matches, written once: the newest date, the cuts of the order and the form read them."""
+    # Numbered while written: the number tells matches apart even where ids are null or repeat.
+    known = _canonical(matches, teams, venues).withColumn(ROW, F.monotonically_increasing_id())
+    path = scratch_path(known.sparkSession, "canonical")
+    known.write.parquet(path)
+    return known.sparkSession.read.schema(known.schema).parquet(path)
+
+
 def _with_form(
-    known: DataFrame, teams: DataFrame, features: FeatureSet, id_cols: tuple[str, ...], block_rows: int, matches: int
+    known: DataFrame, teams: DataFrame, features: FeatureSet, wanted: Column, pieces: int | None
 ) -> DataFrame:
-    """Team attributes and form on canonical matches, of which there are at most ``matches``."""
-    long = to_team_rows(known, context=[*id_cols[1:], "KickoffTimeLocal"])
-    form = rolling_form(
-        long, FORM_WINDOW, tie_break=("KickoffTimeLocal",), block_rows=block_rows, rows_at_most=2 * matches
+    """Form and team attributes on the ``wanted`` matches, from the history in all of ``known``.
+
+    The match travels with its home row and the two rows are folded back by row number, so the matches are
+    not joined again. Attributes are looked up for wanted matches only.
+    """
+    match = F.struct(*[c for c in known.columns if c != ROW])
+    long = to_team_rows(known.withColumn("_match", match), context=[ROW, "KickoffTimeLocal", "_match"])
+    long = long.withColumns({"_wanted": wanted, "_match": F.when(F.col("IsHome") == 1, F.col("_match"))})
+    form = rolling_form(long, FORM_WINDOW, tie_break=("KickoffTimeLocal",), pieces=pieces)
+    folded = (
+        form.where("_wanted")
+        .groupBy(ROW)
+        .agg(F.first("_match", ignorenulls=True).alias("_match"), *folded_form())
+        .select("_match.*", *SIDE_FORM)
     )
-    return attach_form(add_team_features(known, teams, features.with_tier), form, id_cols)
+    out = with_differences(add_team_features(folded, teams, features.with_tier))
+    form_columns = [*SIDE_FORM, *[f"Diff_{c}" for c in FORM_DIFFERENCES]]
+    return out.select(*[c for c in out.columns if c not in form_columns], *form_columns)
 
 
 def results_model_ready(
@@ -63,15 +89,15 @@ def results_model_ready(
     teams: DataFrame,
     venues: DataFrame,
     features: FeatureSet = INTERNATIONAL,
-    block_rows: int = DEFAULT_BLOCK_ROWS,
+    pieces: int | None = None,
 ) -> DataFrame:
     """Played matches with pre-match features, decay weight and targets; scores removed.
 
     Draws still count for form and for the newest date; they leave with the targets.
     """
-    known = _canonical(results, teams, venues)
-    played = drop_null_rows(_with_form(known, teams, features, ("ID",), block_rows, results.count()), SCORES)
-    # The newest date comes from the filtered matches: same rows, none of the form work.
+    known = _stored_canonical(results, teams, venues)
+    wanted = F.col("PointsFor").isNotNull() & F.col("PointsAgainst").isNotNull()
+    played = _with_form(known, teams, features, wanted, pieces)
     reference = latest_date(drop_null_rows(known, SCORES), "MatchDate")
     weighted = add_time_decay(played, "MatchDate", features.half_life_years, reference)
     final = without_columns(add_targets(weighted), *SCORES)
@@ -84,15 +110,15 @@ def fixtures_model_ready(
     teams: DataFrame,
     venues: DataFrame,
     features: FeatureSet = INTERNATIONAL,
-    block_rows: int = DEFAULT_BLOCK_ROWS,
+    pieces: int | None = None,
 ) -> DataFrame:
     """Upcoming matches with the features the results build gives, from all history.
 
-    Fixtures are picked out last, after they took part in the ordering.
+    Fixtures are the matches with a kick-off time. They are picked out after they took part in the
+    ordering, and before anything is folded or looked up.
     """
-    known = _canonical(union_fixtures(fixtures, results, SOURCE), teams, venues)
-    matches = fixtures.count() + results.count()
-    with_form = _with_form(known, teams, features, ("ID", SOURCE), block_rows, matches)
+    known = _stored_canonical(union_fixtures(fixtures, results, SOURCE), teams, venues)
+    with_form = _with_form(known, teams, features, F.col("KickoffTimeLocal").isNotNull(), pieces)
     weighted = add_time_decay(with_form, "MatchDate", features.half_life_years, latest_date(known, "MatchDate"))
-    final = keep_timed(without_columns(weighted, *SCORES, SOURCE), "KickoffTimeLocal")
+    final = without_columns(weighted, *SCORES, SOURCE)
     return final.withColumn("MatchDate", midnight(timestamp_of(final, "MatchDate")))

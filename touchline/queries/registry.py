@@ -311,9 +311,7 @@ def lagged_windows(spark, sf_dir):
     summed = ordering.lagged(
         gaps,
         ["user_id"],
-        "ts",
-        "event_id",
-        [F.col("ts").asc_nulls_last(), F.col("event_id")],
+        [F.col("ts"), F.col("event_id")],
         3,
         lambda w: {"mean_3": lagged_mean("amount", w, 3), "sum_3": lagged_sum("amount", w, 3)},
     )
