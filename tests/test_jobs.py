@@ -77,7 +77,8 @@ def world(spark, tmp_path_factory):
     for number, (name, kind, provider, ddl) in enumerate(specs):
         defined.append((number, name, kind, provider))
         for position, field in enumerate(T.StructType.fromDDL(ddl).fields):
-            columns.append((number, field.name, LOGICAL[field.dataType.simpleString()], field.name != "CreatedAt" and field.name != "ID", position))
+            logical = "bit" if field.name == "world_cup" else LOGICAL[field.dataType.simpleString()]
+            columns.append((number, field.name, logical, field.name != "CreatedAt" and field.name != "ID", position))
     spark.createDataFrame(
         defined, "id int, table_name string, integration_type string, integration_provider string"
     ).write.saveAsTable("schema_tables")
@@ -123,7 +124,7 @@ def test_batch_runs_all_nine_jobs(spark, world):
         "b-fixtures": "failed to preprocess",
     }
     failed = spark.table("event_history").where("status = 'failed'").collect()
-    assert [r["error_message"] for r in failed] == ["No preprocessing handler registered under name 'unheard_of'"]
+    assert [r["error_message"] for r in failed] == ["There is no job named 'unheard_of'"]
 
     results = spark.table("InternationalMatchResults")
     assert results.count() == 6 and results.select("ID").distinct().count() == 6
@@ -170,7 +171,7 @@ def test_invalid_source_is_refused(spark, world):
     df = spark.createDataFrame([("2024-02-01", "Six Nations")], "match_date string, competition_name string")
     snapshots.write_snapshot(df, world, "results", "feed", "broken")
     before = spark.table("URCMatchResults").count()
-    with pytest.raises(ValueError, match="missing required column"):
+    with pytest.raises(ValueError, match="lacks the required column"):
         jobs.run_job(
             spark,
             event(pipeline_name="scraped_to_league_results", integration_type="results", container_name=world,
@@ -179,6 +180,21 @@ def test_invalid_source_is_refused(spark, world):
     assert spark.table("URCMatchResults").count() == before
 
 
+def test_values_that_do_not_parse_are_refused(spark, world):
+    df = spark.createDataFrame([("2024-02-01", "Six Nations", "France", "Wales", "20.0", "x1", "loftus", "7:00PM")],
+                               "match_date string, competition_name string, home_team string, away_team string, home_score string, "
+                               "away_score string, venue string, kickoff_time_local string")
+    snapshots.write_snapshot(df, world, "results", "feed", "unreadable")
+    before = spark.table("InternationalMatchResults").count()
+    with pytest.raises(ValueError, match="1 values of column 'away_score' are no int, e.g. 'x1'"):
+        jobs.run_job(
+            spark,
+            event(pipeline_name="scraped_to_international_results", integration_type="results", container_name=world,
+                  blob_path="results/feed/unreadable", target_table="InternationalMatchResults"),
+        )
+    assert spark.table("InternationalMatchResults").count() == before
+
+
 def test_second_run_finds_nothing_to_do(spark, world):
     before = spark.table("event_history").count()
     assert jobs.run_batch(spark).isEmpty()

@@ -4,6 +4,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import types as T
 
+from touchline.operators import quality
 from touchline.operators.quality import ColumnRule
 from touchline.plans import ingestion
 from touchline.session import scratch_path, shared_root
@@ -75,11 +76,41 @@ def test_snapshot_round_trip(spark, tmp_path):
     df = spark.createDataFrame(tricky, "t string, n bigint, u string")
     path = snapshots.write_snapshot(df, str(tmp_path), "results", "feed", "day1")
     assert path == f"{tmp_path}/results/feed/day1"
-    assert rows(snapshots.read_snapshot(spark, path, df.schema)) == sorted(tricky, key=repr)
+    assert rows(snapshots.read_snapshot(spark, path, df.schema, multi_line=True)) == sorted(tricky, key=repr)
     snapshots.write_snapshot(df.limit(1), str(tmp_path), "results", "feed", "day1")
     assert snapshots.read_snapshot(spark, path).count() == 1
 
 
+RAW = [("20.0", "1"), ("abc", "0"), ("7", "1"), (None, "true"), (" 8 ", "yes")]
+
+
+def test_bad_values_reach_validation(spark):
+    raw = spark.createDataFrame(RAW, "home_score string, world_cup string")
+    rules = [ColumnRule("home_score", "int", True), ColumnRule("world_cup", "bit"), ColumnRule("absent", "date")]
+    found = quality.rejected_values(raw, rules)
+    assert rows(found) == [("home_score", "int", 1, "abc"), ("world_cup", "bit", 1, "yes")]
+    typed = snapshots.parsed(raw, rules)
+    assert typed.collect() == [(20, True), (None, False), (7, True), (None, True), (8, None)]
+    with pytest.raises(ValueError, match="1 values of column 'home_score' are no int, e.g. 'abc'"):
+        quality.validate_source(typed, rules, raw)
+    quality.validate_source(typed.where("home_score in (7, 20)"), rules, raw.where("home_score in ('7', '20.0')"))
+
+
+def test_snapshot_with_a_schema_raises_on_bad_values(spark, tmp_path):
+    (tmp_path / "r.csv").write_text("n\n1\nx\n")
+    with pytest.raises(Exception, match="n is no bigint: x"):
+        snapshots.read_snapshot(spark, str(tmp_path / "r.csv"), spark.createDataFrame([], "n bigint").schema).collect()
+
+
+def test_new_ids_are_consecutive_over_appends(spark):
+    for start in range(3):
+        tables.append_rows(spark.range(start * 10, start * 10 + 10, 1, 4).withColumnRenamed("id", "v"), "numbered_table")
+    out = spark.table("numbered_table")
+    assert sorted(r["ID"] for r in out.collect()) == list(range(1, 31)) and out.where("CreatedAt is null").isEmpty()
+    tables.replace_rows(spark.range(0, 5, 1, 3).withColumnRenamed("id", "v"), "numbered_table")
+    assert sorted(r["ID"] for r in spark.table("numbered_table").collect()) == [1, 2, 3, 4, 5]
+
+
 def test_snapshot_schema_by_name(spark, tmp_path):
     (tmp_path / "results.csv").write_text("col2,other,col1\n1,x,2\n3,y,4\n")
     rules = [ColumnRule("col1", "int"), ColumnRule("col2", "float"), ColumnRule("absent", "string")]

@@ -56,8 +56,12 @@ def query_parameter(url: Column | str, key: str) -> Column:
 
 
 def percent_text(value: Column | str, digits: int = 1) -> Column:
-    return F.format_string(f"%.{digits}f%%", _column(value) * 100)
+    """A share as percent; null stays null."""
+    value = _column(value)
+    return F.when(value.isNotNull(), F.format_string(f"%.{digits}f%%", value * 100))
 
 
 def points_text(value: Column | str, digits: int = 1) -> Column:
-    return F.format_string(f"%.{digits}f pts", _column(value))
+    """A margin in points; null stays null."""
+    value = _column(value)
+    return F.when(value.isNotNull(), F.format_string(f"%.{digits}f pts", value))

@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from touchline.functions.text import blank_to_null, strip
-from touchline.functions.types import needs_zero_one_check, type_matches
+from touchline.functions.text import blank_to_null
+from touchline.functions.types import needs_zero_one_check, number_of, parse_text, type_matches
 
 
 @dataclass(frozen=True)
@@ -28,11 +28,11 @@ def validate(df: DataFrame, rules: Sequence[ColumnRule], what: str = "Transforme
     aggregate over just those columns.
     """
     if df.isEmpty():
-        raise ValueError(f"{what} is empty")
+        raise ValueError(f"{what} holds no rows")
     present = {field.name: field.dataType for field in df.schema.fields}
     for rule in rules:
         if rule.required and rule.name not in present:
-            raise ValueError(f"{what} is missing required column: {rule.name}")
+            raise ValueError(f"{what} lacks the required column {rule.name!r}")
     flags = []
     for rule in rules:
         actual = present.get(rule.name)
@@ -44,11 +44,9 @@ def validate(df: DataFrame, rules: Sequence[ColumnRule], what: str = "Transforme
             flags.append(rule)
     if not flags:
         return
-    outside = df.agg(
-        *[F.coalesce(F.max((~F.col(r.name).isin(0, 1)).cast("int")), F.lit(0)).alias(r.name) for r in flags]
-    ).first()
+    wrong = {r["column_name"] for r in validation_report(df, flags).where("outside_zero_one > 0").collect()}
     for rule in flags:
-        if outside[rule.name]:
+        if rule.name in wrong:
             raise ValueError(_mismatch(what, rule, present[rule.name]))
 
 
@@ -77,12 +75,38 @@ def validation_report(df: DataFrame, rules: Sequence[ColumnRule]) -> DataFrame:
 
 def _mismatch(what: str, rule: ColumnRule, actual: T.DataType) -> str:
     return (
-        f"{what} has unexpected data type for column: {rule.name}. "
-        f"Expected={rule.data_type}, got={actual.simpleString()}"
+        f"{what}: column {rule.name!r} is declared {rule.data_type} but holds {actual.simpleString()} values that do not fit"
     )
 
 
-def validate_source(df: DataFrame, rules: Sequence[ColumnRule]) -> None:
+def rejected_values(raw: DataFrame, rules: Sequence[ColumnRule]) -> DataFrame:
+    """One row per rule with a column in ``raw`` (text): how many values do not parse, and one of them."""
+
+    def line(rule: ColumnRule) -> Column:
+        text = F.col(rule.name)
+        bad = text.isNotNull() & parse_text(text, rule.data_type).isNull()
+        return F.struct(
+            F.lit(rule.name).alias("column_name"),
+            F.lit(rule.data_type).alias("data_type"),
+            F.count(F.when(bad, 1)).alias("rejected"),
+            F.min(F.when(bad, text)).alias("example"),
+        )
+
+    lines = [line(r) for r in rules if r.name in raw.columns]
+    empty = "column_name string, data_type string, rejected bigint, example string"
+    if not lines:
+        return raw.sparkSession.createDataFrame([], empty)
+    return raw.agg(F.array(*lines).alias("lines")).select(F.inline("lines"))
+
+
+def validate_source(df: DataFrame, rules: Sequence[ColumnRule], raw: DataFrame | None = None) -> None:
+    """As :func:`validate`; with ``raw``, the text that ``df`` was parsed from, every value must have parsed."""
+    if raw is not None:
+        for bad in rejected_values(raw, rules).where("rejected > 0").collect():
+            raise ValueError(
+                f"Source data: {bad['rejected']} values of column {bad['column_name']!r} are no {bad['data_type']}, "
+                f"e.g. {bad['example']!r}"
+            )
     validate(df, rules, "Source data")
 
 
@@ -93,20 +117,20 @@ def validate_target(df: DataFrame, rules: Sequence[ColumnRule]) -> None:
 def require_columns(df: DataFrame, columns: Iterable[str], what: str) -> None:
     missing = [c for c in columns if c not in df.columns]
     if missing:
-        raise ValueError(f"Missing {what} columns: {missing}")
+        raise ValueError(f"The frame lacks {what} columns {missing}")
 
 
 def schema_hash(columns: Sequence[str]) -> str:
     """Order-insensitive fingerprint of a column list."""
     if not columns:
-        raise ValueError("columns list cannot be empty")
+        raise ValueError("a fingerprint needs at least one column")
     return hashlib.sha256("|".join(sorted(columns)).encode("utf-8")).hexdigest()
 
 
 def schema_fingerprint(names: Column) -> Column:
     """The same fingerprint for an array column of names; an empty list is an error."""
     text = F.concat_ws("|", F.array_sort(names))
-    empty = F.raise_error(F.lit("columns list cannot be empty"))
+    empty = F.raise_error(F.lit("a fingerprint needs at least one column"))
     return F.when(F.size(names) == 0, empty).otherwise(F.sha2(text, 256))
 
 
@@ -115,9 +139,13 @@ def schema_fingerprint(names: Column) -> Column:
 
 @dataclass(frozen=True)
 class NormalisationRules:
+    """``counted_exactly``: columns whose distinct estimate (standard error 5 %) is at most this multiple
+    of ``max_categories`` get an exact count; at twice the limit the estimate is 10 errors away."""
+
     numeric_share: float = 0.95
     max_categories: int = 50
     category_share: float = 0.5
+    counted_exactly: float = 2.0
 
 
 NUMBER, CATEGORY, TEXT = "number", "category", "text"
@@ -128,13 +156,8 @@ def text_columns(df: DataFrame) -> list[str]:
 
 
 def as_number(column: str) -> Column:
-    """Text as a double, null where it does not parse.
-
-    ``NaN`` is no value, and the Java literal suffixes (``1d``, ``1f``) are no numbers.
-    """
-    text = strip(column)
-    value = F.when(~text.rlike("[0-9.][dDfF]$"), text.try_cast("double"))
-    return F.when(~F.isnan(value), value)
+    """A text column as a double, null where it does not parse."""
+    return number_of(F.col(column))
 
 
 def profile_text_columns(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -168,7 +191,7 @@ def classify_text_columns(df: DataFrame, rules: NormalisationRules = Normalisati
     for name, row in profile.items():
         if row["numeric"] and row["numeric"] / row["rows"] >= rules.numeric_share:
             kinds[name] = NUMBER
-        elif row["non_null"] and row["distinct_estimate"] <= 2 * rules.max_categories:
+        elif row["non_null"] and row["distinct_estimate"] <= rules.counted_exactly * rules.max_categories:
             borderline.append(name)
     if borderline:
         # Few distinct values remain here, so the exact count collapses map-side.

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def keep_allowed(df: DataFrame, column: str, allowed: Sequence[str]) -> DataFrame:
@@ -20,7 +21,7 @@ def distinct_rows(df: DataFrame) -> DataFrame:
 
 def drop_null_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     if not columns:
-        raise ValueError("columns list cannot be empty")
+        raise ValueError("name at least one column that must not be null")
     return df.dropna(subset=list(columns))
 
 
@@ -39,9 +40,13 @@ def keep_first(df: DataFrame, key: str, order: Sequence[Column | str]) -> DataFr
     return df.withColumn("_pick", F.row_number().over(ordered)).where("_pick = 1").drop("_pick")
 
 
-def latest_per_key(df: DataFrame, keys: Sequence[str], version: str) -> DataFrame:
-    """The row with the highest version for every key (same map-side limit as above)."""
-    ordered = Window.partitionBy(*keys).orderBy(F.col(version).desc_nulls_last())
+def latest_per_key(df: DataFrame, keys: Sequence[str], version: str, tie: Sequence[Column | str] = ()) -> DataFrame:
+    """The row with the highest version for every key (same map-side limit as above).
+
+    Equal versions are settled by ``tie``, by default by all other columns that have an order.
+    """
+    rest = tie or [f.name for f in df.schema.fields if f.name not in (*keys, version) and not isinstance(f.dataType, T.MapType)]
+    ordered = Window.partitionBy(*keys).orderBy(F.col(version).desc_nulls_last(), *rest)
     return df.withColumn("_pick", F.row_number().over(ordered)).where("_pick = 1").drop("_pick")
 
 

@@ -26,7 +26,7 @@ from touchline.plans.ledger import (
 )
 from touchline.session import ensure_checkpoint_dir
 from touchline.sources.catalog import catalog_columns, column_rules
-from touchline.sources.snapshots import read_snapshot, schema_from_rules
+from touchline.sources.snapshots import parsed, read_snapshot, read_text
 from touchline.sources.tables import (
     active_venues,
     append_rows,
@@ -120,12 +120,17 @@ def _rules(spark: SparkSession, names: Tables, **filters: str | None) -> list[Co
     return column_rules(found)
 
 
-def read_source(spark: SparkSession, event: Row, names: Tables) -> tuple[DataFrame, list[ColumnRule]]:
-    """The event's source frame and its rules: a batch-scoped table, or a CSV snapshot."""
+def read_source(
+    spark: SparkSession, event: Row | dict[str, Any], names: Tables, multi_line: bool = False
+) -> tuple[DataFrame, list[ColumnRule], DataFrame | None]:
+    """The event's source frame, its rules, and the text it was parsed from if it is a CSV snapshot.
+
+    A batch-scoped table has no such text. ``multi_line`` is for snapshots with line breaks in quotes.
+    """
     if event["source_table"]:
         rules = _rules(spark, names, table_name=event["source_table"])
         table = read_table(spark, event["source_table"])
-        return scope_to_batch(table, event["batch_id"], event["system_event_id"]), rules
+        return scope_to_batch(table, event["batch_id"], event["system_event_id"]), rules, None
     rules = _rules(
         spark,
         names,
@@ -133,25 +138,32 @@ def read_source(spark: SparkSession, event: Row, names: Tables) -> tuple[DataFra
         integration_provider=event["integration_provider"],
     )
     path = f"{event['container_name'].rstrip('/')}/{event['blob_path']}"
-    return read_snapshot(spark, path, schema_from_rules(rules) if rules else None), rules
+    if not rules:
+        return read_snapshot(spark, path, None, multi_line), rules, None
+    raw = read_text(spark, path, multi_line)
+    return parsed(raw, rules), rules, raw
 
 
-def run_job(spark: SparkSession, event: Row | dict[str, Any], names: Tables = Tables()) -> int:
+def run_job(
+    spark: SparkSession, event: Row | dict[str, Any], names: Tables = Tables(), multi_line: bool = False
+) -> int:
     """Read, validate, transform, validate, write. Returns the rows written (0: nothing to do).
 
+    Source values that do not parse fail the validation, so no row is lost to a bad value.
+
     The transformed frame is validated and written from one cached evaluation.
     """
     job = JOBS.get(event["pipeline_name"])
     if job is None:
-        raise ValueError(f"No preprocessing handler registered under name {event['pipeline_name']!r}")
+        raise ValueError(f"There is no job named {event['pipeline_name']!r}")
     target = event["target_table"]
     if job.write_mode == TRUNCATE_FIRST:
         # Always, so that "no data today" leaves an empty table and no old fixtures.
         truncate_table(spark, target)
-    source, source_rules = read_source(spark, event, names)
+    source, source_rules, raw = read_source(spark, event, names, multi_line)
     if source.isEmpty():
         return 0
-    validate_source(source, source_rules)
+    validate_source(source, source_rules, raw)
     result = job.transform(spark, source, names).persist()
     try:
         rows = result.count()

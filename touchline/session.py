@@ -33,7 +33,8 @@ def build_session(app_name: str = "touchline", master: str | None = None, **conf
 def shared_root(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    Only when the setting is absent (tests on one machine) is a temporary folder used.
+    When the setting is absent, a temporary folder serves a local master; on a cluster each
+    executor would write to a disk of its own, so the setting is required there.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
@@ -41,6 +42,9 @@ def shared_root(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     local = tempfile.mkdtemp(prefix="touchline-")
     spark.sparkContext.setCheckpointDir(local)
     return local

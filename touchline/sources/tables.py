@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from touchline.operators.quality import NormalisationRules, normalise_types
+from touchline.session import scratch_path
 
 
 def read_table(
@@ -65,15 +66,38 @@ def create_table(spark: SparkSession, table: str, schema: T.StructType) -> None:
         spark.createDataFrame([], schema).write.saveAsTable(table)
 
 
+_IN_TASK = (1 << 33) - 1
+
+
+def _numbered(df: DataFrame, id_col: str, first_id: int) -> DataFrame:
+    """``df`` with consecutive ids from ``first_id`` on, without a sort.
+
+    The rows are written to the shared folder with their number inside the task that made them; a
+    count for each task then says where its ids start.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, "numbered")
+    df.withColumn(id_col, F.monotonically_increasing_id()).write.parquet(path)
+    rows = spark.read.parquet(path)
+    task = F.shiftright(F.col(id_col), 33).cast("int")
+    starts = []
+    for number, count in rows.groupBy(task.alias("task")).count().orderBy("task").collect():  # one row a task
+        starts.append((number, first_id))
+        first_id += count
+    offsets = F.broadcast(spark.createDataFrame(starts, "_task int, _start bigint"))
+    numbered = rows.withColumn("_task", task).join(offsets, "_task")
+    own = F.col("_start") + F.col(id_col).bitwiseAND(F.lit(_IN_TASK))
+    return numbered.withColumn(id_col, own).select(id_col, *df.columns)
+
+
 def _fit_to(target: T.StructType, df: DataFrame, first_id: int, id_col: str, stamp_col: str) -> DataFrame:
     """The target's columns by name; a missing id is numbered, a missing creation time stamped."""
+    if id_col in target.names and id_col not in df.columns:
+        df = _numbered(df, id_col, first_id)
     out = []
     for field in target.fields:
         if field.name in df.columns:
             value = F.col(field.name)
-        elif field.name == id_col:
-            # Unique across tasks without a sort; written once, so it is fixed from then on.
-            value = F.monotonically_increasing_id() + F.lit(first_id)
         elif field.name == stamp_col:
             value = F.current_timestamp()
         else:
@@ -82,17 +106,27 @@ def _fit_to(target: T.StructType, df: DataFrame, first_id: int, id_col: str, sta
     return df.select(*out)
 
 
+def _create_from(df: DataFrame, table: str, id_col: str, stamp_col: str) -> None:
+    """A new table with the frame's rows, numbered and stamped as later appends will be."""
+    if id_col and id_col not in df.columns:
+        df = _numbered(df, id_col, 1)
+    if stamp_col and stamp_col not in df.columns:
+        df = df.withColumn(stamp_col, F.current_timestamp())
+    df.write.saveAsTable(table)
+
+
 def append_rows(df: DataFrame, table: str, id_col: str = "ID", stamp_col: str = "CreatedAt") -> None:
     """Append to a table, creating it when absent. An empty frame adds nothing.
 
-    Columns are matched by name. Frames without the table's id column get new ids above the
-    highest one in use.
+    Columns are matched by name. Frames without the table's id column get consecutive new ids
+    above the highest one in use. A table created here gets the id and the creation time as
+    columns; pass empty names for a table without them.
     """
     if not isinstance(df, DataFrame):
         raise TypeError(f"append_rows expects a DataFrame, got {type(df).__name__}")
     spark = df.sparkSession
     if not spark.catalog.tableExists(table):
-        df.write.saveAsTable(table)
+        _create_from(df, table, id_col, stamp_col)
         return
     target = spark.table(table)
     first_id = 0
@@ -125,7 +159,7 @@ def replace_rows(df: DataFrame, table: str, id_col: str = "ID", stamp_col: str =
         raise TypeError(f"replace_rows expects a DataFrame, got {type(df).__name__}")
     spark = df.sparkSession
     if not spark.catalog.tableExists(table):
-        df.write.saveAsTable(table)
+        _create_from(df, table, id_col, stamp_col)
         return
     fitted = _fit_to(spark.table(table).schema, df, 1, id_col, stamp_col)
     fitted.write.insertInto(table, overwrite=True)
