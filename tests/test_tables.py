@@ -168,8 +168,8 @@ def test_ingest_pages(spark, tmp_path):
 
     found = pages_of(spark, page(game("A", "B", "FT", 1)))
     path = ingestion.ingest_pages(found, "results", "feed", dates_of(spark, DAY), "d1", str(tmp_path))
-    assert rows(snapshots.read_snapshot(spark, path), "home_team", "home_score", "match_id") == [("A", 20, 1)]
-    with pytest.raises(ValueError, match="No scraped values"):
+    assert rows(snapshots.read_snapshot(spark, path), "home_team", "home_score", "match_id") == [("A", 31, 1)]
+    with pytest.raises(ValueError, match="gave no results"):
         ingestion.ingest_pages(pages_of(spark, "<p>"), "results", "feed", dates_of(spark, DAY), "d2", str(tmp_path))
 
 

@@ -46,6 +46,6 @@ def decay_weight(moment: Column, reference: Column, half_life_years: float) -> C
 def days_between(first: Column, last: Column) -> Column:
     """Array of every date from first to last, both included; a reversed range raises."""
     checked = F.when(
-        first > last, F.raise_error(F.lit("start_date must be less than or equal to end_date"))
+        first > last, F.raise_error(F.lit("the first day lies after the last day"))
     ).otherwise(last)
     return F.sequence(first.cast("date"), checked.cast("date"), F.expr("interval 1 day"))

@@ -51,7 +51,7 @@ def add_city_and_country(
 
 def _canonical_keys(reference: DataFrame, name: str, what: str) -> DataFrame:
     if name not in reference.columns or reference.isEmpty():
-        raise ValueError(f"Canonical {what} table is empty or missing {name} column")
+        raise ValueError(f"the table of {what} needs rows and a {name} column")
     return reference.select(name_key(name).alias("_known")).where("_known is not null")
 
 

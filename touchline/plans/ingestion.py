@@ -69,7 +69,7 @@ def ingest_pages(
     records = scrape(pages, kind, provider, dates).persist()
     try:
         if records.isEmpty():
-            raise ValueError(f"No scraped values found for provider={provider} and type={kind}")
+            raise ValueError(f"the pages of {provider} gave no {kind}")
         return write_snapshot(records, root, kind, provider, dataset)
     finally:
         records.unpersist()

@@ -500,4 +500,42 @@ ORACLE = {
         "matches", "scores",
     ),
     "digest_sections": _sql(f"SELECT table_name, count(*) AS rows FROM ({_PREDICTIONS}) GROUP BY 1", "matches", "scores"),
+    "typed_snapshot": """
+        SELECT o_orderkey AS order_id, o_custkey % 2 = 1 AS odd, o_custkey AS customer, o_totalprice AS price,
+               strftime(o_orderdate, '%Y-%m-%d') AS day, CASE WHEN o_custkey % 7 > 0 THEN o_orderpriority END AS priority
+        FROM orders""",
+    "rejected_values": """
+        SELECT 'odd' AS column_name, 'bit' AS data_type, count(*) FILTER (o_custkey % 3 = 2) AS rejected,
+               min('2') FILTER (o_custkey % 3 = 2) AS example FROM orders
+        UNION ALL SELECT 'customer', 'int', count(*) FILTER (o_custkey % 5 = 0),
+               min('no ' || o_custkey) FILTER (o_custkey % 5 = 0) FROM orders
+        UNION ALL SELECT 'day', 'date', count(*) FILTER (o_orderkey % 9 = 0), min('2001-02-30') FILTER (o_orderkey % 9 = 0) FROM orders
+        UNION ALL SELECT 'priority', 'string', 0, NULL FROM orders WHERE false OR o_orderkey = (SELECT min(o_orderkey) FROM orders)""",
+    "appended_table": """
+        SELECT count(*) AS rows, CAST(sum(o_orderkey) AS BIGINT) AS keys, count(*) AS stamped,
+               CAST(1 AS BIGINT) AS first_id, count(*) AS last_id, count(*) AS ids
+        FROM orders""",
+    "replaced_table": "SELECT o_orderkey AS ID, o_orderstatus FROM orders WHERE o_orderkey % 2 = 1",
+    "job_results_to_model": _model_results(True, 10.0),
+    "attach_form_gaps": f"""{_sql("", "matches").rstrip()},
+        gaps AS (SELECT * REPLACE (CASE WHEN ID % 11 > 0 THEN HomeTeam END AS HomeTeam,
+                                   CASE WHEN ID % 13 > 0 THEN AwayTeam END AS AwayTeam) FROM matches),
+        form AS ({_FORM.format(sides=_SIDES.format(columns="ID, MatchDate", source="gaps"), order="MatchDate, ID")})
+        SELECT m.ID, m.HomeTeam, m.AwayTeam, m.HomeScore, m.AwayScore, {_ATTACHED}
+        FROM gaps m
+        LEFT JOIN form h ON h.ID = m.ID AND h.Team = m.HomeTeam AND h.IsHome = 1
+        LEFT JOIN form a ON a.ID = m.ID AND a.Team = m.AwayTeam AND a.IsHome = 0""",
+    "stored_scores": _sql(
+        """SELECT ID, round(home_win, 9) AS homewin_v1, point_diff AS pointdiff_v1, 'run 3' AS SystemEventId,
+                  'international' AS ModelGroupKey, true AS stamped FROM scores""",
+        "matches", "scores",
+    ),
+    "training_rows": _sql(
+        """SELECT ID, row_number() OVER (ORDER BY MatchDate, ID)
+                  > greatest(1, count(*) OVER () - greatest(1, floor(count(*) OVER () * 0.25))) AS is_validation
+           FROM matches WHERE ID % 7 > 0 AND ID % 5 > 0""",
+        "matches",
+    ),
+    "train_score_checks": f"""SELECT ID, true AS is_probability, true AS is_finite FROM ({_model_fixtures(True, 10.0)})""",
 }
+ORACLE["model_dataset"] = ORACLE["normalise_types"]

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import dataclasses
 import datetime as dt
+import uuid
 from collections.abc import Callable
 
+from pyspark.ml import PipelineModel
+from pyspark.ml.feature import SQLTransformer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +17,7 @@ from touchline.functions.text import blank_to_null, contains_ignore_case, name_k
 from touchline.functions.windows import lagged_mean, lagged_sum
 from touchline.operators import form, lookups, metrics, ordering, quality, rows
 from touchline.operators.quality import ColumnRule
-from touchline.plans import cleaning, features, ingestion, ledger, modelling, report
+from touchline.plans import cleaning, features, ingestion, jobs, ledger, modelling, report
 from touchline.queries import views
 from touchline.session import scratch_path
 from touchline.sources import catalog, pages, snapshots, tables
@@ -22,7 +26,6 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 TODAY = dt.date(2024, 3, 15)
-SMALL_TABLE_ROWS = 5_000_000
 REPORT_DAY = dt.date(1998, 6, 1)
 
 
@@ -83,6 +86,120 @@ def csv_snapshot(spark, sf_dir):
     )
 
 
+def _raw_orders(spark, sf_dir) -> DataFrame:
+    """Orders as text columns: a 0/1 flag and whole numbers written with decimals among them."""
+    return views.table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").cast("string").alias("order_id"),
+        (F.col("o_custkey") % 2).cast("string").alias("odd"),
+        F.concat(F.col("o_custkey").cast("string"), F.lit(".0")).alias("customer"),
+        F.col("o_totalprice").cast("string").alias("price"),
+        day_text("o_orderdate", "day"),
+        F.when(F.col("o_custkey") % 7 > 0, F.col("o_orderpriority")).alias("priority"),
+    )
+
+
+_ORDER_RULES = [
+    ColumnRule("order_id", "int", True),
+    ColumnRule("odd", "bit", True),
+    ColumnRule("customer", "int", True),
+    ColumnRule("price", "decimal"),
+    ColumnRule("day", "date"),
+    ColumnRule("priority", "string"),
+]
+
+
+@query
+def typed_snapshot(spark, sf_dir):
+    """All orders through a CSV snapshot: written, read as text, validated and parsed by catalog types."""
+    path = snapshots.write_snapshot(_raw_orders(spark, sf_dir), scratch_path(spark, "snapshot"), "orders", "feed", "all")
+    raw = snapshots.read_text(spark, path)
+    typed = snapshots.parsed(raw, _ORDER_RULES)
+    quality.validate_source(typed, _ORDER_RULES, raw)
+    return typed.withColumn("day", F.date_format("day", "yyyy-MM-dd"))
+
+
+@query
+def rejected_values(spark, sf_dir):
+    """Values of all orders that do not parse: flags other than 0 and 1, broken numbers and days."""
+    orders = views.table(spark, sf_dir, "orders")
+    raw = orders.select(
+        (F.col("o_custkey") % 3).cast("string").alias("odd"),
+        F.when(F.col("o_custkey") % 5 == 0, F.concat(F.lit("no "), F.col("o_custkey").cast("string")))
+        .otherwise(F.col("o_custkey").cast("string"))
+        .alias("customer"),
+        F.when(F.col("o_orderkey") % 9 == 0, F.lit("2001-02-30")).otherwise(day_text("o_orderdate")).alias("day"),
+        F.col("o_orderpriority").alias("priority"),
+    )
+    rules = [ColumnRule("odd", "bit"), ColumnRule("customer", "int"), ColumnRule("day", "date"), ColumnRule("priority", "string")]
+    return quality.rejected_values(raw, rules)
+
+
+def _fresh(name: str) -> str:
+    """A table name of its own for every call."""
+    return f"{name}_{uuid.uuid4().hex}"
+
+
+@query
+def appended_table(spark, sf_dir):
+    """All orders appended in three parts, the first creating the table: ids stay consecutive."""
+    orders = views.table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    name = _fresh("appended")
+    for part in range(3):
+        tables.append_rows(orders.where(F.col("o_orderkey") % 3 == part), name)
+    return spark.table(name).agg(
+        F.count("*").alias("rows"),
+        F.sum("o_orderkey").alias("keys"),
+        F.count("CreatedAt").alias("stamped"),
+        F.min("ID").alias("first_id"),
+        F.max("ID").alias("last_id"),
+        F.countDistinct("ID").alias("ids"),
+    )
+
+
+@query
+def replaced_table(spark, sf_dir):
+    """A table filled with one half of the orders, truncated, and replaced by the other half."""
+    orders = views.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("ID"), "o_orderstatus")
+    name = _fresh("replaced")
+    tables.replace_rows(orders.where("ID % 2 = 0"), name)
+    tables.truncate_table(spark, name)
+    tables.append_rows(orders.where("ID % 5 = 0"), name)
+    tables.replace_rows(orders.where("ID % 2 = 1"), name)
+    return spark.table(name).select("ID", "o_orderstatus")
+
+
+@query
+def model_dataset(spark, sf_dir):
+    """A stored, loosely typed table read as a model source: exact projection and normalised types."""
+    name = _fresh("loose")
+    _loosely_typed(spark, sf_dir).write.saveAsTable(name)
+    return tables.read_model_dataset(spark, name, ["c_custkey", "account", "half_numeric", "segment", "name"])
+
+
+@query
+def job_results_to_model(spark, sf_dir):
+    """The job from clean results to the model table over all matches: read, validate, build, validate, write."""
+    names = jobs.Tables(
+        venues=_fresh("venues"), international_teams=_fresh("teams"), schema_tables=_fresh("schema_tables"), schema_columns=_fresh("schema_columns")
+    )
+    source, target = _fresh("results"), _fresh("model")
+    views.matches(spark, sf_dir).write.saveAsTable(source)
+    views.teams(spark, sf_dir).write.saveAsTable(names.international_teams)
+    views.venues(spark, sf_dir).write.saveAsTable(names.venues)
+    spark.createDataFrame(
+        [(1, source, None, None), (2, target, None, None)],
+        "id int, table_name string, integration_type string, integration_provider string",
+    ).write.saveAsTable(names.schema_tables)
+    known = [(1, "HomeScore", "int"), (1, "HomeTeam", "string"), (2, "PointDiff", "int"), (2, "TimeDecayWeight", "float")]
+    spark.createDataFrame(
+        [(table, column, kind, True, at) for at, (table, column, kind) in enumerate(known)],
+        "table_id int, column_name string, data_type string, is_required boolean, ordinal_position int",
+    ).write.saveAsTable(names.schema_columns)
+    job = {"pipeline_name": "international_results_to_model", "source_table": source, "target_table": target}
+    jobs.run_job(spark, {**job, "batch_id": "b", "system_event_id": "s"}, names)
+    return _model_ready(spark.table(target).drop("CreatedAt"))
+
+
 @query
 def date_spine(spark, sf_dir):
     bounds = (
@@ -121,10 +238,7 @@ def url_param(spark, sf_dir):
 @query
 def extract_pages(spark, sf_dir):
     wanted = views.matches(spark, sf_dir).where("HomeScore > 25").select(F.col("MatchDate").cast("date").alias("day"))
-    # A small table is one file: without spreading, one core would parse it all.
-    small = views.table(spark, sf_dir, "orders").count() <= SMALL_TABLE_ROWS
-    tasks = spark.sparkContext.defaultParallelism if small else None
-    return pages.extract_games(views.game_pages(spark, sf_dir), "fixtures", "feed", wanted, tasks).drop("pos")
+    return pages.extract_games(views.game_pages(spark, sf_dir), "fixtures", "feed", wanted).drop("pos")
 
 
 @query
@@ -332,6 +446,19 @@ def attach_form(spark, sf_dir):
     return with_form.drop("MatchDate", "CompetitionName", "Venue")
 
 
+@query
+def attach_form_gaps(spark, sf_dir):
+    """Form of all matches when some sides are unknown: the known side keeps its own."""
+    played = views.matches(spark, sf_dir).withColumns(
+        {
+            "HomeTeam": F.when(F.col("ID") % 11 > 0, F.col("HomeTeam")),
+            "AwayTeam": F.when(F.col("ID") % 13 > 0, F.col("AwayTeam")),
+        }
+    )
+    with_form = form.attach_form(played, form.rolling_form(form.to_team_rows(played)))
+    return with_form.drop("MatchDate", "CompetitionName", "Venue")
+
+
 @query
 def targets(spark, sf_dir):
     return form.add_targets(views.matches(spark, sf_dir)).select("ID", "PointDiff", "HomeWin")
@@ -551,14 +678,50 @@ def regression_metrics(spark, sf_dir):
     return found.select(*[F.round(c, 9).alias(c) for c in found.columns])
 
 
+def _given_scores() -> tuple[modelling.GroupSpec, dict[str, PipelineModel]]:
+    """Two models whose scores are columns of the frame."""
+    spec = dataclasses.replace(_model_group(), entities=("ID", "HomeTeam"), results_table=_fresh("scored"))
+    keys = {"homewin_v1": "home_win", "pointdiff_v1": "point_diff"}
+    models = tuple(dataclasses.replace(m, prediction_type="regression") for m in spec.models)
+    pipelines = {
+        key: PipelineModel([SQLTransformer(statement=f"SELECT *, {column} AS prediction FROM __THIS__")]) for key, column in keys.items()
+    }
+    return dataclasses.replace(spec, models=models), pipelines
+
+
 @query
 def wide_scores(spark, sf_dir):
-    wide = modelling.combine_scores(
-        views.scores(spark, sf_dir), ["ID", "HomeTeam"], {"homewin_v1": "home_win", "pointdiff_v1": "point_diff"}
-    )
+    wide = modelling.score_group(views.scores(spark, sf_dir), *_given_scores())
     return wide.withColumn("homewin_v1", F.round("homewin_v1", 9))
 
 
+@query
+def stored_scores(spark, sf_dir):
+    """The results table after a run with scores; before it, a run without any emptied older rows."""
+    spec, pipelines = _given_scores()
+    scored = modelling.score_group(views.scores(spark, sf_dir), spec, pipelines)
+    rules = [ColumnRule("ID", "int", True), ColumnRule("homewin_v1", "float", True)]
+    modelling.save_scores(scored.where("ID % 2 = 0"), spark, spec, "run 1", rules)
+    modelling.save_scores(None, spark, spec, "run 2", rules)
+    emptied = spark.table(spec.results_table).count()
+    modelling.save_scores(scored, spark, spec, "run 3", rules)
+    out = spark.table(spec.results_table).where(F.lit(emptied == 0))
+    return out.select(
+        "ID", F.round("homewin_v1", 9).alias("homewin_v1"), "pointdiff_v1", "SystemEventId", "ModelGroupKey",
+        F.col("ScoredAtUtc").isNotNull().alias("stamped"),
+    )
+
+
+@query
+def training_rows(spark, sf_dir):
+    """Rows with a label and every feature, and which of them validate."""
+    made = views.matches(spark, sf_dir).withColumns(
+        {"AwayScore": F.when(F.col("ID") % 7 > 0, F.col("AwayScore")), "Venue": F.when(F.col("ID") % 5 > 0, F.col("Venue"))}
+    )
+    complete = modelling.drop_incomplete(made, "AwayScore", ["HomeScore", "Venue"])
+    return modelling.time_split(complete, "MatchDate", "ID", 0.25, "is_validation").select("ID", "is_validation")
+
+
 def _model_group() -> modelling.GroupSpec:
     feature_columns = (
         "Home_Tier", "Away_Tier", "Home_Hemisphere", "Away_Hemisphere", "Home_FormWinRate", "Away_FormWinRate",
@@ -594,6 +757,14 @@ def train_score(spark, sf_dir):
     return modelling.score_group(upcoming.select(modelling.dataset_columns(spec, "scoring")), spec, pipelines)
 
 
+@query
+def train_score_checks(spark, sf_dir):
+    """What holds for any training: every fixture once, a probability, a finite margin."""
+    out = train_score(spark, sf_dir)
+    finite = F.col("pointdiff_v1").isNotNull() & ~F.isnan("pointdiff_v1") & (F.abs("pointdiff_v1") < float("inf"))
+    return out.select("ID", F.col("homewin_v1").between(0, 1).alias("is_probability"), finite.alias("is_finite"))
+
+
 def _predictions(spark, sf_dir) -> DataFrame:
     scored = views.scores(spark, sf_dir)
     league = F.col("CompetitionName") == "UNITED RUGBY CHAMPIONSHIP"

@@ -61,6 +61,9 @@ GAME_FIELDS = (
     "away_score",
     "match_link",
 )
+# What a header must hold for the exact pattern to be able to match.
+_HEADER = re.compile(r"[A-Za-z]{3}\s+\d{1,2},\s+\d{4}")
+GAMES_PER_BATCH = 2_000
 _RAW_FIELDS = pa.schema(
     [("page_id", pa.int64()), ("pos", pa.int32()), *[(name, pa.string()) for name in ("header_date", *GAME_FIELDS)]]
 )
@@ -179,8 +182,8 @@ def games_in_page(html: str) -> Iterator[dict[str, str | None]]:
         return
     for item in page.children(section, "div", "games-list-item"):
         header_date = page.text(page.first(item, "div", "date"))
-        if header_date is None:
-            continue
+        if header_date is None or not _HEADER.search(header_date):
+            continue  # before anything below the header is walked
         for competition in page.children(item, "div", "comp"):
             games = page.first(competition, "div", "games")
             if games is None:
@@ -208,31 +211,36 @@ def games_in_page(html: str) -> Iterator[dict[str, str | None]]:
 
 
 def _parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pages are decoded one by one, and their games leave in batches of about GAMES_PER_BATCH."""
+    columns: dict[str, list] = {field.name: [] for field in _RAW_FIELDS}
     for batch in batches:
-        columns: dict[str, list] = {field.name: [] for field in _RAW_FIELDS}
-        for page_id, html in zip(batch["page_id"].to_pylist(), batch["html"].to_pylist()):
-            for pos, game in enumerate(games_in_page(html)):
-                for name, value in {"page_id": page_id, "pos": pos, **game}.items():
+        for page_id, html in zip(batch["page_id"], batch["html"]):
+            for pos, game in enumerate(games_in_page(html.as_py())):
+                for name, value in {"page_id": page_id.as_py(), "pos": pos, **game}.items():
                     columns[name].append(value)
-        yield pa.RecordBatch.from_pydict(columns, schema=_RAW_FIELDS)
+            if len(columns["pos"]) >= GAMES_PER_BATCH:
+                yield pa.RecordBatch.from_pydict(columns, schema=_RAW_FIELDS)
+                columns = {field.name: [] for field in _RAW_FIELDS}
+    yield pa.RecordBatch.from_pydict(columns, schema=_RAW_FIELDS)
 
 
 def extract_games(
-    pages: DataFrame, kind: str, provider: str, dates: DataFrame | None = None, tasks: int | None = None
+    pages: DataFrame, kind: str, provider: str, dates: DataFrame | None = None
 ) -> DataFrame:
     """Scraped records of ``pages`` (page_id, html) with page_id and pos for ordering.
 
     kind      ``results`` or ``fixtures``; fixtures leave completed games out.
     dates     one date column; only games under these header dates are kept (all when None).
-    tasks     spread the parsing over this many tasks first. For an input in fewer files than
-              there are cores; otherwise the scan's own pieces are used and nothing is shuffled.
 
     Pages without a game list are dropped before Python sees them. Game blocks under an
     unreadable date header are skipped.
     """
     with_games = pages.where(F.col("html").contains("games-list")).select("page_id", "html")
-    if tasks:
-        with_games = with_games.repartition(tasks)
+    # Fewer pieces than cores (few files) would leave most cores idle; else nothing is shuffled.
+    if not pages.isStreaming:
+        cores = pages.sparkSession.sparkContext.defaultParallelism
+        if with_games.rdd.getNumPartitions() < cores:
+            with_games = with_games.repartition(cores)
     raw = with_games.mapInArrow(_parse_batches, _RAW_SCHEMA)
     # "Sun Dec 7, 2025": the weekday has to be there but does not take part in reading the date.
     header = F.regexp_extract(strip("header_date"), HEADER_DATE, 1)

@@ -8,6 +8,7 @@ stops (``availableNow``).
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from touchline.operators.rows import keep_first
@@ -32,16 +33,19 @@ def ingest_new_pages(
     checkpoint: str,
     dates: DataFrame | None = None,
 ) -> StreamingQuery:
-    """Extract the new pages, keep the first record per match id in each batch, append to ``target``.
+    """Extract the new pages and append the first record of every match id to ``target``.
 
-    A batch is written under its own number and overwritten when it is replayed, so a restart
-    after a lost executor or driver adds nothing twice. Read the result with
-    ``spark.read.parquet(target)``.
+    A record whose match id an earlier batch holds is left out; null counts as one id. A batch is
+    written under its own number and overwritten when it is replayed, so a restart after a lost
+    executor or driver adds nothing twice. Read the result with ``spark.read.parquet(target)``.
     """
 
     def write(batch: DataFrame, number: int) -> None:
         games = extract_games(batch, kind, provider, dates)
         first = keep_first(games, "match_id", ["page_id", "pos"]).select(*SCRAPED_COLUMNS)
+        if number:  # every earlier batch has written its folder
+            held = batch.sparkSession.read.parquet(target).where(F.col("batch") < number).select(F.col("match_id").alias("_held"))
+            first = first.join(held.distinct(), F.col("match_id").eqNullSafe(F.col("_held")), "left_anti")
         first.write.mode("overwrite").parquet(f"{target.rstrip('/')}/batch={number}")
 
     return (
