@@ -50,7 +50,6 @@ def test_work_plan(spark):
     assert rows(plan, "batch_id", "target_table", "execution_order") == [("b1", "T1", 1), ("b1", "T2", 2)]
     events = ledger.plan_events(plan)
     assert {r["status"] for r in events.collect()} == {"started"}
-    assert rows(ledger.in_batch(ingested, "b2"), "blob_path") == [("p2",)]
 
 
 def test_predictions(spark):
@@ -71,7 +70,7 @@ def test_predictions(spark):
     assert set(got) == {"A", "C", "E"}
     assert (got["A"]["predicted_winner"], got["A"]["home_team_win_prob_pct"], got["A"]["predicted_margin"]) == ("A", "62.3%", "4.3 pts")
     assert got["C"]["predicted_winner"] == "C" and got["E"]["predicted_winner"] == "F"
-    assert report.any_rows(out) and not report.any_rows(out.where("false"))
+    assert got["E"]["home_team_win_prob_pct"] is None and got["E"]["predicted_margin"] is None
     assert report.digest(out).columns == ["table_name", *report.DIGEST_COLUMNS]
     assert report.digest(out.select("home_team", "point_diff")).columns == ["home_team"]
     assert report.digest(out.select("point_diff")).columns == ["point_diff"]

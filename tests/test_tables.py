@@ -52,18 +52,6 @@ def test_append_truncate_replace(spark):
             write([1], "sink")
 
 
-def test_write_choices(spark):
-    df = spark.createDataFrame([("a",)], "v string")
-    tables.write_rows(df, "chosen", "fail")
-    tables.write_rows(df, "chosen")
-    assert spark.table("chosen").count() == 2
-    tables.write_rows(df, "chosen", "replace")
-    assert spark.table("chosen").count() == 1
-    for choice in ("fail", "guess"):
-        with pytest.raises(ValueError):
-            tables.write_rows(df, "chosen", choice)
-
-
 def test_active_venues(spark):
     df = spark.createDataFrame([("V", "C", "L", 1), ("W", "C", "L", 0)], "VenueName string, City string, Country string, IsActive int")
     assert rows(tables.active_venues(df)) == [("V", "C", "L")]

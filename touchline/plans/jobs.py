@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from itertools import groupby
 from typing import Any
 
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -20,7 +21,6 @@ from touchline.plans.ledger import (
     current_state,
     plan_events,
     roll_up,
-    transition,
     with_status,
     work_plan,
 )
@@ -179,7 +179,8 @@ def run_job(
 def run_batch(spark: SparkSession, names: Tables = Tables()) -> DataFrame:
     """Plan, record and run everything ingested but not yet processed; returns the batch outcomes.
 
-    A failed job is recorded and the others still run. Only plan rows reach the driver. An
+    A failed job is recorded and the others still run. Status changes are appended once for each
+    stage (execution order). Only plan rows reach the driver. An
     ingestion event with a recorded outcome is not planned again.
     """
     create_table(spark, names.history, T.StructType.fromDDL(HISTORY_SCHEMA))
@@ -191,13 +192,18 @@ def run_batch(spark: SparkSession, names: Tables = Tables()) -> DataFrame:
     append_rows(events, names.events, id_col="", stamp_col="")
     batches = with_status(ingested, INGESTED).checkpoint()
 
-    for event in events.orderBy("execution_order", "pipeline_name", "id").collect():
-        _record(spark, names, event["id"], RUNNING, 1)
-        try:
-            run_job(spark, event, names)
-            _record(spark, names, event["id"], SUCCEEDED, 2)
-        except Exception as problem:  # recorded; the other jobs still run
-            _record(spark, names, event["id"], FAILED, 2, str(problem))
+    planned = events.orderBy("execution_order", "pipeline_name", "id").collect()
+    for _, stage in groupby(planned, key=lambda event: event["execution_order"]):
+        stage = list(stage)
+        _record(spark, names, [(event["id"], RUNNING, None) for event in stage], 1)
+        outcomes = []
+        for event in stage:
+            try:
+                run_job(spark, event, names)
+                outcomes.append((event["id"], SUCCEEDED, None))
+            except Exception as problem:  # recorded; the other jobs still run
+                outcomes.append((event["id"], FAILED, str(problem)))
+        _record(spark, names, outcomes, 2)
 
     state = current_state(spark.table(names.history), tie="step").select("id", "status")
     children = events.drop("status").join(state, "id")
@@ -213,8 +219,8 @@ def run_batch(spark: SparkSession, names: Tables = Tables()) -> DataFrame:
     return outcome
 
 
-def _record(spark: SparkSession, names: Tables, event_id: str, status: str, step: int, error: str | None = None) -> None:
-    one = spark.createDataFrame([(event_id,)], "id string")
-    append_rows(
-        transition(one, status, error=error).withColumn("step", F.lit(step)), names.history, id_col="", stamp_col=""
-    )
+def _record(spark: SparkSession, names: Tables, changes: list[tuple[str, str, str | None]], step: int) -> None:
+    """One append for all events of a stage."""
+    rows = spark.createDataFrame(changes, "id string, status string, error_message string")
+    stamped = rows.withColumns({"at": F.current_timestamp(), "step": F.lit(step)})
+    append_rows(stamped.coalesce(1), names.history, id_col="", stamp_col="")

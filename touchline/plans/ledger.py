@@ -30,10 +30,6 @@ def with_status(events: DataFrame, status: str, column: str = "status") -> DataF
     return events.where(F.col(column) == status)
 
 
-def in_batch(events: DataFrame, batch_id, column: str = "batch_id") -> DataFrame:
-    return events.where(F.col(column) == F.lit(batch_id).cast(events.schema[column].dataType))
-
-
 def current_state(
     history: DataFrame, key: str = "id", at: str = "at", values: Sequence[str] = ("status", "error_message"),
     tie: str | None = None,

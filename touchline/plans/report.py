@@ -85,7 +85,3 @@ def digest(predictions: DataFrame) -> DataFrame:
 def digest_sections(predictions: DataFrame) -> DataFrame:
     """Row count per table; tables without rows do not appear."""
     return predictions.groupBy("table_name").agg(F.count("*").alias("rows"))
-
-
-def any_rows(predictions: DataFrame) -> bool:
-    return not predictions.isEmpty()

@@ -767,6 +767,7 @@ def train_score_checks(spark, sf_dir):
 
 def _predictions(spark, sf_dir) -> DataFrame:
     scored = views.scores(spark, sf_dir)
+    scored = scored.withColumns({c: F.when(F.col("ID") % 4 > 0, F.col(c)) for c in ("home_win", "point_diff")})
     league = F.col("CompetitionName") == "UNITED RUGBY CHAMPIONSHIP"
     columns = ("CompetitionName", "HomeTeam", "AwayTeam", "home_win", "point_diff")
     sources = [

@@ -135,20 +135,6 @@ def append_rows(df: DataFrame, table: str, id_col: str = "ID", stamp_col: str =
     _fit_to(target.schema, df, first_id, id_col, stamp_col).write.mode("append").saveAsTable(table)
 
 
-def write_rows(df: DataFrame, table: str, if_exists: str = "append") -> None:
-    """Write with one of the usual choices for an existing table: append, replace or fail."""
-    if if_exists == "append":
-        append_rows(df, table)
-    elif if_exists == "replace":
-        replace_rows(df, table)
-    elif if_exists == "fail":
-        if df.sparkSession.catalog.tableExists(table):
-            raise ValueError(f"Table {table!r} already exists")
-        append_rows(df, table)
-    else:
-        raise ValueError(f"Unknown if_exists: {if_exists!r}")
-
-
 def truncate_table(spark: SparkSession, table: str) -> None:
     spark.sql("TRUNCATE TABLE IDENTIFIER(:t)", args={"t": table})
 
