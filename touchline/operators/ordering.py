@@ -63,10 +63,11 @@ def lagged(
     # A later part needs a row of this one when the row is among the last before its start.
     later = F.collect_list(F.struct(F.col("_piece").alias("piece"), F.col("_start").alias("start")))
     parts = parts.withColumn("_later", later.over(in_group.rowsBetween(1, rows_back)))
-    # Only the first and the last group of a piece can be cut: at most two rows a piece.
+    # Only the first and the last group of a piece can be cut: at most two rows a piece, which Spark
+    # broadcasts once it has seen their size.
     backwards = Window.partitionBy(*groups, "_piece").orderBy(*[c.desc_nulls_first() for c in order])
     tails = (
-        cut.join(F.broadcast(parts), [*groups, "_piece"])
+        cut.join(parts, [*groups, "_piece"])
         .withColumn("_from_end", F.row_number().over(backwards))
         .where(F.col("_from_end") <= rows_back)
     )
