@@ -143,9 +143,9 @@ def test_bands_cover_all_pairs():
             assert rule.difference(a, b) <= rule.band_difference(starts, band(a))
 
 
-@pytest.mark.parametrize("cuts", [[], [2], [1, 3, 4], [1, 2, 3, 4, 5, 6]])
+@pytest.mark.parametrize("cuts", [[], [2], [5], [6, 7], [1, 3, 4, 8], [5, 8, 10], list(range(1, 12))])
 def test_runs_cut_by_partitions_and_batches(cuts):
-    rows = [(1, 3), (1, 4), (1, 8), (2, 1), (5, 2), (5, 3), (5, 9)]
+    rows = [(1, 3), (1, 4), (1, 8), (2, 1), (3, 6), (3, 7), (4, 5), (4, 6), (4, 8), (5, 2), (5, 3), (5, 9)]
     schema = pa.schema([("key", pa.int64()), ("uid", pa.int64()), ("place", pa.int32())])
     batches = [pa.RecordBatch.from_pylist([{"key": k, "uid": u, "place": 0} for k, u in rows[a:b]], schema=schema) for a, b in zip([0, *cuts], [*cuts, len(rows)])]
 
@@ -156,10 +156,10 @@ def test_runs_cut_by_partitions_and_batches(cuts):
             if r["kind"] == ngram_jaccard.CLAIM:
                 first[r["key"]] = min(first.get(r["key"], r["leader"]), r["leader"])
         found = {(r["leader"], r["uid"]) for r in out if r["kind"] == ngram_jaccard.MEMBER}
-        found |= {(first[r["key"]], u) for r in out if r["kind"] != ngram_jaccard.MEMBER for u in (r["uid"], r["leader"])}
+        found |= {(first.get(r["key"], r["leader"]), u) for r in out if r["kind"] != ngram_jaccard.MEMBER for u in (r["uid"], r["leader"])}
         return {(a, b) for a, b in found if a != b}
 
-    truth = {(3, 4), (3, 8), (2, 3), (2, 9)}
+    truth = {(3, 4), (3, 8), (6, 7), (5, 6), (5, 8), (2, 3), (2, 9)}
     assert pairs([batches]) == truth
     assert pairs([[b] for b in batches]) == truth
 

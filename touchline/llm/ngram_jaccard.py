@@ -219,15 +219,12 @@ def _lead_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lead = uid[start][run]
         if key[0] == open_key:
             lead[run == 0] = leader
-        shares = np.zeros(len(key), dtype=bool)
-        shares[1:] = ~start[1:]
-        shares[:-1] |= ~start[1:]
-        shares &= uid != lead  # a leader needs no row of its own
+        shares = uid != lead  # a leader needs no row of its own
         in_first = key == first_key
         # The last row waits for the next batch: its run may turn out to be the partition's last.
         in_last = key == key[-1]
         done = ~in_last
-        done_open = in_first & done & (uid != lead)
+        done_open = shares & in_first & done
         if done_open.any():
             yield rows(OPEN, key[done_open], lead[done_open], uid[done_open], place[done_open])
         plain = shares & ~in_first & done
@@ -235,7 +232,7 @@ def _lead_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield rows(MEMBER, key[plain], lead[plain], uid[plain], place[plain])
         # Rows of the open last run but its last one: which kind they are is known only at the end,
         # and OPEN is right either way.
-        waiting = in_last & (uid != lead)
+        waiting = shares & in_last
         waiting[-1] = False
         if waiting.any():
             yield rows(OPEN, key[waiting], lead[waiting], uid[waiting], place[waiting])
@@ -260,7 +257,13 @@ def _blocks(nodes: DataFrame, reps: DataFrame) -> DataFrame:
     )
     runs = stored(keyed.mapInArrow(_lead_runs, _RUN_SCHEMA), "jaccard-runs")
     first = runs.where(F.col("kind") == CLAIM).groupBy("key").agg(F.min("leader").alias("first"))
-    settled = runs.where(F.col("kind") != MEMBER).join(first, "key").where("uid <> first")
+    # A run that was open at the end of a batch only, not of the partition, has its own leader.
+    settled = (
+        runs.where(F.col("kind") != MEMBER)
+        .join(first, "key", "left")
+        .withColumn("first", F.coalesce("first", "leader"))
+        .where("uid <> first")
+    )
     pairs = (
         runs.where(F.col("kind") == MEMBER)
         .select("leader", "place", "uid")
