@@ -30,7 +30,7 @@ def plain_prediction(profiles, text):
     if not counts:
         return "und", 0.0
     numbers = language_id._GramNumbers(profiles.grams)
-    ranked = sorted(counts, key=lambda g: (-counts[g], int(np.uint64(numbers.of(g)).astype(np.int64))))[: profiles.size]
+    ranked = sorted(counts, key=lambda g: (-counts[g], numbers.of(g)))[: profiles.size]
     place = {g: i for i, g in enumerate(profiles.grams)}
     best = None
     for at, lang in enumerate(profiles.languages):

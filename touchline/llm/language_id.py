@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 import sys
+from array import array
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -49,7 +50,7 @@ def grams_of(word: str) -> list[str]:
 
 
 def _has_letter(word: str) -> bool:
-    return any(map(str.isalpha, word))
+    return word[0].isalpha() or any(map(str.isalpha, word))
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,17 +113,26 @@ class Profiles:
 class _GramNumbers(dict):
     """Numbers of a word's n-grams: those of the profiles come first, others are numbered by their bytes."""
 
+    MOST_OTHERS = 500_000
+
     def __init__(self, grams: tuple[str, ...]):
         super().__init__()
         self.number = {gram: i for i, gram in enumerate(grams)}
+        self.others: dict[str, int] = {}
 
     def of(self, gram: str) -> int:
         number = self.number.get(gram)
-        # Three code points fill 63 bits; the offset keeps them clear of the profiles' numbers.
-        return number if number is not None else (1 << 62) + sum(ord(c) << (20 * i) for i, c in enumerate(gram[::-1]))
+        if number is None:
+            number = self.others.get(gram)
+        if number is None:
+            if len(self.others) >= self.MOST_OTHERS:
+                self.others.clear()
+            # Three code points fill 63 bits; the offset keeps them clear of the profiles' numbers.
+            number = self.others[gram] = (1 << 62) + sum(ord(c) << (20 * i) for i, c in enumerate(gram[::-1]))
+        return number
 
     def __missing__(self, word: str) -> np.ndarray:
-        numbers = np.array([self.of(gram) for gram in grams_of(word)], dtype=np.uint64).astype(np.int64)
+        numbers = np.frombuffer(array("q", [self.of(gram) for gram in grams_of(word)]), dtype=np.int64)
         if len(word) <= LONGEST_WORD:
             if len(self) >= CACHED_WORDS:
                 self.clear()

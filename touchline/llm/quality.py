@@ -16,6 +16,7 @@ import re
 import sys
 from collections import Counter
 from dataclasses import dataclass
+from operator import eq
 
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -53,8 +54,9 @@ def content_features(text: bytes) -> list[float]:
     words = _WORD.findall(text.decode("utf-8", "replace").lower())
     counts = Counter(words)
     total = max(1, len(words))
-    repeats = sum(a == b for a, b in zip(words, words[1:])) / total
-    pairs = Counter(zip(words, words[1:]))
+    after = words[1:]
+    repeats = sum(map(eq, words, after)) / total
+    pairs = set(zip(words, after))
     return [
         _share(text, _UPPER, size),
         _share(text, _LOWER, size),
