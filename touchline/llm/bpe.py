@@ -6,6 +6,7 @@ import base64
 import json
 import re
 import sys
+from array import array
 
 import public_tokenizers
 import tiktoken
@@ -47,6 +48,14 @@ def encoding(ranks: Ranks, pattern: str = public_tokenizers.PATTERN) -> tiktoken
     return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
+def little_endian(ids: list[int], width: str) -> bytes:
+    """Ids as bytes of ``<u2`` or ``<u4``; for a few ids much cheaper than a numpy array."""
+    packed = array("H" if width == "<u2" else "I", ids)
+    if sys.byteorder == "big":
+        packed.byteswap()
+    return packed.tobytes()
+
+
 def chunks(text: str) -> list[str]:
     """``text`` cut before every space that a visible character follows.
 

@@ -24,14 +24,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from touchline.llm.bpe import Ranks, chunks, encoding, json_ranks, public_path  # noqa: F401
+from touchline.llm.bpe import Ranks, chunks, encoding, json_ranks, little_endian, public_path  # noqa: F401
 from touchline.llm.common import shuffle_tasks, stored, value_slices
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 CAPACITY = 2048
 WINDOW_SEQUENCES = 64
-CACHED_CHUNKS = 200_000
+CACHED_CHUNKS = 600_000
 CACHED_LENGTH = 48
 
 
@@ -44,7 +44,7 @@ class ChunkIds(dict):
         self.width = width
 
     def __missing__(self, chunk: str) -> bytes:
-        ids = np.array(self.encode(chunk), dtype=self.width).tobytes()
+        ids = little_endian(self.encode(chunk), self.width)
         if len(chunk) <= CACHED_LENGTH:
             if len(self) >= CACHED_CHUNKS:
                 self.clear()
