@@ -27,13 +27,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from touchline.llm.bpe import Ranks, chunks, encoding
-from touchline.llm.common import shuffle_tasks, stored, value_slices
+from touchline.llm.bpe import Ranks, chunks, encoding, little_endian
+from touchline.llm.common import shuffle_tasks, stored_by, value_slices
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # A block ends after the text that takes it over this many characters.
-BLOCK_CHARS = 8_000_000
+BLOCK_CHARS = 4_000_000
 CACHED_LENGTH = 48
 
 
@@ -59,7 +59,7 @@ class _Chunks(dict):
 
     def __missing__(self, chunk: str) -> bytes:
         words = self.words
-        numbers = np.array([words.setdefault(w, len(words)) for w in self.find(chunk)], dtype="<u4").tobytes()
+        numbers = little_endian([words.setdefault(w, len(words)) for w in self.find(chunk)], "<u4")
         if len(chunk) <= CACHED_LENGTH:
             self[chunk] = numbers
         return numbers
@@ -68,8 +68,9 @@ class _Chunks(dict):
 def _blocks(pattern: str, buckets: int, schema: pa.Schema) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def closed(ids: list[pa.Array], counts: list[int], numbers: list[bytes], seen: _Chunks) -> pa.RecordBatch:
         words = [w.encode() for w in seen.words]
+        alphabetical = np.array(sorted(range(len(words)), key=words.__getitem__), dtype=np.int64)  # neighbours share beginnings
         bucket = np.array([zlib.crc32(w) % buckets for w in words], dtype=np.int64)
-        order = np.argsort(bucket, kind="stable")  # words of a bucket get neighbouring numbers
+        order = alphabetical[np.argsort(bucket[alphabetical], kind="stable")]  # words of a bucket get neighbouring numbers
         renumbered = np.empty(len(words), dtype="<u4")
         renumbered[order] = np.arange(len(words))
         sequence = renumbered[np.frombuffer(b"".join(numbers), dtype="<u4")]
@@ -190,7 +191,7 @@ def encode(
     )
     arrow = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in block_type.fields])
     blocks = plain.mapInArrow(_blocks(pattern, 4 * tasks, arrow), block_type).withColumn("block", F.monotonically_increasing_id())
-    blocks = stored(blocks, "bpe-blocks")
+    blocks = stored_by(blocks, "block", tasks, "bpe-blocks")  # their positions are not shuffled
     words = blocks.select("block", F.explode("lists").alias("list")).select("block", "list.bucket", "list.words")
     encoded = (
         words.repartition(tasks, "bucket")
@@ -214,14 +215,18 @@ def decode(spark: SparkSession, ids: Column, ranks: Ranks) -> Column:
     @F.arrow_udf(T.BinaryType())
     def looked_up(column: pa.Array) -> pa.Array:
         tokens = pa.array(shared.value, pa.large_binary())
-        flat = tokens.take(column.flatten())
-        ends = np.frombuffer(flat.buffers()[1], dtype=np.int64, count=len(flat) + 1, offset=8 * flat.offset)
-        data = flat.buffers()[2]
-        data = data.to_pybytes() if data is not None else b""
-        sizes = np.array([0 if n is None else n for n in column.value_lengths().to_pylist()], dtype=np.int64)
-        stops = ends[np.cumsum(sizes)].tolist()
-        starts = [int(ends[0]), *stops[:-1]]
-        return pa.array([data[a:b] if v else None for a, b, v in zip(starts, stops, column.is_valid().to_pylist())], pa.binary())
+        out = []
+        for first in range(0, len(column), 128):
+            some = column.slice(first, 128)
+            found = tokens.take(some.flatten())
+            ends = np.frombuffer(found.buffers()[1], dtype=np.int64, count=len(found) + 1, offset=8 * found.offset)
+            data = found.buffers()[2]
+            data = memoryview(data) if data is not None else b""
+            sizes = np.array([n or 0 for n in some.value_lengths().to_pylist()], dtype=np.int64)
+            stops = ends[np.cumsum(sizes)].tolist()
+            starts = [int(ends[0]), *stops[:-1]]
+            out += [bytes(data[a:b]) if v else None for a, b, v in zip(starts, stops, some.is_valid().to_pylist())]
+        return pa.array(out, pa.binary())
 
     return looked_up(ids)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sys
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -35,6 +36,18 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stored_by(df: DataFrame, column: str, tasks: int, purpose: str) -> DataFrame:
+    """Like :func:`stored`, in ``tasks`` buckets of ``column``: a join on it leaves these rows where they are.
+
+    The table's name is needed for writing only and is taken back; its files stay in the shared folder.
+    """
+    spark, name = df.sparkSession, f"touchline_{purpose.replace('-', '_')}_{uuid.uuid4().hex}"
+    df.write.bucketBy(tasks, column).option("path", scratch_path(spark, purpose)).saveAsTable(name)
+    table = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return table
+
+
 def shuffle_tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
