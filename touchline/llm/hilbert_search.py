@@ -30,7 +30,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 CURVES = 8  # of one round
 DIMS, BITS = 6, 8
-WINDOW = 1024
+# A further curve costs a shuffle of all vectors, a wider window arithmetic only: windows are wide.
+WINDOW = 2048
 SAMPLE = 128
 RECALL = 0.95
 
