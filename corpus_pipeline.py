@@ -2,7 +2,8 @@
 
 toxicity      documents predicted toxic go (trees fitted on labelled rows outside the held-out third)
 line_dedup    lines that a smaller document holds go; a document may become empty, none is lost
-ngram_jaccard one document of each group of near copies stays, the one with the smallest id
+ngram_jaccard one document of each group of near copies (Jaccard similarity of five-word shingles
+              at least 0.8) stays, the one with the smallest id
 pii           validated personal values become pseudonyms
 packing       the texts as token sequences, mixed over sources
 
@@ -22,6 +23,8 @@ from touchline.llm.common import OWN, stored, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 ROW = f"{OWN}row"
+# Near copies of the corpus: five-word shingles, similarity 0.8. The default rule is the contract of op4 alone.
+NEAR_COPIES = ngram_jaccard.Rule(width=5, num=80, den=100)
 
 
 def _carried(docs: DataFrame) -> DataFrame:
@@ -49,7 +52,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return ngram_jaccard.keep_one(docs)
+    return ngram_jaccard.keep_one(docs, rule=NEAR_COPIES)
 
 
 def hide_personal_values(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

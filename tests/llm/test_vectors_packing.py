@@ -188,6 +188,16 @@ def test_pipeline_stages(spark):
         assert docs.where("doc_id is null or doc_id = 9999").count() == 2
 
 
+def test_near_copies_of_the_pipeline(spark, docs_of):
+    """Five words and 0.8: a pair at 0.81 (0.8498 with four words) is one document, a pair at 0.77 two."""
+    words = [f"w{i}" for i in range(200)]
+    at = lambda *places: " ".join("other" + w if i in places else w for i, w in enumerate(words))
+    other = lambda text: text.replace("w", "v")
+    rows = [(1, at()), (2, at(30, 60, 90, 120)), (3, other(at())), (4, other(at(30, 60, 90, 120, 150)))]
+    kept = corpus_pipeline.drop_near_copies(spark, docs_of(rows), SF_DIR)
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 3, 4]
+
+
 def test_pipeline_of_nothing(spark):
     docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").limit(0)
     for name, stage in corpus_pipeline.STAGES:
