@@ -53,6 +53,19 @@ def test_near_duplicates(table_of, monkeypatch):
     assert all(r.kept == (r.id == r.component_id) for r in found)
 
 
+def test_isolated_pairs_count_beside_a_large_group(table_of, monkeypatch):
+    """The first orderings see the group only: nearly all links are there, but no isolated pair."""
+    random = np.random.default_rng(8)
+    group = random.normal(size=16) + random.normal(size=(120, 16)) * 0.03
+    single = random.normal(size=(20, 16))
+    x = np.concatenate([group, single, single + random.normal(size=(20, 16)) * 0.03]).astype(np.float32)
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)]
+    whole = embedding_dedup._orderings
+    monkeypatch.setattr(embedding_dedup, "_orderings", lambda points, first, *rest: whole(points, first, *rest).where("a < 120 and b < 120" if first == 0 else "true"))
+    found = embedding_dedup.near_duplicates(table_of(rows)).collect()
+    assert {r.id: (r.n_links, r.component_id) for r in found} == links_of(rows)
+
+
 def test_near_duplicates_of_nothing(table_of):
     assert embedding_dedup.near_duplicates(table_of([])).collect() == []
     assert [tuple(r) for r in embedding_dedup.near_duplicates(table_of([(4, None)])).collect()] == [(4, 0, 4, True)]

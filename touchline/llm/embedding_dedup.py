@@ -4,8 +4,12 @@ Every vector starts with neighbours from a few sign-hash orderings. In each roun
 itself to its neighbours; at a neighbour all vectors that meet there are compared, and better
 neighbours found that way replace worse ones. Pairs at or above the threshold are kept whatever a
 list's length is. A list that holds near copies only is saturated: it is enlarged to all vectors
-of its component, compared in tiles of bounded size. Recall is audited against an exhaustive count
-for a sample of vectors, and rounds go on until it is reached.
+of its component, compared in tiles of bounded size.
+
+Rounds go on until one joins no two groups (an edge inside a group changes nothing). Then recall is
+audited: vectors are drawn in blocks and compared with all rows until LINKED of them have few
+links, or every vector was drawn. The share of drawn vectors whose links are all found must reach
+the recall, for vectors of few and of many links separately; otherwise further orderings follow.
 
 Equal vectors are one node with a count.
 """
@@ -22,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from touchline.llm.common import shuffle_tasks, stored
+from touchline.llm.common import shuffle_tasks, stored, value_slices
 from touchline.llm.graph import components
 from touchline.llm.vectors import matrix, one_per_id, unit
 
@@ -31,9 +35,12 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 COSINE = 0.95
 NEIGHBOURS = 8
 ORDERINGS, SIGNS, RUN = 4, 40, 64
-ROUNDS = 3  # before the first audit
-SAMPLE = 256
+ROUNDS = 3  # at least, before an audit
+# Rows of the first and of the largest block of the audit, and vectors of few links that it waits for.
+SAMPLE, LARGEST_SAMPLE, LINKED = 256, 4096, 64
 RECALL = 0.97
+# Links of the audit are above the threshold by more than rounding, so that each must be found.
+ROUNDING = 1e-9
 TILE_ROWS = 1024
 
 
@@ -189,17 +196,63 @@ def _links_within(points: DataFrame, groups: DataFrame, threshold: float) -> Dat
 def _count_all(shared, threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, sample = shared.value
-        total = np.zeros(len(ids), dtype=np.int64)
+        total, near = np.zeros(len(ids), dtype=np.int64), np.zeros(len(ids), dtype=np.int64)
         for batch in batches:
-            rows = unit(matrix(batch.column("vec")))
-            if len(rows):
-                linked = (sample @ rows.T >= threshold) & (ids[:, None] != batch.column("id").to_numpy()[None, :])
-                total += linked @ batch.column("copies").to_numpy()
-        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total)], names=["id", "links"])
+            for piece in value_slices(batch):
+                rows = unit(matrix(piece.column("vec")))
+                linked = (sample @ rows.T >= threshold + ROUNDING) & (ids[:, None] != piece.column("id").to_numpy()[None, :])
+                total += linked @ piece.column("copies").to_numpy()
+                near += linked.sum(axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total), pa.array(near)], names=["id", "links", "near"])
 
     return run
 
 
+def _audit(nodes: DataFrame, few: int, threshold: float) -> DataFrame | None:
+    """(id, truth, low): the linked ones of the drawn vectors with all their links; low if at most ``few`` vectors are near."""
+    spark, turn = nodes.sparkSession, F.xxhash64("id", F.lit("audit"))  # one-to-one on ids
+    audit, low, last, size = None, 0, None, SAMPLE
+    while low < LINKED:
+        rest = nodes.withColumn("turn", turn)
+        drawn = (rest if last is None else rest.where(F.col("turn") > last)).orderBy("turn").limit(size).collect()  # bounded
+        if not drawn:
+            break
+        last, size = drawn[-1]["turn"], min(4 * size, LARGEST_SAMPLE)
+        ids = np.array([r["id"] for r in drawn], dtype=np.int64)
+        shared = spark.sparkContext.broadcast((ids, unit(np.array([r["vec"] for r in drawn], dtype=np.float64))))
+        counted = nodes.mapInArrow(_count_all(shared, threshold), "id long, links long, near long")
+        counted = counted.groupBy("id").agg(F.sum("links").alias("truth"), (F.sum("near") <= few).alias("low"))
+        block = stored(counted.where("truth > 0"), "near-audit")
+        low += block.where("low").count()
+        audit = block if audit is None else audit.unionByName(block)
+    return audit
+
+
+def _found_whole(audit: DataFrame | None, links: DataFrame, recall: float) -> bool:
+    """Whether enough of the audited vectors have all their links, among those of few and among those of many."""
+    if audit is None:
+        return True
+    whole = (F.coalesce("links", F.lit(0)) >= F.col("truth")).cast("double")
+    return all(r["share"] >= recall for r in audit.join(links, "id", "left").groupBy("low").agg(F.avg(whole).alias("share")).collect())
+
+
+def _joined(groups: DataFrame | None, edges: DataFrame, threshold: float) -> tuple[DataFrame, bool]:
+    """Groups (node, root) after these edges, and whether any edge joined two of them."""
+    near = edges.where(F.col("cosine") >= threshold).select("a", "b")
+    if groups is not None:
+        for end in ("a", "b"):
+            root = groups.select(F.col("node").alias(end), "root")
+            near = near.join(root, end, "left").withColumn(end, F.coalesce("root", end)).drop("root")
+    near = near.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
+    if groups is None:
+        return components(near), True
+    near = stored(near, "near-bridges")
+    if near.isEmpty():
+        return groups, False
+    known = groups.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+    return components(known.unionByName(near)), True
+
+
 def near_duplicates(
     vectors: DataFrame,
     id_col: str = "vec_id",
@@ -214,33 +267,24 @@ def near_duplicates(
     null, zero, not finite or of another length than most links with nothing and stays. Of rows
     that repeat an id the smallest usable vector counts.
     """
-    spark = vectors.sparkSession
     rows = one_per_id(vectors, id_col, vector_col)
     nodes = stored(rows.groupBy("vec").agg(F.min("id").alias("id"), F.count("*").alias("copies")), "near-nodes")
     twins = stored(rows.join(nodes.select("vec", F.col("id").alias("node"), "copies"), "vec").select("id", "node", "copies"), "near-twins")
 
-    drawn = nodes.orderBy(F.xxhash64("id", F.lit("audit"))).limit(SAMPLE).collect()  # bounded
-    truth = 0
-    if drawn:
-        ids = np.array([r["id"] for r in drawn], dtype=np.int64)
-        shared = spark.sparkContext.broadcast((ids, unit(np.array([r["vec"] for r in drawn], dtype=np.float64))))
-        truth = nodes.mapInArrow(_count_all(shared, threshold), "id long, links long").agg(F.sum("links")).first()[0] or 0
-    sample = F.broadcast(spark.createDataFrame([(r["id"],) for r in drawn], "id long"))
-
-    first, rounds, near, lists = 0, 0, None, None
+    audit = _audit(nodes, neighbours, threshold)
+    first, groups, lists = 0, None, None
     while True:
         found = stored(_orderings(nodes, first, neighbours, threshold), "near-edges")
-        near = found.where(F.col("cosine") >= threshold) if near is None else near.unionByName(found.where(F.col("cosine") >= threshold))
+        groups, _ = _joined(groups, found, threshold)
         lists = stored(_lists(found, neighbours) if lists is None else _capped(found, lists, neighbours), "near-lists")
-        for _ in range(ROUNDS):
+        done, grew = 0, True
+        while done < ROUNDS or grew:
             new = stored(_descend(nodes, lists, neighbours, threshold), "near-edges")
-            near = near.unionByName(new.where(F.col("cosine") >= threshold))
+            groups, grew = _joined(groups, new, threshold)
             lists = stored(_capped(new, lists, neighbours), "near-lists")
-        edges = near.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        groups = components(edges)
+            done += 1
         links = stored(_links_within(nodes, groups, threshold), "near-links")
-        got = links.join(sample, "id").agg(F.sum("links")).first()[0] or 0
-        if got >= recall * truth:
+        if _found_whole(audit, links, recall):
             break
         first += ORDERINGS
     per_node = groups.withColumnRenamed("node", "id").join(links, "id", "left")
