@@ -66,6 +66,28 @@ def test_isolated_pairs_count_beside_a_large_group(table_of, monkeypatch):
     assert {r.id: (r.n_links, r.component_id) for r in found} == links_of(rows)
 
 
+def test_a_meeting_of_copies_gives_few_edges_and_keeps_its_links():
+    """Two tight groups linked by one pair: no list holds that pair."""
+    random = np.random.default_rng(9)
+    x = random.normal(size=64) + random.normal(size=(400, 64)) * 0.02
+    a, b, cosine = embedding_dedup._nearest(np.arange(400), embedding_dedup.unit(x), 8, 0.95)
+    assert len(a) <= 400 * 9 and (cosine >= 0.95).all()
+    turned = np.deg2rad(np.concatenate([np.linspace(0, 1, 30), np.linspace(19, 20, 30)]))
+    x = np.column_stack([np.cos(turned), np.sin(turned)])
+    a, b, cosine = embedding_dedup._nearest(np.arange(60), x, 8, 0.95)
+    assert any((i < 30) != (j < 30) for i, j in zip(a, b))
+
+
+def test_a_hub_is_met_in_bounded_tiles(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "MEET", 50)
+    lists = spark.range(2000).selectExpr("id a", "array(named_struct('cosine', 0.99D, 'b', case when id = 0 then 1 else 0 end)) near", "0.99D bar")
+    met = embedding_dedup._meetings(lists, 8, 0)
+    assert met.groupBy("center", "tile").count().agg(F.max("count")).first()[0] <= 100
+    assert met.where("center = 0").select("a").distinct().count() == 2000
+    hub = met.where("center = 0")
+    assert hub.where("a = 0").count() == hub.select("tile").distinct().count() >= 40
+
+
 def test_near_duplicates_of_nothing(table_of):
     assert embedding_dedup.near_duplicates(table_of([])).collect() == []
     assert [tuple(r) for r in embedding_dedup.near_duplicates(table_of([(4, None)])).collect()] == [(4, 0, 4, True)]

@@ -2,8 +2,10 @@
 
 Every vector starts with neighbours from a few sign-hash orderings. In each round a vector sends
 itself to its neighbours; at a neighbour all vectors that meet there are compared, and better
-neighbours found that way replace worse ones. Pairs at or above the threshold are kept whatever a
-list's length is. A list that holds near copies only is saturated: it is enlarged to all vectors
+neighbours found that way replace worse ones. A center that many hold in their list is met in
+tiles of bounded size, cut anew in each round. Beside better neighbours a meeting gives a spanning
+forest of its pairs at or above the threshold, so what it links stays linked whatever a list's
+length is. A list that holds near copies only is saturated: it is enlarged to all vectors
 of its component, compared in tiles of bounded size.
 
 Rounds go on until one joins no two groups (an edge inside a group changes nothing). Then recall is
@@ -22,7 +24,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,6 +44,7 @@ RECALL = 0.97
 # Links of the audit are above the threshold by more than rounding, so that each must be found.
 ROUNDING = 1e-9
 TILE_ROWS = 1024
+MEET = 512  # rows that meet at a center, on average; more are cut into tiles
 
 
 def _signed(first: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -61,20 +64,40 @@ def _signed(first: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
     return run
 
 
+def _forest(linked: np.ndarray) -> np.ndarray:
+    """A spanning forest of a symmetric relation, each edge in one direction."""
+    kept = np.zeros_like(linked)
+    unseen = linked.any(axis=1)
+    for start in np.flatnonzero(unseen):
+        if not unseen[start]:
+            continue
+        unseen[start] = False
+        waiting = [start]
+        while waiting:
+            at = waiting.pop()
+            new = np.flatnonzero(linked[at] & unseen)
+            unseen[new] = False
+            kept[at, new] = True
+            waiting.extend(new)
+    return kept
+
+
 def _nearest(ids: np.ndarray, rows: np.ndarray, keep: int, threshold: float, bar: np.ndarray | None = None):
-    """(a, b, cosine) for each row's ``keep`` nearest others and all at or above the threshold.
+    """(a, b, cosine) for each row's ``keep`` nearest others, and a spanning forest of the pairs at or above the threshold.
 
-    With ``bar``, only pairs above the row's bar (the worst neighbour it has) come back.
+    With ``bar``, only those of the nearest above the row's bar (the worst neighbour it has) come back.
     """
     cosine = np.clip(rows @ rows.T, -1.0, 1.0)
     np.fill_diagonal(cosine, -2.0)
-    if cosine.shape[1] > keep:
-        edge = np.partition(cosine, cosine.shape[1] - keep, axis=1)[:, cosine.shape[1] - keep]
-        good = cosine >= np.minimum(edge, threshold)[:, None]
-    else:
-        good = cosine > -2.0
+    good = cosine > -2.0
+    if cosine.shape[1] > keep + 1:
+        best = np.argpartition(cosine, cosine.shape[1] - keep, axis=1)[:, -keep:]
+        good = np.zeros_like(good)
+        np.put_along_axis(good, best, True, axis=1)
     if bar is not None:
-        good &= cosine > np.minimum(bar, threshold - 1e-12)[:, None]
+        good &= cosine > bar[:, None]
+    linked = cosine >= threshold
+    good |= _forest(linked | linked.T)
     a, b = np.nonzero(good)
     return ids[a], ids[b], cosine[a, b]
 
@@ -127,30 +150,44 @@ def _local_join(keep: int, threshold: float) -> Callable[[pa.Table], pa.Table]:
 
 def _lists(edges: DataFrame, keep: int) -> DataFrame:
     """(a, near, bar): each vector's ``keep`` best neighbours and the cosine of the worst of them."""
-    best = F.slice(F.sort_array(F.collect_set(F.struct("cosine", "b")), asc=False), 1, keep)
-    ranked = edges.groupBy("a").agg(best.alias("near"))
+    # Ranked row by row: a vector with any number of edges is no array of them.
+    pairs = edges.repartition("a").groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
+    order = Window.partitionBy("a").orderBy(F.desc("cosine"), F.desc("b"))
+    best = pairs.withColumn("place", F.row_number().over(order)).where(F.col("place") <= keep)
+    ranked = best.groupBy("a").agg(F.sort_array(F.collect_list(F.struct("cosine", "b")), asc=False).alias("near"))
     full = F.size("near") == keep
     return ranked.select("a", "near", F.when(full, F.element_at("near", -1)["cosine"]).otherwise(F.lit(-2.0)).alias("bar"))
 
 
-def _descend(points: DataFrame, lists: DataFrame, keep: int, threshold: float) -> DataFrame:
-    """New edges from one round: neighbours of neighbours meet where both are near.
+def _meetings(lists: DataFrame, keep: int, number: int) -> DataFrame:
+    """(a, center, tile): where each vector goes in round ``number``.
 
     A vector goes to its list, to itself, and to those that hold it in their list, but to no more
-    than ``keep`` of the latter (its best): a hub is not met by all.
+    than ``keep`` of the latter (its best). A center that more than MEET vectors go to is cut into
+    tiles of about MEET by a hash that differs in each round; the center itself is in all of them.
     """
-    forward = lists.select("a", "bar", F.explode("near").alias("to")).select("a", "bar", F.col("to.b").alias("center"), "to.cosine")
-    backward = forward.select(F.col("center").alias("a"), F.col("a").alias("center"), "cosine")
-    backward = backward.groupBy("a").agg(F.slice(F.sort_array(F.collect_list(F.struct("cosine", "center")), asc=False), 1, keep).alias("by"))
-    bars = lists.select("a", "bar")
+    forward = lists.select("a", F.explode("near").alias("to")).select("a", F.col("to.b").alias("center"), "to.cosine")
+    order = Window.partitionBy("center").orderBy(F.desc("cosine"), F.desc("a"))
+    backward = forward.withColumn("place", F.row_number().over(order)).where(F.col("place") <= keep)
     centers = (
         forward.select("a", "center")
-        .unionByName(backward.select("a", F.explode("by").alias("by")).select("a", F.col("by.center").alias("center")))
+        .unionByName(backward.select(F.col("center").alias("a"), F.col("a").alias("center")))
         .unionByName(lists.select("a", F.col("a").alias("center")))
         .distinct()
     )
-    sent = centers.join(bars, "a").join(points.select(F.col("id").alias("a"), "vec"), "a")
-    return sent.withColumnRenamed("a", "id").groupBy("center").applyInArrow(_local_join(keep, threshold), _EDGES)
+    hubs = centers.groupBy("center").agg(F.count("*").alias("rows")).where(F.col("rows") > MEET)
+    hubs = hubs.select("center", F.ceil(F.col("rows") / MEET).cast("int").alias("cuts"))
+    cuts = F.coalesce("cuts", F.lit(1))
+    mine = F.pmod(F.xxhash64("a", F.lit(number)), cuts).cast("int")
+    tiles = F.when(F.col("a") == F.col("center"), F.sequence(F.lit(0), cuts - 1)).otherwise(F.array(mine))
+    return centers.join(hubs, "center", "left").select("a", "center", F.explode(tiles).alias("tile"))
+
+
+def _descend(points: DataFrame, lists: DataFrame, keep: int, threshold: float, number: int) -> DataFrame:
+    """New edges from one round: neighbours of neighbours meet where both are near."""
+    met = _meetings(lists, keep, number)
+    sent = met.join(lists.select("a", "bar"), "a").join(points.select(F.col("id").alias("a"), "vec"), "a")
+    return sent.withColumnRenamed("a", "id").groupBy("center", "tile").applyInArrow(_local_join(keep, threshold), _EDGES)
 
 
 def _capped(new: DataFrame, old: DataFrame, keep: int) -> DataFrame:
@@ -272,17 +309,17 @@ def near_duplicates(
     twins = stored(rows.join(nodes.select("vec", F.col("id").alias("node"), "copies"), "vec").select("id", "node", "copies"), "near-twins")
 
     audit = _audit(nodes, neighbours, threshold)
-    first, groups, lists = 0, None, None
+    first, number, groups, lists = 0, 0, None, None
     while True:
         found = stored(_orderings(nodes, first, neighbours, threshold), "near-edges")
         groups, _ = _joined(groups, found, threshold)
         lists = stored(_lists(found, neighbours) if lists is None else _capped(found, lists, neighbours), "near-lists")
         done, grew = 0, True
         while done < ROUNDS or grew:
-            new = stored(_descend(nodes, lists, neighbours, threshold), "near-edges")
+            new = stored(_descend(nodes, lists, neighbours, threshold, number), "near-edges")
             groups, grew = _joined(groups, new, threshold)
             lists = stored(_capped(new, lists, neighbours), "near-lists")
-            done += 1
+            done, number = done + 1, number + 1
         links = stored(_links_within(nodes, groups, threshold), "near-links")
         if _found_whole(audit, links, recall):
             break
