@@ -166,6 +166,16 @@ def test_quality_on_held_out_rows(spark, docs_of):
     assert {r.score for r in one_class.score(docs).collect()} == {1.0}
 
 
+def test_quality_learns_from_all_unlabelled_rows(spark, docs_of, monkeypatch):
+    rows = [(i, "plain words on a page" if i % 2 else "PLAIN WORDS!! ON A PAGE!!", "aa", "clean" if i % 2 else "junk", 24) for i in range(200)]
+    many = spark.range(1000, 41000).selectExpr("id doc_id", "if(id % 2 = 1, 'plain words on a page', 'PLAIN WORDS!! ON A PAGE!!') text", "'aa' lang", "if(id % 2 = 1, 'clean', 'junk') source", "24L n_chars")
+    told, fit = [], quality._fit
+    monkeypatch.setattr(quality, "_fit", lambda view, given: told.append(given.where("weight < 1").count()) or fit(view, given))
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(200)], "doc_id long, quality int, toxic int")
+    quality.fit_quality(docs_of(rows).unionByName(many), labels, rounds=1)
+    assert told == [0, 0, 40000, 40000]
+
+
 # ---- personal values ---------------------------------------------------------------------
 
 

@@ -1,12 +1,13 @@
 """Quality by co-training of two views.
 
 One classifier sees what a text says (words, symbols, repetition), the other what its page says
-about it (source, language, size, lines). In each round either view labels rows of an unlabelled
-pool that it is sure of, and the other view learns from these. At the end both views are
+about it (source, language, size, lines). In each round either view labels all unlabelled documents
+that it is sure of, and the other view learns from these. At the end both views are
 calibrated on labelled rows neither has seen and combined as independent evidence; every document
 is scored by the whole text.
 
-Labelled rows and pool are bounded samples (``max_labelled``, ``max_pool``), drawn by a hash of the id.
+Labelled rows are a bounded sample (``max_labelled``), drawn by a hash of the id; the pool is every
+document without one of these labels, its features written once.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from touchline.llm.common import OWN, bytes_of, stored
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-MAX_LABELLED = MAX_POOL = 20_000
+MAX_LABELLED = 20_000
 ROUNDS = 3
 SURE = 0.95
 PSEUDO_WEIGHT = 0.5
@@ -160,7 +161,6 @@ def fit_quality(
     size_col: str = "n_chars",
     rounds: int = ROUNDS,
     max_labelled: int = MAX_LABELLED,
-    max_pool: int = MAX_POOL,
 ) -> QualityModel:
     """Three quarters of the drawn labelled rows train the views, one quarter calibrates them.
 
@@ -189,7 +189,7 @@ def fit_quality(
         return rows.where(F.col("calibrates") == calibrates) if whole else rows
 
     base = part(False).select("label", "weight", *views)
-    pool = _drawn(needed, "id", max_pool, docs.count(), "pool").join(known, F.col("id") == F.col(f"{OWN}id"), "left_anti")
+    pool = needed.join(known, F.col("id") == F.col(f"{OWN}id"), "left_anti")
     pool = stored(_with_views(pool, *inner).select(*views), "quality-pool")
     train = {view: base for view in VIEWS}
     models = {view: _fit(view, train[view]) for view in VIEWS}
@@ -199,7 +199,7 @@ def fit_quality(
             sure = _probability(teacher, models[teacher], pool).where((p >= SURE) | (p <= 1 - SURE))
             told = sure.select((p >= 0.5).cast("double").alias("label"), F.lit(PSEUDO_WEIGHT).alias("weight"), *views)
             train[pupil] = base.unionByName(told)
-        models = {view: _fit(view, stored(train[view], "quality-told")) for view in VIEWS}
+        models = {view: _fit(view, train[view]) for view in VIEWS}
     scales = {
         view: IsotonicRegression(featuresCol=_p(view), labelCol="label", predictionCol=f"{OWN}level_{view}").fit(
             _probability(view, models[view], part(True))
