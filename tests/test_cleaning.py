@@ -1,7 +1,7 @@
 import datetime as dt
 
 import pytest
-from conftest import rows
+from tests.helpers import rows
 
 from touchline.operators import lookups
 from touchline.operators.rows import (
@@ -73,7 +73,7 @@ def test_scraped_results(spark, venues):
 
 def test_scraped_fixtures(spark, venues):
     df = spark.createDataFrame(
-        [("2025-12-08", "Rugby World Cup", "France", "Wales", None, None, "Cape Town Stadium", "4:05AM")], SCRAPED
+        [("2025-12-08", "Rugby World Cup", "France", "Wales", None, None, "Harbour Park", "4:05AM")], SCRAPED
     )
     out = cleaning.scraped_to_international_fixtures(df, venues)
     row = out.first().asDict()
@@ -84,7 +84,7 @@ def test_scraped_fixtures(spark, venues):
 def test_league(spark, venues):
     df = spark.createDataFrame(
         [
-            ("2025-12-08", "United Rugby Championship", "Stormers", "Leinster", 20, 18, "Cape Town Stadium", "7:00PM"),
+            ("2025-12-08", "United Rugby Championship", "Stormers", "Leinster", 20, 18, "Harbour Park", "7:00PM"),
             ("2025-12-08", "Six Nations", "France", "Wales", 1, 2, "X", "7:00PM"),
         ],
         SCRAPED,
@@ -99,10 +99,10 @@ def test_league(spark, venues):
 
 
 def test_geo_lookup_keeps_rows_and_rejects_duplicate_keys(spark, venues):
-    df = spark.createDataFrame([(" Cape Town Stadium ",), ("Elsewhere",), (None,)], "venue string")
+    df = spark.createDataFrame([(" Harbour Park ",), ("Elsewhere",), (None,)], "venue string")
     out = lookups.add_city_and_country(df, venues)
     assert rows(out) == sorted(
-        [(" Cape Town Stadium ", "Cape Town", "South Africa"), ("Elsewhere", None, None), (None, None, None)], key=repr
+        [(" Harbour Park ", "Cape Town", "South Africa"), ("Elsewhere", None, None), (None, None, None)], key=repr
     )
     twice = venues.unionByName(venues)
     with pytest.raises(Exception, match="listed more than once"):

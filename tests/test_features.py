@@ -1,7 +1,7 @@
 import datetime as dt
 
 import pytest
-from conftest import rows
+from tests.helpers import rows
 
 from touchline.plans import features
 

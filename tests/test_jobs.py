@@ -1,5 +1,5 @@
 import pytest
-from conftest import rows
+from tests.helpers import rows
 from pyspark.sql import types as T
 
 from touchline.plans import jobs

@@ -2,7 +2,7 @@ import hashlib
 from decimal import Decimal
 
 import pytest
-from conftest import rows
+from tests.helpers import rows
 from pyspark.sql import functions as F
 
 from touchline.operators import quality
