@@ -152,7 +152,7 @@ def test_fetch_ranges(spark):
 
 
 def test_ingest_pages(spark, tmp_path):
-    from test_pages import DAY, dates_of, game, page, pages_of
+    from tests.test_pages import DAY, dates_of, game, page, pages_of
 
     found = pages_of(spark, page(game("A", "B", "FT", 1)))
     path = ingestion.ingest_pages(found, "results", "feed", dates_of(spark, DAY), "d1", str(tmp_path))
