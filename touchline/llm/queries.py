@@ -8,7 +8,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from touchline.llm import bpe, bpe_codec, embedding_dedup, hilbert_search, language_id, line_dedup, ngram_jaccard, packing, pii, quality, toxicity
+from touchline.llm import (
+    bpe,
+    bpe_codec,
+    decontamination,
+    embedding_dedup,
+    filter_audit,
+    hilbert_search,
+    language_id,
+    line_dedup,
+    ngram_jaccard,
+    packing,
+    pii,
+    quality,
+    toxicity,
+    whitening,
+)
 from touchline.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -94,6 +109,27 @@ def op10_nearest_neighbours(spark, sf_dir):
     return hilbert_search.search(vectors, vectors.where("vec_id % 20 = 0"), 20)
 
 
+@query
+def op11_whitening(spark, sf_dir):
+    rows = whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return rows.withColumnRenamed("id", "vec_id").withColumn("deviation", F.expr("try_cast(deviation AS long)"))
+
+
+@query
+def op12_decontamination(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    spans = decontamination.contaminated_spans(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
+    marked = decontamination.mark(docs, spans)
+    items = F.sha2(F.array_join("items", ","), 256).alias("items_sha256")
+    return marked.select("doc_id", "n_words", "n_hit", "n_items", items, "contaminated")
+
+
+@query
+def op13_filter_audit(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return filter_audit.audit_documents(docs, table(spark, sf_dir, "labels"))
+
+
 @query
 def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
