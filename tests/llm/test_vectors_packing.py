@@ -141,7 +141,6 @@ def check_pieces(rows, pieces, capacity):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(packing.public_path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     wanted = sorted(
         (doc, at, int(i)) for doc, text in rows for at, i in enumerate([*tokenizer.encode(text or "", add_special_tokens=False).ids, 1])
     )
@@ -164,7 +163,7 @@ def check_pieces(rows, pieces, capacity):
 
 def mixed_rows():
     rows = [(i, f"text {i} " * (i % 17), None, f"s{i % 5 and 1 + i % 3}") for i in range(200)]
-    return rows + [(300, None, None, None), (301, "", None, "s0"), (302, "long words here " * 3000, None, "s1"), (303, "<|endoftext|>", None, "s9")]
+    return rows + [(300, None, None, None), (301, "", None, "s0"), (302, "long words here " * 3000, None, "s1"), (303, "<|endoftext|>", None, "s9"), (304, "a <|endoftext|> b  <|endoftext|><|endoftext|>c <|endoftext|", None, "s9")]
 
 
 @pytest.mark.parametrize("weights", [None, {"s0": 3.0, "s1": 1.0}])
@@ -174,6 +173,16 @@ def test_packing(docs_of, ranks, weights):
     check_pieces([r[:2] for r in rows], pieces, 256)
 
 
+def test_added_tokens_keep_their_ids(docs_of, ranks):
+    (piece,) = packing.pack(docs_of([(1, "a <|endoftext|> b", None, "s")]), ranks, 1, capacity=4, with_ids=True).orderBy("start").limit(1).collect()
+    assert piece.ids == [64, 220, 50256, 275] and piece.doc_tokens == 5
+
+
+def test_packing_beside_clashing_columns(docs_of, ranks):
+    docs = docs_of([(1, "a b", None, "s"), (1, "a b", None, "s")]).selectExpr("*", "1 AS window", "'x' AS start", "2 AS row", "3 AS n")
+    assert sorted((p.doc_id, p.doc_tokens) for p in packing.pack(docs, ranks, 1).collect()) == [(1, 3)] * 3  # six ids are sequences of four and two
+
+
 def test_packing_of_nothing(docs_of, ranks):
     assert packing.pack(docs_of([]), ranks, 1).collect() == []
 
@@ -241,4 +250,4 @@ def test_pipeline_of_nothing(spark):
 
 
 def test_every_operator_is_registered():
-    assert [sum(q.startswith(f"op{n}_") for q in QUERIES) for n in range(1, 11)] == [1] * 10 and "pipeline" in QUERIES
+    assert [sum(q.startswith(f"op{n}_") for q in QUERIES) for n in range(1, 14)] == [1] * 13 and "pipeline" in QUERIES

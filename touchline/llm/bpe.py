@@ -18,6 +18,19 @@ _CUT = re.compile(r" (?=\S)")
 Ranks = dict[bytes, int]
 
 
+class Vocabulary(dict[bytes, int]):
+    """Ranks, and the ids of added tokens, which stand for themselves wherever a text holds them."""
+
+    added: dict[str, int]
+
+    def __init__(self, ranks: Ranks, added: dict[str, int]):
+        super().__init__(ranks)
+        self.added = added
+
+    def __reduce__(self):
+        return Vocabulary, (dict(self), self.added)
+
+
 def public_path(name: str) -> str:
     return public_tokenizers.path(name)
 
@@ -28,8 +41,8 @@ def rank_file(path: str) -> Ranks:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
-def json_ranks(path: str) -> Ranks:
-    """Ranks of a byte-level BPE in JSON, whose ids follow the order of its merges.
+def json_ranks(path: str) -> Vocabulary:
+    """Ranks and added tokens of a byte-level BPE in JSON, whose ids follow the order of its merges.
 
     Such files write each byte as a printable character: a byte that is printable in Latin-1 as
     itself, the others in order from code point 256 on.
@@ -39,9 +52,9 @@ def json_ranks(path: str) -> Ranks:
     byte_of = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(rest)}
     with open(path, encoding="utf-8") as file:
         whole = json.load(file)
-    special = {token["content"] for token in whole.get("added_tokens", ())}
+    added = {token["content"]: token["id"] for token in whole.get("added_tokens", ())}
     vocabulary = whole["model"]["vocab"]
-    return {bytes(byte_of[c] for c in token): rank for token, rank in vocabulary.items() if token not in special}
+    return Vocabulary({bytes(byte_of[c] for c in token): rank for token, rank in vocabulary.items() if token not in added}, added)
 
 
 def encoding(ranks: Ranks, pattern: str = public_tokenizers.PATTERN) -> tiktoken.Encoding:
@@ -56,6 +69,13 @@ def little_endian(ids: list[int], width: str) -> bytes:
     return packed.tobytes()
 
 
+def added_pattern(added: dict[str, int]) -> re.Pattern | None:
+    """Finds added tokens, the longest at a place."""
+    if not added:
+        return None
+    return re.compile("(" + "|".join(re.escape(t) for t in sorted(added, key=len, reverse=True)) + ")")
+
+
 def chunks(text: str) -> list[str]:
     """``text`` cut before every space that a visible character follows.
 

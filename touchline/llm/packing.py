@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from touchline.llm.bpe import Ranks, chunks, encoding, json_ranks, little_endian, public_path  # noqa: F401
+from touchline.llm.bpe import Ranks, added_pattern, chunks, encoding, json_ranks, little_endian, public_path  # noqa: F401
 from touchline.llm.common import shuffle_tasks, stored, value_slices
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -53,18 +53,32 @@ class ChunkIds(dict):
 
 
 def id_width(ranks: Ranks, end_id: int) -> str:
-    return "<u2" if max(max(ranks.values(), default=0), end_id) < 65536 else "<u4"
+    most = max(end_id, *ranks.values(), *getattr(ranks, "added", {}).values(), 0)
+    return "<u2" if most < 65536 else "<u4"
 
 
 def _tokenise(shared, end_id: int, width: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of = ChunkIds(shared.value, width)
+        added = getattr(shared.value, "added", {})
+        at_added = added_pattern(added)
+
+        def ids_of_text(text: str) -> bytes:
+            if at_added is None or at_added.search(text) is None:
+                return b"".join([ids_of[chunk] for chunk in chunks(text)])
+            parts = at_added.split(text)  # every second part is an added token
+            return b"".join(
+                little_endian([added[part]], width) if odd % 2 else b"".join([ids_of[chunk] for chunk in chunks(part)])
+                for odd, part in enumerate(parts)
+                if part
+            )
+
         end = np.array([end_id], dtype=width).tobytes()
         for batch in batches:
             for piece in value_slices(batch):
                 ids = []
                 for text in piece.column(1).to_pylist():
-                    ids.append(b"".join([ids_of[chunk] for chunk in chunks(text)]) + end if text else end)
+                    ids.append(ids_of_text(text) + end if text else end)
                 counts = [len(x) // int(width[2]) for x in ids]
                 yield pa.RecordBatch.from_arrays(
                     [piece.column(0), piece.column(2), pa.array(counts, pa.int64()), pa.array(ids, pa.binary())],
@@ -208,7 +222,9 @@ def pack(
     A document is its text's ids (null: none) and ``end_id``; it may be cut at the end of a sequence
     only. Without ``weights`` every window gets the sources in the proportions of the whole input;
     else in those of the weights, as long as the queues last. A null source is a queue of its own.
-    Rows that repeat an id are packed once each. An empty table gives no pieces.
+    Added tokens of a :class:`Vocabulary` keep their ids wherever a text holds them. Rows that repeat
+    an id are packed once each, texts whole, however long. Other columns are not read, so none can
+    clash. An empty table gives no pieces.
     """
     spark = docs.sparkSession
     width = id_width(ranks, end_id)
