@@ -13,10 +13,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 10
-KEY = "touchline"
+# The key of the pseudonyms comes from this setting of the session. The default is public: it links equal
+# values but keeps no secret, and serves tests and the check of the registered query.
+KEY_SETTING, KEY = "spark.touchline.pseudonym.key", "touchline"
 
-_MAIL = r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]{1,64}@[A-Za-z0-9\-]{1,63}(?:\.[A-Za-z0-9\-]{1,63}){1,8}"
-_SECRET = r"(?i:\b(?:password|passwd|pwd|token|secret|api[_\-]?key)\b\s{0,4}[=:]\s{0,4}[\"']?)[A-Za-z0-9_+/\-]{8,512}"
+_MAIL = r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@[A-Za-z0-9\-]{1,63}(?:\.[A-Za-z0-9\-]{1,63}){1,8}"
+_SECRET = r"(?i:\b(?:password|passwd|pwd|token|secret|api[_\-]?key)\b\s{0,4}[=:]\s{0,4}[\"']?)[A-Za-z0-9_+/\-]{8,}+"
 _ADDRESS = r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\d|\.\d)"
 _SSN = r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])"
 _DATE = r"(?<![\d\-/.])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{2}[./\-]\d{2}[./\-]\d{4})(?!\d|[\-/.]\d)"
@@ -172,7 +174,7 @@ def _abroad(value: Column, key: str, back: bool) -> Column:
 def _keyed_letters(value: Column, key: str, kind: str) -> Column:
     """Letters of a keyed digest, as many as ``value`` has characters."""
     digest = F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), value), 512)
-    letters = F.translate(F.repeat(digest, 4), "0123456789abcdef", "ghijklmnopqrstuv")
+    letters = F.translate(F.repeat(digest, F.ceil(F.length(value) / 128).cast("int")), "0123456789abcdef", "ghijklmnopqrstuv")
     return F.substr(letters, F.lit(1), F.length(value))
 
 
@@ -211,6 +213,12 @@ def masked(text: Column, key: str = KEY, back: bool = False) -> Column:
     return F.when(text.rlike(PATTERN), whole).otherwise(text)
 
 
-def pseudonymise(docs: DataFrame, text_col: str = "text", key: str = KEY) -> DataFrame:
-    """``docs`` with personal values in ``text_col`` replaced by pseudonyms; rows and other columns stay as they are."""
+def pseudonymise(docs: DataFrame, text_col: str = "text", key: str | None = None) -> DataFrame:
+    """``docs`` with personal values in ``text_col`` replaced by pseudonyms; rows and other columns stay as they are.
+
+    ``key`` defaults to the setting ``spark.touchline.pseudonym.key``. A null text stays null, an empty
+    one empty; texts, and mail names and secrets in them, are replaced whole, however long. Rows that
+    repeat an id, or a text, are treated alike. An empty table comes back empty.
+    """
+    key = key or docs.sparkSession.conf.get(KEY_SETTING, KEY)
     return docs.withColumn(text_col, masked(F.col(text_col), key))
