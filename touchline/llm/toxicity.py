@@ -39,7 +39,8 @@ WEAK, STRONG = 2.0, 4.0
 NEAR_WORDS = 6
 
 _WORD = re.compile(r"[^\W\d_]+")
-_DISGUISED = re.compile(r"[^\W\d_]+(?:[@$!*|.\-_0134578]+[^\W\d_]+)+")
+# Starts only where a run of letters does and never gives letters back: linear in texts without breaks.
+_DISGUISED = re.compile(r"(?<![^\W\d_])[^\W\d_]++(?:[@$!*|.\-_0134578]++[^\W\d_]++)+")
 _PLAIN = str.maketrans({"@": "a", "4": "a", "3": "e", "1": "i", "!": "i", "|": "l", "0": "o", "5": "s", "$": "s", "7": "t", "8": "b"})
 _FILLERS = re.compile(r"[*.\-_]+")
 # Second-person words of the languages at hand (fixed values).
@@ -161,7 +162,9 @@ class ToxicityModel:
     def score(self, docs: DataFrame, text_col: str = "text") -> DataFrame:
         """``docs`` with score (0 to 1) and predicted (1 from the threshold on); columns of these names are replaced.
 
-        Null and empty texts have no lexicon word and are scored by the same model.
+        Null and empty texts have no lexicon word and are scored by the same model. Texts are scored
+        whole, in time linear in their length, also without any break between words. Rows that repeat
+        an id are scored once each, equal texts alike.
         """
         if self.trees is None:
             scored = docs.withColumn("score", F.lit(self.constant))
@@ -207,11 +210,13 @@ def fit_toxicity(
     threshold: float = THRESHOLD,
     trees: int = 20,
     depth: int = 3,
+    max_terms: int = MAX_TERMS,
 ) -> ToxicityModel:
     """Fit on labelled rows: half for the lexicon, a quarter for the trees, a quarter for calibration.
 
     Without labels, or with one class only, the model scores every text with that class (0 if none).
-    A part that lacks a class falls back to all drawn rows.
+    A part that lacks a class falls back to all drawn rows. The lexicon, which goes to every task, is
+    the ``max_terms`` words and beginnings of highest log-odds among those in three toxic texts or more.
     """
     drawn = stored(labelled_sample(docs, labels, id_col, text_col, label_col, max_labelled), "toxicity-labelled")
     part = F.pmod(F.xxhash64(F.col("id"), F.lit("part")), F.lit(4))
@@ -227,7 +232,7 @@ def fit_toxicity(
 
     split = all(sizes.get((0, label)) for label in (0, 1))
     clean, toxic = (sizes[0, label] if split else of_class[label] for label in (0, 1))
-    lexicon = _learn_lexicon(rows(0), toxic, clean)
+    lexicon = _learn_lexicon(rows(0), toxic, clean, max_terms)
     vectors = drawn.select("part", F.col("label").cast("double").alias("label"), array_to_vector(_features(lexicon)(F.col("text"))).alias(f"{OWN}vector"))
     vectors = stored(vectors, "toxicity-vectors")
 
@@ -247,7 +252,7 @@ def fit_toxicity(
     return ToxicityModel(lexicon, boosted, scale, threshold=threshold)
 
 
-def _learn_lexicon(rows: DataFrame, toxic: int, clean: int) -> dict[str, float]:
+def _learn_lexicon(rows: DataFrame, toxic: int, clean: int, max_terms: int) -> dict[str, float]:
     counts = rows.select("text", "label").mapInArrow(_term_counts, "term string, toxic long, clean long")
     odds: Column = F.log((F.col("toxic") + 0.5) / (toxic + 1.0)) - F.log((F.col("clean") + 0.5) / (clean + 1.0))
     best = (
@@ -257,6 +262,6 @@ def _learn_lexicon(rows: DataFrame, toxic: int, clean: int) -> dict[str, float]:
         .select("term", odds.alias("weight"))
         .where(F.col("weight") >= WEAK)
         .orderBy(F.desc("weight"), "term")
-        .limit(MAX_TERMS)
+        .limit(max_terms)
     )
     return {r["term"]: r["weight"] for r in best.collect()}
