@@ -36,7 +36,9 @@ MAX_LABELLED = 20_000
 ROUNDS = 3
 SURE = 0.95
 PSEUDO_WEIGHT = 0.5
-SOURCE_CELLS, LANG_CELLS = 32, 8
+# Categories of a page column with a weight of their own, most frequent over all rows first; beyond them values share cells.
+MAX_CATEGORIES = 200
+REST_CELLS = 64
 
 _WORD = re.compile(r"[^\W\d_]+")
 _UPPER = bytes(range(ord("A"), ord("Z") + 1))
@@ -81,17 +83,36 @@ def _content(texts: pa.Array) -> pa.Array:
     return pa.array([content_features(text or b"") for text in bytes_of(texts)], pa.list_(pa.float64()))
 
 
-def _cells(value: Column, cells: int) -> list[Column]:
-    cell = F.pmod(F.xxhash64(F.coalesce(value.cast("string"), F.lit(""))), F.lit(cells))
-    return [(cell == i).cast("double") for i in range(cells)]
+@dataclass(frozen=True)
+class Categories:
+    """Values of a column, and whether there are more."""
+
+    values: tuple[str, ...]
+    more: bool
+
+    def cells(self, value: Column) -> list[Column]:
+        """1 in the value's own cell; if the column has more values than listed, they share hashed cells."""
+        value = F.coalesce(value.cast("string"), F.lit(""))
+        own = [(value == known).cast("double") for known in self.values]
+        if not self.more:
+            return own
+        cell = F.when(~value.isin(*self.values), F.pmod(F.xxhash64(value), F.lit(REST_CELLS)))
+        return own + [F.coalesce((cell == i).cast("double"), F.lit(0.0)) for i in range(REST_CELLS)]
+
+
+def learn_categories(rows: DataFrame, column: str, most: int = MAX_CATEGORIES) -> Categories:
+    """The ``most`` most frequent values over all rows; null counts as the empty text, ties go to the smaller value."""
+    counts = rows.groupBy(F.coalesce(F.col(column).cast("string"), F.lit("")).alias("value")).count()
+    found = [r["value"] for r in counts.orderBy(F.desc("count"), "value").limit(most + 1).collect()]
+    return Categories(tuple(sorted(found[:most])), len(found) > most)
 
 
-def _page(text: Column, source: Column, lang: Column, n_chars: Column) -> Column:
+def _page(text: Column, source: Column, lang: Column, n_chars: Column, categories: tuple[Categories, Categories]) -> Column:
     whole = F.coalesce(text, F.lit(""))
     lines = F.length(whole) - F.length(F.replace(whole, F.lit("\n"), F.lit(""))) + 1
     size = F.coalesce(n_chars.cast("double"), F.length(whole).cast("double"))
     numbers = [F.log1p(size), F.log1p(lines), F.log1p(size / lines), F.pow(F.log1p(size), F.lit(2.0)) / 10]
-    return F.array(*numbers, *_cells(source, SOURCE_CELLS), *_cells(lang, LANG_CELLS))
+    return F.array(*numbers, *categories[0].cells(source), *categories[1].cells(lang))
 
 
 VIEWS = ("content", "page")
@@ -101,8 +122,9 @@ def _p(view: str) -> str:
     return f"{OWN}p_{view}"
 
 
-def _with_views(docs: DataFrame, text_col: str, source_col: str, lang_col: str, size_col: str) -> DataFrame:
-    page = _page(F.col(text_col), F.col(source_col), F.col(lang_col), F.col(size_col))
+def _with_views(docs: DataFrame, columns: tuple[str, ...], categories: tuple[Categories, Categories]) -> DataFrame:
+    text_col = columns[0]
+    page = _page(*map(F.col, columns), categories)
     return docs.withColumns({f"{OWN}content": array_to_vector(_content(F.col(text_col))), f"{OWN}page": array_to_vector(page)})
 
 
@@ -127,15 +149,18 @@ class QualityModel:
     scales: dict[str, IsotonicRegressionModel]
     prior: float
     columns: tuple[str, str, str, str]
+    categories: tuple[Categories, Categories] | None = None
 
     def score(self, docs: DataFrame) -> DataFrame:
         """``docs`` with score (0 to 1, higher is better) and predicted (1 from 0.5 on); such columns are replaced.
 
-        Null and empty texts are scored by the same models, nulls in the page columns count as a value of their own.
+        Null and empty texts are scored by the same models, whole texts however long; nulls in the page
+        columns count as the empty value, values not seen in fitting have no weight. Rows that repeat an
+        id are scored once each; an empty table comes back empty.
         """
         if not self.views:
             return docs.withColumn("score", F.lit(self.prior)).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
-        out = _with_views(docs, *self.columns)
+        out = _with_views(docs, self.columns, self.categories)
         odds = F.lit(-math.log(self.prior / (1 - self.prior)))
         for view in VIEWS:
             out = self.scales[view].transform(_probability(view, self.views[view], out))
@@ -164,7 +189,9 @@ def fit_quality(
 ) -> QualityModel:
     """Three quarters of the drawn labelled rows train the views, one quarter calibrates them.
 
-    An id with several labels takes the highest; null ids and labels are left out.
+    An id with several labels takes the highest; null ids and labels are left out. Documents that
+    repeat an id count once each. Without labels of both classes, or without documents, the score is
+    a constant. Each source and language has a weight of its own up to ``MAX_CATEGORIES`` of them.
     """
     columns = (text_col, source_col, lang_col, size_col)
     known = (
@@ -175,14 +202,15 @@ def fit_quality(
     known = F.broadcast(_drawn(known, f"{OWN}id", max_labelled, known.count(), "labelled"))  # bounded
     needed = docs.select(F.col(id_col).alias("id"), *(F.col(c).alias(f"{OWN}{i}") for i, c in enumerate(columns)))
     inner = tuple(f"{OWN}{i}" for i in range(4))
+    categories = tuple(learn_categories(needed, inner[i]) for i in (1, 2))
     views = [f"{OWN}{v}" for v in VIEWS]
     drawn = needed.join(known, F.col("id") == F.col(f"{OWN}id")).withColumn("label", F.col(f"{OWN}label"))
     fold = F.pmod(F.xxhash64("id", F.lit("fold")), F.lit(4)) == 0
-    rows = stored(_with_views(drawn, *inner).select("label", F.lit(1.0).alias("weight"), fold.alias("calibrates"), *views), "quality-rows")
+    rows = stored(_with_views(drawn, inner, categories).select("label", F.lit(1.0).alias("weight"), fold.alias("calibrates"), *views), "quality-rows")
     sizes = {(r["calibrates"], r["label"]): r["count"] for r in rows.groupBy("calibrates", "label").count().collect()}
     good, bad = (sum(n for (_, label), n in sizes.items() if label == wanted) for wanted in (1.0, 0.0))
     if not good or not bad:
-        return QualityModel({}, {}, float(good > 0), columns)
+        return QualityModel({}, {}, float(good > 0), columns, categories)
 
     def part(calibrates: bool) -> DataFrame:
         whole = all(sizes.get((calibrates, label)) for label in (0.0, 1.0))
@@ -190,7 +218,7 @@ def fit_quality(
 
     base = part(False).select("label", "weight", *views)
     pool = needed.join(known, F.col("id") == F.col(f"{OWN}id"), "left_anti")
-    pool = stored(_with_views(pool, *inner).select(*views), "quality-pool")
+    pool = stored(_with_views(pool, inner, categories).select(*views), "quality-pool")
     train = {view: base for view in VIEWS}
     models = {view: _fit(view, train[view]) for view in VIEWS}
     for _ in range(rounds):
@@ -206,4 +234,4 @@ def fit_quality(
         )
         for view in VIEWS
     }
-    return QualityModel(models, scales, good / (good + bad), columns)
+    return QualityModel(models, scales, good / (good + bad), columns, categories)
