@@ -256,7 +256,8 @@ def _blocks(nodes: DataFrame, reps: DataFrame) -> DataFrame:
         .sortWithinPartitions("key", "uid")
     )
     runs = stored(keyed.mapInArrow(_lead_runs, _RUN_SCHEMA), "jaccard-runs")
-    first = runs.where(F.col("kind") == CLAIM).groupBy("key").agg(F.min("leader").alias("first"))
+    # Two claims a partition at most: sent to the rows, as rows of a hot key fill whole partitions.
+    first = F.broadcast(runs.where(F.col("kind") == CLAIM).groupBy("key").agg(F.min("leader").alias("first")))
     # A run that was open at the end of a batch only, not of the partition, has its own leader.
     settled = (
         runs.where(F.col("kind") != MEMBER)
