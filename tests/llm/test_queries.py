@@ -20,6 +20,7 @@ COLUMNS = {
     "op6_pii": ["doc_id", "text"],
     "op7_embedding_near_dedup": ["vec_id", "n_links", "component_id", "kept"],
     "op9_packing": ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"],
+    "op11_whitening": ["vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error"],
     "op10_nearest_neighbours": ["query_id", "rank", "vec_id", "score"],
 }
 

@@ -2,6 +2,8 @@
 
 import hashlib
 import random
+import re
+import time
 
 import numpy as np
 import pytest
@@ -57,6 +59,31 @@ def test_language(docs_of):
         assert r.lang is None or r.doc_id >= 900 or r.lang_pred == r.lang
 
 
+def test_profiles_are_learned_from_all_rows(docs_of, monkeypatch):
+    monkeypatch.setattr(language_id, "MAX_LANGUAGES", 4)
+    rows = [(i, sentence(lang, 12) + " 12 ²", lang) for i in range(30) for lang in SYLLABLES] + [(99, "Straße ÀB", "aa"), (99, "Straße ÀB", "aa"), (100, None, "dd")]
+    profiles = language_id.learn_profiles(docs_of(rows), size=25)
+    for lang, held in zip(profiles.languages, profiles.ranks.T):
+        counts = {}
+        for _, text, own in rows:
+            for word in "".join(c.lower() if c.isalpha() else " " for c in (text or "") if own == lang).split():
+                padded = f" {word} "
+                for n in (1, 2, 3):
+                    for i in range(len(padded) - n + 1):
+                        if padded[i : i + n] != " ":
+                            counts[padded[i : i + n]] = counts.get(padded[i : i + n], 0) + 1
+        ranked = sorted(counts, key=lambda g: (-counts[g], g.encode()))[:25]
+        assert {g: r for g, r in zip(profiles.grams, held) if r < 25} == {g: r for r, g in enumerate(ranked)}
+
+
+def test_language_ties_clashes_and_empty_tables(spark, docs_of):
+    profiles = language_id.learn_profiles(docs_of([(1, "la la", "aa"), (2, "la la", "bb")]))
+    docs = docs_of([(1, "la"), (1, "la"), (2, "zz")]).withColumn("score", F.lit("theirs")).withColumn("lang_pred", F.lit(1))
+    found = language_id.identify(docs, profiles)
+    assert [r.lang_pred for r in found.collect()] == ["aa"] * 3 and dict(found.dtypes)["score"] == "double"
+    assert language_id.identify(docs.limit(0), profiles).collect() == []
+
+
 def test_language_without_rows(docs_of):
     profiles = language_id.learn_profiles(docs_of([]))
     assert [(r.lang_pred, r.score) for r in language_id.identify(docs_of([(1, "some text")]), profiles).collect()] == [("und", 0.0)]
@@ -150,6 +177,60 @@ def test_features_count_what_they_say():
     assert row["near_second_person"] == 1 and row["disguised_hits"] > 0 and row["exclamations"] > 0 and row["capital_words"] > 0
 
 
+def test_features_of_texts_without_breaks():
+    weights = toxicity.Weights({"grobbin": 5.0})
+    began = time.monotonic()
+    for text in ("a" * 1_000_000, "語" * 300_000, "a1" * 300_000, "a." * 300_000 + "!"):
+        assert len(toxicity.features_of(text.encode(), weights)) == len(toxicity.FEATURES)
+    assert time.monotonic() - began < 20
+
+
+def test_disguised_words_are_whole_runs():
+    slow = re.compile(r"[^\W\d_]+(?:[@$!*|.\-_0134578]+[^\W\d_]+)+")
+    for _ in range(2000):
+        text = "".join(random.choices(["a", "b", "É", "語", "1", "2", "_", ".", "!", " ", "$"], k=random.randint(0, 14)))
+        assert [m.span() for m in toxicity._DISGUISED.finditer(text)] == [m.span() for m in slow.finditer(text)]
+
+
+def test_categories_have_weights_of_their_own(spark):
+    rows = spark.createDataFrame([(f"s{i % 7}",) for i in range(70)] + [("t",), (None,), ("",)], "source string")
+    learned = quality.learn_categories(rows, "source")
+    assert learned.values == ("", *(f"s{i}" for i in range(7)), "t") and not learned.more
+    few = quality.learn_categories(rows, "source", most=3)
+    assert few.values == ("s0", "s1", "s2") and few.more
+    for categories, size in ((learned, 9), (few, 3 + quality.REST_CELLS)):
+        cells = [tuple(r[0]) for r in rows.distinct().select(F.array(*categories.cells(F.col("source")))).collect()]
+        assert all(len(c) == size and sum(c) == 1 for c in cells)
+    assert len({tuple(r[0]) for r in rows.select(F.array(*learned.cells(F.col("source")))).collect()}) == 9
+    assert sum(spark.range(1).select(F.array(*learned.cells(F.lit("unseen")))).first()[0]) == 0
+
+
+def test_quality_of_nothing_and_of_long_texts(spark, docs_of):
+    rows = [(i, "plain words" if i % 2 else "LOUD!! WORDS!!", None, f"s{i % 2}", 20) for i in range(60)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    model = quality.fit_quality(docs_of(rows), labels, rounds=1)
+    assert model.score(docs_of([])).collect() == []
+    same = model.score(docs_of([(1, "plain words " * 50_000, None, "s1", 600_000)] * 2 + [(1, "x", "new", "unseen", None)])).collect()
+    assert same[0].score == same[1].score and all(0 <= r.score <= 1 for r in same)
+    assert quality.fit_quality(docs_of([]), labels).score(docs_of(rows)).count() == 60
+
+
+def test_quality_combines_views_as_independent_evidence(spark, docs_of):
+    rows = [(i, "plain words" if i % 3 else "LOUD!! WORDS!!", None, f"s{i % 2}", 20) for i in range(90)]
+    labels = spark.createDataFrame([(i, int(i % 3 > 0 or i % 2), 0) for i in range(90)], "doc_id long, quality int, toxic int")
+    model = quality.fit_quality(docs_of(rows), labels, rounds=1)
+    docs = quality._with_views(docs_of(rows), model.columns, model.categories)
+    odds = {}
+    for view in quality.VIEWS:
+        scored = model.scales[view].transform(quality._probability(view, model.views[view], docs)).collect()
+        for r in scored:
+            level = min(max(r[f"__llm_level_{view}"], 1e-3), 1 - 1e-3)
+            odds[r.doc_id] = odds.get(r.doc_id, 0.0) + np.log(level / (1 - level))
+    prior = np.log(model.prior / (1 - model.prior))
+    for r in model.score(docs_of(rows)).collect():
+        assert r.score == pytest.approx(1 / (1 + np.exp(prior - odds[r.doc_id])))
+
+
 def test_quality_on_held_out_rows(spark, docs_of):
     rows, labels = [], []
     for i in range(400):
@@ -222,6 +303,52 @@ def test_mails_and_secrets_vanish(spark):
     assert "e3b3ed3cc8548923d6" not in done[4] and done[4].startswith("password=")
 
 
+def test_long_secrets_and_mail_names_vanish_whole(spark):
+    secret, name = "aB3/" * 20_000, "x9." * 2_000 + "y"
+    rows = [(1, f"token={secret} end"), (2, f"to {name}@mail.example now"), (3, "token=" + "q" * 600), (4, "")]
+    done = {r.doc_id: r.text for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id int, text string")).collect()}
+    assert len(done[1]) == len(rows[0][1]) and "aB3/" not in done[1] and done[1].endswith(" end")
+    assert "x9." not in done[2] and done[2].endswith("@mail.example now") and len(done[2]) == len(rows[1][1])
+    assert "qqqq" not in done[3] and done[4] == ""
+
+
+def test_the_key_comes_from_the_session(spark):
+    df = spark.createDataFrame([(1, "call 212-555-0199")], "doc_id int, text string")
+    usual = pii.pseudonymise(df).first().text
+    spark.conf.set(pii.KEY_SETTING, "another")
+    try:
+        other = pii.pseudonymise(df).first().text
+    finally:
+        spark.conf.unset(pii.KEY_SETTING)
+    assert usual != other and other == pii.pseudonymise(df, key="another").first().text
+    assert pii.pseudonymise(df.limit(0)).collect() == []
+
+
+def plain_pseudonym(value, kind, key=pii.KEY):
+    """The network on digit strings, in plain Python."""
+
+    def turn(step, half, size, name):
+        return int(hashlib.sha256(f"{key}|{kind}|{name}|{step}|{half}".encode()).hexdigest()[:15], 16) % size
+
+    width = len(value) // 2
+    left, right = int(value[:width] or 0), int(value[width:])
+    sides = 10**width, 10 ** (len(value) - width)
+    for step in range(1, pii.ROUNDS + 1):
+        if step % 2:
+            right = (right + turn(step, left, sides[1], "digits")) % sides[1]
+        else:
+            left = (left + turn(step, right, sides[0], "digits")) % sides[0]
+    return str(left).zfill(width) + str(right).zfill(len(value) - width)
+
+
+def test_cards_against_a_plain_network(spark):
+    cards = ["4755575702902891", "4111111111111111", "378282246310005"]
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(cards)], "doc_id int, text string")
+    for r in pii.pseudonymise(df).collect():
+        body = plain_pseudonym(cards[r.doc_id][:-1], "card")
+        assert r.text[:-1] == body and luhn(r.text)
+
+
 def test_feistel_is_a_permutation(spark):
     left, right = 17, 29
     df = spark.range(left * right).select(F.floor(F.col("id") / right).alias("l"), (F.col("id") % right).alias("r"))
