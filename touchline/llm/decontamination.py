@@ -24,8 +24,8 @@ _BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 _INSIDE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-_ID, _PART, _WORDS, _START, _LENGTH, _KEY, _WINDOW, _NUMBER, _ITEM, _COVERED = (
-    f"{OWN}{name}" for name in ("id", "part", "words", "start", "length", "key", "window", "number", "item", "covered")
+_ID, _PART, _WORDS, _START, _LENGTH, _KEY, _WINDOW, _NUMBER, _ITEM, _COVERED, _OWN_PART = (
+    f"{OWN}{name}" for name in ("id", "part", "words", "start", "length", "key", "window", "number", "item", "covered", "own_part")
 )
 
 
@@ -125,19 +125,20 @@ def mark(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: st
     found = spans.select(
         F.col("id").alias(_ID), F.col("part").alias(_PART), F.col("covered").alias(_COVERED), F.col("items").alias(_ITEM)
     )
-    joined = docs.join(found, F.col(id_col).eqNullSafe(F.col(_ID)) & (_part(text_col) == F.col(_PART)), "left")
+    # Counted and hashed before the join: it carries the texts only for callers who read them afterwards.
+    counted = docs.withColumns({"n_words": count_words(F.col(text_col)), _OWN_PART: _part(text_col)})
+    joined = counted.join(found, F.col(id_col).eqNullSafe(F.col(_ID)) & (F.col(_OWN_PART) == F.col(_PART)), "left")
     covered = F.coalesce(F.col(_COVERED), F.array().cast("array<int>"))
     items = F.coalesce(F.col(_ITEM), F.array().cast("array<string>"))
     return joined.withColumns(
         {
-            "n_words": count_words(F.col(text_col)),
             "n_hit": F.size(covered).cast("long"),
             "n_items": F.size(items).cast("long"),
             "items": items,
             "covered": covered,
             "contaminated": F.size(covered) > 0,
         }
-    ).drop(_ID, _PART, _COVERED, _ITEM)
+    ).drop(_ID, _PART, _OWN_PART, _COVERED, _ITEM)
 
 
 def _without(text: Column, covered: Column) -> Column:
