@@ -31,8 +31,7 @@ def plain_prediction(profiles, text):
                 counts[gram] = counts.get(gram, 0) + 1
     if not counts:
         return "und", 0.0
-    numbers = language_id._GramNumbers(profiles.grams)
-    ranked = sorted(counts, key=lambda g: (-counts[g], numbers.of(g)))[: profiles.size]
+    ranked = sorted(counts, key=lambda g: (-counts[g], g))[: profiles.size]
     place = {g: i for i, g in enumerate(profiles.grams)}
     best = None
     for at, lang in enumerate(profiles.languages):
@@ -84,6 +83,20 @@ def test_language_ties_clashes_and_empty_tables(spark, docs_of):
     assert language_id.identify(docs.limit(0), profiles).collect() == []
 
 
+@pytest.mark.parametrize("piece", [1, 7, 1 << 20])
+def test_grams_of_a_text_are_those_of_its_words(monkeypatch, piece):
+    monkeypatch.setattr(language_id, "PIECE_CHARS", piece)
+    kinds = language_id._letters()
+    for _ in range(200):
+        text = "".join(random.choices(["a", "B", "İ", "ß", "語", "\U00010400", "²", "Ⅷ", "1", "_", " ", "\n", "\u0301"], k=random.randint(0, 30)))
+        counts = {}
+        for word in filter(language_id._has_letter, language_id.words_of(text)):
+            for gram in language_id.grams_of(word):
+                counts[language_id.gram_code(gram)] = counts.get(language_id.gram_code(gram), 0) + 1
+        grams, found = language_id.text_grams(text, kinds)
+        assert dict(zip(grams.tolist(), found.tolist())) == counts and (np.diff(grams) > 0).all()
+
+
 def test_language_without_rows(docs_of):
     profiles = language_id.learn_profiles(docs_of([]))
     assert [(r.lang_pred, r.score) for r in language_id.identify(docs_of([(1, "some text")]), profiles).collect()] == [("und", 0.0)]

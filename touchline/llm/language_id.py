@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import re
 import sys
-from array import array
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -23,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from touchline.llm.common import value_slices
+from touchline.llm.common import SLICE_ROWS, value_slices
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -32,8 +31,9 @@ SIZES = (1, 2, 3)
 PROFILE = 400
 # The profiles are sent to every task: languages times profile size, checked against this.
 MAX_LANGUAGES = 10_000
-CACHED_WORDS = 200_000
-LONGEST_WORD = 64
+# Longer texts are counted in pieces of so many characters.
+PIECE_CHARS = 1 << 20
+_BITS, _BLANK = 21, ord(" ")
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -87,57 +87,71 @@ class Profiles:
     ranks: np.ndarray  # grams x languages
     size: int
 
-    def nearest(self, text: str | None, numbers: _GramNumbers) -> tuple[str, float]:
-        """Language and score; the score is 1 less the share of the largest possible distance."""
-        counts = Counter(words_of(text)) if text else {}
-        counts = {w: n for w, n in counts.items() if _has_letter(w)}
-        if not counts or not self.languages:
+    def nearest(self, grams: np.ndarray, counts: np.ndarray, known: tuple[np.ndarray, np.ndarray]) -> tuple[str, float]:
+        """Language and score of a text's n-grams; the score is 1 less the share of the largest possible distance."""
+        if not len(grams) or not self.languages:
             return UNKNOWN, 0.0
-        found = [numbers[w] for w in counts]
-        gram = np.concatenate(found)
-        weight = np.repeat(np.fromiter(counts.values(), dtype=np.int64, count=len(counts)), [len(f) for f in found])
-        distinct, place = np.unique(gram, return_inverse=True)
-        total = np.bincount(place, weights=weight)
-        top = np.lexsort((distinct, -total))[: self.size]
-        chosen = distinct[top]
-        known = chosen < len(self.grams)
-        rank = np.arange(len(chosen))
-        apart = np.full((len(chosen), len(self.languages)), self.size, dtype=np.int64)
-        held = self.ranks[chosen[known]]
-        apart[known] = np.where(held < self.size, np.abs(held - rank[known][:, None]), self.size)
+        order = np.argsort(-counts.astype(np.int16 if counts.max() < 32_768 else np.int64), kind="stable")[: self.size]
+        chosen, (codes, ranks) = grams[order], known
+        at = np.minimum(np.searchsorted(codes, chosen), len(codes) - 1)
+        held = np.where((codes[at] == chosen)[:, None], ranks[at], self.size)
+        apart = np.where(held < self.size, np.abs(held - np.arange(len(chosen))[:, None]), self.size)
         distance = apart.sum(axis=0)
         best = int(np.argmin(distance))
         return self.languages[best], float(1.0 - distance[best] / (self.size * len(chosen)))
 
+    def known(self) -> tuple[np.ndarray, np.ndarray]:
+        """Codes of the profiles' n-grams, ascending, and their ranks."""
+        codes = np.array([gram_code(g) for g in self.grams], dtype=np.int64)
+        order = np.argsort(codes)
+        return codes[order], self.ranks[order]
 
-class _GramNumbers(dict):
-    """Numbers of a word's n-grams: those of the profiles come first, others are numbered by their bytes."""
 
-    MOST_OTHERS = 500_000
+def gram_code(gram: str) -> int:
+    """Up to three code points in 63 bits; codes are in the alphabetical order of the n-grams."""
+    return sum(ord(c) << _BITS * (len(SIZES) - 1 - i) for i, c in enumerate(gram))
 
-    def __init__(self, grams: tuple[str, ...]):
-        super().__init__()
-        self.number = {gram: i for i, gram in enumerate(grams)}
-        self.others: dict[str, int] = {}
 
-    def of(self, gram: str) -> int:
-        number = self.number.get(gram)
-        if number is None:
-            number = self.others.get(gram)
-        if number is None:
-            if len(self.others) >= self.MOST_OTHERS:
-                self.others.clear()
-            # Three code points fill 63 bits; the offset keeps them clear of the profiles' numbers.
-            number = self.others[gram] = (1 << 62) + sum(ord(c) << (20 * i) for i, c in enumerate(gram[::-1]))
-        return number
+def _letters() -> np.ndarray:
+    """Per code point: 1 for a letter, 2 for what else words are made of, 0 for what stands between words."""
+    points = "".join(map(chr, range(0xD800))) + " " * 0x800 + "".join(map(chr, range(0xE000, 0x110000)))
+    kinds = np.zeros(len(points), dtype=np.uint8)
+    for run in _WORD.finditer(points):
+        kinds[run.start() : run.end()] = [1 if c.isalpha() else 2 for c in run.group()]
+    return kinds
 
-    def __missing__(self, word: str) -> np.ndarray:
-        numbers = np.frombuffer(array("q", [self.of(gram) for gram in grams_of(word)]), dtype=np.int64)
-        if len(word) <= LONGEST_WORD:
-            if len(self) >= CACHED_WORDS:
-                self.clear()
-            self[word] = numbers
-        return numbers
+
+def text_grams(text: str, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of a text's n-grams, ascending, and how often each occurs: those of all its padded words.
+
+    Counted straight on the code points, as the words of a text are mostly new: every letter gives
+    itself, the pair and the triple it stands last or in the middle of, and the pair with a blank after it.
+    """
+    low = text.lower()
+    points = np.frombuffer(low.encode("utf-32-le"), dtype="<u4")
+    kind = kinds[points]
+    if (kind == 2).any():  # words without any letter do not count
+        low = _WORD.sub(lambda word: word.group() if _has_letter(word.group()) else " " * len(word.group()), low)
+        points = np.frombuffer(low.encode("utf-32-le"), dtype="<u4")
+        kind = kinds[points]
+    padded = np.full(len(points) + 2, _BLANK, dtype=np.int64)
+    padded[1:-1] = np.where(kind > 0, points, _BLANK)
+    grams, counts = [], []
+    for first in range(1, len(padded) - 1, PIECE_CHARS):
+        at = first + np.flatnonzero(padded[first : min(first + PIECE_CHARS, len(padded) - 1)] != _BLANK)
+        before, here, after = padded[at - 1] << 2 * _BITS, padded[at], padded[at + 1]
+        last = after == _BLANK
+        codes = np.concatenate(
+            [here << 2 * _BITS, before | here << _BITS, here[last] << 2 * _BITS | after[last] << _BITS, before | here << _BITS | after]
+        )
+        codes.sort()
+        starts = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]])) if len(codes) else np.empty(0, dtype=np.int64)
+        grams.append(codes[starts])
+        counts.append(np.diff(np.append(starts, len(codes))))
+    if len(grams) == 1:
+        return grams[0], counts[0]
+    distinct, place = np.unique(np.concatenate(grams or [np.empty(0, dtype=np.int64)]), return_inverse=True)
+    return distinct, np.bincount(place, weights=np.concatenate(counts or [np.empty(0)]), minlength=len(distinct)).astype(np.int64)
 
 
 def learn_profiles(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", size: int = PROFILE) -> Profiles:
@@ -162,12 +176,20 @@ def learn_profiles(docs: DataFrame, text_col: str = "text", lang_col: str = "lan
 
 
 def _predict(shared) -> Callable[[pa.Array], pa.Array]:
+    kept = []  # of a task, over its batches
+
     def run(texts: pa.Array) -> pa.Array:
         profiles = shared.value
-        numbers = _GramNumbers(profiles.grams)
-        out = [profiles.nearest(text, numbers) for text in texts.to_pylist()]
-        kind = pa.struct([("lang_pred", pa.string()), ("score", pa.float64())])
-        return pa.array([{"lang_pred": lang, "score": score} for lang, score in out], kind)
+        if not kept:
+            kept.append((profiles.known(), _letters()))
+        known, kinds = kept[0]
+        langs, scores = [], []
+        for first in range(0, len(texts), SLICE_ROWS):
+            for text in texts.slice(first, SLICE_ROWS).to_pylist():
+                lang, score = profiles.nearest(*text_grams(text or "", kinds), known)
+                langs.append(lang)
+                scores.append(score)
+        return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"])
 
     return run
 
@@ -176,7 +198,9 @@ def identify(docs: DataFrame, profiles: Profiles, text_col: str = "text") -> Dat
     """``docs`` with lang_pred and score (0 to 1); columns of these names are replaced.
 
     A text that is null or has no letters is ``und`` with score 0, and so is every text when no
-    language was learned. Equal distances go to the first language in alphabetical order.
+    language was learned. Equal distances go to the first language in alphabetical order,
+    equally frequent n-grams are ranked alphabetically, as in the profiles. Texts are read whole, however long. Rows that
+    repeat an id come back once each; an empty table comes back empty.
     """
     kind = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     shared = docs.sparkSession.sparkContext.broadcast(profiles)
