@@ -6,7 +6,8 @@ hash of the word, so that every occurrence of a word in the corpus meets in one
 encoded there once; the ids travel back to the blocks and are put in the places of the words.
 Rows of the shuffles are lists of words or ids of one (block, bucket), not single words: a word
 that every text holds is in a row of each block, spread over the bucket's stream.
-Decoding looks the ids up in the table of token bytes.
+Decoding joins the ids with the table of token bytes: the table, of the size of the vocabulary, is sent
+to every task and the ids are joined where they are, in order, so neither ids nor bytes are shuffled.
 """
 
 from __future__ import annotations
@@ -39,14 +40,28 @@ CACHED_LENGTH = 48
 
 def _squeezed(*arrays: np.ndarray | bytes) -> bytes:
     parts = [a if isinstance(a, bytes) else a.tobytes() for a in arrays]
-    sizes = np.array([len(p) for p in parts], dtype="<u8").tobytes()
-    return zstandard.ZstdCompressor(level=3).compress(sizes + b"".join(parts))
+    sizes = np.array([len(parts), *map(len, parts)], dtype="<u8").tobytes()
+    return zstandard.ZstdCompressor(level=9).compress(sizes + b"".join(parts))
 
 
-def _parts(squeezed: bytes, count: int) -> list[bytes]:
+def _parts(squeezed: bytes) -> list[bytes]:
     whole = zstandard.ZstdDecompressor().decompress(squeezed)
-    ends = np.cumsum(np.frombuffer(whole[: 8 * count], dtype="<u8")).astype(int) + 8 * count
-    return [whole[a:b] for a, b in zip([8 * count, *ends[:-1].tolist()], ends.tolist())]
+    head = 8 + 8 * int.from_bytes(whole[:8], "little")
+    ends = np.cumsum(np.frombuffer(whole[8:head], dtype="<u8")).astype(int) + head
+    return [whole[a:b] for a, b in zip([head, *ends[:-1].tolist()], ends.tolist())]
+
+
+def _planes(values: np.ndarray) -> list[bytes]:
+    """Numbers as byte planes, as many as the largest needs."""
+    count = max(1, (int(values.max(initial=0)).bit_length() + 7) // 8)
+    return [(values >> np.uint32(8 * k)).astype(np.uint8).tobytes() for k in range(count)]
+
+
+def _from_planes(planes: list[bytes]) -> np.ndarray:
+    values = np.zeros(len(planes[0]), dtype="<u4")
+    for k, plane in enumerate(planes):
+        values |= np.frombuffer(plane, dtype=np.uint8).astype("<u4") << np.uint32(8 * k)
+    return values
 
 
 class _Chunks(dict):
@@ -73,14 +88,17 @@ def _blocks(pattern: str, buckets: int, schema: pa.Schema) -> Callable[[Iterator
         order = alphabetical[np.argsort(bucket[alphabetical], kind="stable")]  # words of a bucket get neighbouring numbers
         renumbered = np.empty(len(words), dtype="<u4")
         renumbered[order] = np.arange(len(words))
-        sequence = renumbered[np.frombuffer(b"".join(numbers), dtype="<u4")]
-        planes = [(sequence >> np.uint32(8 * k)).astype(np.uint8) for k in range(4)]
+        # In the sequence the most frequent words have the smallest numbers, which squeezes best.
+        sequence = np.frombuffer(b"".join(numbers), dtype="<u4")
+        frequent = np.argsort(-np.bincount(sequence, minlength=len(words)), kind="stable")
+        rank = np.empty(len(words), dtype="<u4")
+        rank[frequent] = np.arange(len(words))
         lists = []
         for start, stop in zip(*_runs(bucket[order])):
             some = [words[i] for i in order[start:stop]]
-            packed = _squeezed(np.array([len(w) for w in some], dtype="<u4"), b"".join(some))
+            packed = _squeezed(*_planes(np.array([len(w) for w in some], dtype="<u4")), b"".join(some))
             lists.append({"bucket": int(bucket[order[start]]), "words": packed})
-        columns = [[pa.concat_arrays(ids).to_pylist()], [counts], [_squeezed(*planes)], [lists]]
+        columns = [[pa.concat_arrays(ids).to_pylist()], [counts], [_squeezed(*_planes(rank[sequence]))], [_squeezed(*_planes(renumbered[frequent]))], [lists]]
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,8 +140,8 @@ def _encode_words(shared, pattern: str) -> Callable[[Iterator[pa.RecordBatch]],
             for number, words in zip(batch.column("bucket").to_pylist(), batch.column("words").to_pylist()):
                 if number != bucket:
                     bucket, known = number, {}
-                sizes, text = _parts(words, 2)
-                ends = np.cumsum(np.frombuffer(sizes, dtype="<u4"), dtype=np.int64).tolist()
+                *sizes, text = _parts(words)
+                ends = np.cumsum(_from_planes(sizes), dtype=np.int64).tolist()
                 found = []
                 for start, end in zip([0, *ends[:-1]], ends):
                     word = text[start:end]
@@ -132,7 +150,8 @@ def _encode_words(shared, pattern: str) -> Callable[[Iterator[pa.RecordBatch]],
                         ids = known[word] = piece_ids(word)
                     found.append(ids)
                 flat = np.array([i for ids in found for i in ids], dtype="<u4")
-                out.append(_squeezed(np.array([len(ids) for ids in found], dtype="<u4"), flat))
+                sizes = _planes(np.array([len(ids) for ids in found], dtype="<u4"))
+                out.append(_squeezed(bytes([len(sizes)]), *sizes, *_planes(flat)))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("block"), batch.column("bucket"), pa.array(out, pa.binary())], names=["block", "bucket", "word_ids"]
             )
@@ -144,14 +163,13 @@ def _reassemble(id_type: pa.DataType) -> Callable[[Iterator[pa.RecordBatch]], It
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                doc_ids, counts, squeezed, lists = (batch.column(c)[row] for c in ("ids", "counts", "sequence", "lists"))
-                planes = [np.frombuffer(p, dtype=np.uint8).astype("<u4") for p in _parts(squeezed.as_py(), 4)]
-                sequence = sum((p << np.uint32(8 * k) for k, p in enumerate(planes)), np.zeros(len(planes[0]), dtype="<u4"))
+                doc_ids, counts, squeezed, order, lists = (batch.column(c)[row] for c in ("ids", "counts", "sequence", "order", "lists"))
+                sequence = _from_planes(_parts(order.as_py()))[_from_planes(_parts(squeezed.as_py()))]
                 lengths, flat = [], []
                 for entry in sorted(lists.as_py() or (), key=lambda e: e["bucket"]):
-                    sizes, ids = _parts(entry["word_ids"], 2)
-                    lengths.append(np.frombuffer(sizes, dtype="<u4"))
-                    flat.append(np.frombuffer(ids, dtype="<u4"))
+                    count, *parts = _parts(entry["word_ids"])
+                    lengths.append(_from_planes(parts[: count[0]]))
+                    flat.append(_from_planes(parts[count[0] :]))
                 length = np.concatenate(lengths or [np.empty(0, dtype="<u4")]).astype(np.int64)
                 word_ids = np.concatenate(flat or [np.empty(0, dtype="<u4")])
                 begin = np.cumsum(length) - length
@@ -174,7 +192,8 @@ def encode(
 ) -> DataFrame:
     """(id, ids): the ids of every whole text, without special tokens. A null or empty text has none.
 
-    Rows that repeat an id come back once each.
+    Texts are read whole, however long. Rows that repeat an id come back once each; other columns are
+    not read, so none can clash. An empty table comes back empty.
     """
     spark = docs.sparkSession
     tasks = shuffle_tasks(spark)
@@ -186,11 +205,12 @@ def encode(
             T.StructField("ids", T.ArrayType(id_type)),
             T.StructField("counts", T.ArrayType(T.LongType())),
             T.StructField("sequence", T.BinaryType()),
+            T.StructField("order", T.BinaryType()),
             T.StructField("lists", lists),
         ]
     )
     arrow = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in block_type.fields])
-    blocks = plain.mapInArrow(_blocks(pattern, 4 * tasks, arrow), block_type).withColumn("block", F.monotonically_increasing_id())
+    blocks = plain.mapInArrow(_blocks(pattern, 2 * tasks, arrow), block_type).withColumn("block", F.monotonically_increasing_id())
     blocks = stored_by(blocks, "block", tasks, "bpe-blocks")  # their positions are not shuffled
     words = blocks.select("block", F.explode("lists").alias("list")).select("block", "list.bucket", "list.words")
     encoded = (
@@ -200,7 +220,7 @@ def encode(
         .groupBy("block")
         .agg(F.collect_list(F.struct("bucket", "word_ids")).alias("lists"))  # at most one entry a bucket
     )
-    whole = blocks.select("block", "ids", "counts", "sequence").join(encoded, "block", "left")
+    whole = blocks.select("block", "ids", "counts", "sequence", "order").join(encoded, "block", "left")
     out_type = T.StructType([T.StructField("id", id_type), T.StructField("ids", T.ArrayType(T.IntegerType()))])
     return whole.mapInArrow(_reassemble(to_arrow_type(id_type)), out_type)
 
