@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from dataclasses import dataclass
 from itertools import groupby
@@ -26,6 +27,7 @@ from touchline.plans.ledger import (
 )
 from touchline.session import ensure_checkpoint_dir
 from touchline.sources.catalog import catalog_columns, column_rules
+from touchline.sources.publish import PublishedTable
 from touchline.sources.snapshots import parsed, read_snapshot, read_text
 from touchline.sources.tables import (
     active_venues,
@@ -57,6 +59,9 @@ class Tables:
     mappings: str = "preprocessing_source_target_mappings"
     events: str = "preprocessing_events"
     history: str = "event_history"
+    # A shared folder: with it, jobs publish their targets there batch by batch (see
+    # touchline.sources.publish), so a repeated job replaces its batch; without it they write catalog tables.
+    published: str = ""
 
 
 @dataclass(frozen=True)
@@ -144,6 +149,12 @@ def read_source(
     return parsed(raw, rules), rules, raw
 
 
+def _batch_name(event: Row | dict[str, Any]) -> str:
+    """What a repeated run of the same work shares: the job, the batch and where its rows come from."""
+    event = event.asDict() if isinstance(event, Row) else event
+    return json.dumps([event.get(c) for c in ("pipeline_name", "batch_id", "source_table", "container_name", "blob_path")])
+
+
 def run_job(
     spark: SparkSession, event: Row | dict[str, Any], names: Tables = Tables(), multi_line: bool = False
 ) -> int:
@@ -151,15 +162,22 @@ def run_job(
 
     Source values that do not parse fail the validation, so no row is lost to a bad value.
 
-    The transformed frame is validated and written from one cached evaluation.
+    The transformed frame is validated and written from one cached evaluation. Into published
+    tables a job writes under its own batch: run again after a failure, or by mistake, it replaces
+    what it wrote before. They replace and truncate in one commit, so no reader sees a gap.
     """
     job = JOBS.get(event["pipeline_name"])
     if job is None:
         raise ValueError(f"There is no job named {event['pipeline_name']!r}")
     target = event["target_table"]
+    store = PublishedTable(spark, f"{names.published.rstrip('/')}/{target}") if names.published else None
     if job.write_mode == TRUNCATE_FIRST:
         # Always, so that "no data today" leaves an empty table and no old fixtures.
-        truncate_table(spark, target)
+        if store is None:
+            truncate_table(spark, target)
+        elif store.state().schema is not None:
+            store.clear()
+            store.register(target)
     source, source_rules, raw = read_source(spark, event, names, multi_line)
     if source.isEmpty():
         return 0
@@ -170,7 +188,11 @@ def run_job(
         if rows == 0:
             return 0
         validate_target(result, _rules(spark, names, table_name=target))
-        (replace_rows if job.write_mode == REPLACE else append_rows)(result, target)
+        if store is not None:
+            store.publish(result, _batch_name(event), replace=job.write_mode != APPEND)
+            store.register(target)
+        else:
+            (replace_rows if job.write_mode == REPLACE else append_rows)(result, target)
         return rows
     finally:
         result.unpersist()
