@@ -139,3 +139,31 @@ def test_stream_takes_each_page_once(spark, tmp_path):
     assert rows(spark.read.parquet(target), "home_team") == [("A",), ("C",)]
     ingest_new_pages(page_stream(spark, folder), "fixtures", "feed", target, checkpoint).awaitTermination()
     assert spark.read.parquet(target).count() == 2
+
+
+def test_stream_state_is_kept_by_match_id(spark, tmp_path):
+    """Earlier ids, the order within a batch and null ids; no run reads the target."""
+    folder, target, checkpoint = (str(tmp_path / n) for n in ("pages", "games", "state"))
+    schema = "page_id bigint, url string, html string"
+    nameless = game("N", "M", "KO", 1).replace("g=1", "h=1")
+    batches = [
+        [(5, "u", page(game("late", "B", "KO", 1))), (2, "u", page(game("early", "B", "KO", 1), nameless)), (3, "u", page(nameless))],
+        [(1, "u", page(game("again", "B", "KO", 1), game("new", "D", "KO", 2), game("new twice", "D", "KO", 2), nameless))],
+    ]
+    for found in batches:
+        spark.createDataFrame(found, schema).write.mode("append").parquet(folder)
+        query = ingest_new_pages(page_stream(spark, folder), "results", "feed", target, checkpoint)
+        query.awaitTermination()
+        plan = query._jsq.explainInternal(False)
+        assert target not in plan and "FlatMapGroupsInPandasWithState" in plan
+    assert rows(spark.read.parquet(target), "home_team", "match_id") == [("N", None), ("early", "1"), ("new", "2")]
+    assert spark.read.parquet(target).columns == list(SCRAPED_COLUMNS)
+
+
+def test_extraction_reads_no_plan_ahead(spark):
+    """A shuffle behind the pages runs with the result only."""
+    before = spark.sparkContext.statusTracker().getJobIdsForGroup(None)
+    df = pages_of(spark, page(game("A", "B", "FT", 1))).groupBy("page_id").agg({"html": "max"}).withColumnRenamed("max(html)", "html")
+    out = extract_games(df, "results", "feed")
+    assert spark.sparkContext.statusTracker().getJobIdsForGroup(None) == before
+    assert rows(out, "home_team") == rows(extract_games(df, "results", "feed", tasks=3), "home_team") == [("A",)]

@@ -224,6 +224,15 @@ def _profile_line(name: str, kind: str) -> str:
                       count(TRY_CAST(trim({name}) AS DOUBLE)) AS "numeric", '{kind}' AS kind FROM loose"""
 
 
+_HISTORICAL = """SELECT match_date AS MatchDate, upper(home_team) AS HomeTeam, upper(away_team) AS AwayTeam,
+                  home_score AS HomeScore, away_score AS AwayScore, upper(competition_name) AS CompetitionName,
+                  upper(venue) AS Venue, upper(home_team) AS City, upper(away_team) AS Country,
+                  state IS NOT DISTINCT FROM 'FT' AS Neutral, contains(competition_name, 'World Cup') AS WorldCup
+           FROM (SELECT DISTINCT match_date, home_team, away_team, home_score, away_score, competition_name, venue,
+                                 state IS NOT DISTINCT FROM 'FT' AS finished, CASE WHEN state = 'FT' THEN 'FT' END AS state
+                 FROM scraped)
+           WHERE match_date IS NOT NULL AND home_score IS NOT NULL AND away_score IS NOT NULL"""
+
 ORACLE = {
     "table_scan_filter": """
         SELECT o_orderkey, o_custkey, o_totalprice FROM orders
@@ -262,6 +271,16 @@ ORACLE = {
            WHERE HomeScore <= AwayScore AND MatchDate IN (SELECT MatchDate FROM matches WHERE HomeScore > 25)""",
         "matches",
     ),
+    "streamed_pages": _sql(
+        """SELECT 'feed' AS provider, 'fixtures' AS integration_type,
+                  strftime(MatchDate, '%Y-%m-%d') AS match_date, CAST(length(CompetitionName) AS VARCHAR) AS competition_id,
+                  CompetitionName AS competition_name, HomeTeam AS home_team, AwayTeam AS away_team,
+                  HomeScore AS home_score, AwayScore AS away_score, Venue AS venue, '8:00PM' AS kickoff_time_local,
+                  '8:00pm' AS state, 'Round & ' || (ID % 9) AS round, NULL::VARCHAR AS live_note,
+                  'https://example.org/match?x=1&g=' || ID AS match_link, CAST(ID AS VARCHAR) AS match_id
+           FROM matches WHERE HomeScore <= AwayScore""",
+        "matches",
+    ),
     "requested_dates": _sql(
         """SELECT match_date, record, home_team FROM scraped
            WHERE CAST(match_date AS DATE) BETWEEN (SELECT CAST(min(ts) AS DATE) - INTERVAL 25 YEAR FROM events)
@@ -308,15 +327,11 @@ ORACLE = {
            FROM scraped LEFT JOIN venue_keys ON upper(trim(venue)) = venue_key""",
         "scraped", "venues", "venue_keys",
     ),
-    "historical_results": _sql(
-        """SELECT match_date AS MatchDate, upper(home_team) AS HomeTeam, upper(away_team) AS AwayTeam,
-                  home_score AS HomeScore, away_score AS AwayScore, upper(competition_name) AS CompetitionName,
-                  upper(venue) AS Venue, upper(home_team) AS City, upper(away_team) AS Country,
-                  state IS NOT DISTINCT FROM 'FT' AS Neutral, contains(competition_name, 'World Cup') AS WorldCup
-           FROM (SELECT DISTINCT match_date, home_team, away_team, home_score, away_score, competition_name, venue,
-                                 state IS NOT DISTINCT FROM 'FT' AS finished, CASE WHEN state = 'FT' THEN 'FT' END AS state
-                 FROM scraped)
-           WHERE match_date IS NOT NULL AND home_score IS NOT NULL AND away_score IS NOT NULL""",
+    "historical_results": _sql(_HISTORICAL, "scraped"),
+    "rerun_job": _sql(
+        f"""SELECT count(*) AS rows, count(*) AS ids, count(*) AS last_id, CAST(sum(HomeScore) AS BIGINT) AS home_points,
+                  CAST(sum(AwayScore) AS BIGINT) AS away_points, count(*) FILTER (Neutral) AS neutral
+           FROM ({_HISTORICAL})""",
         "scraped",
     ),
     "international_results": _sql(_clean(_ALLOWED, True, True), "scraped", "venues", "venue_keys"),
@@ -513,6 +528,10 @@ ORACLE = {
                min('no ' || o_custkey) FILTER (o_custkey % 5 = 0) FROM orders
         UNION ALL SELECT 'day', 'date', count(*) FILTER (o_orderkey % 9 = 0), min('2001-02-30') FILTER (o_orderkey % 9 = 0) FROM orders
         UNION ALL SELECT 'priority', 'string', 0, NULL FROM orders WHERE false OR o_orderkey = (SELECT min(o_orderkey) FROM orders)""",
+    "published_table": """
+        SELECT count(*) AS rows, CAST(sum(o_orderkey) AS BIGINT) AS keys, count(*) AS stamped,
+               CAST(1 AS BIGINT) AS first_id, count(*) AS last_id, count(*) AS ids
+        FROM orders""",
     "appended_table": """
         SELECT count(*) AS rows, CAST(sum(o_orderkey) AS BIGINT) AS keys, count(*) AS stamped,
                CAST(1 AS BIGINT) AS first_id, count(*) AS last_id, count(*) AS ids

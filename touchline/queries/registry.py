@@ -20,7 +20,8 @@ from touchline.operators.quality import ColumnRule
 from touchline.plans import cleaning, features, ingestion, jobs, ledger, modelling, report
 from touchline.queries import views
 from touchline.session import scratch_path
-from touchline.sources import catalog, pages, snapshots, tables
+from touchline.sources import catalog, pages, publish, snapshots, tables
+from touchline.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -156,6 +157,54 @@ def appended_table(spark, sf_dir):
     )
 
 
+@query
+def published_table(spark, sf_dir):
+    """Orders published in four batches, one of them three times and then smaller: single rows, dense ids."""
+    orders = views.table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    store = publish.PublishedTable(spark, scratch_path(spark, "published"))
+    for part in (0, 1, 1, 2, 3, 1):
+        store.publish(orders.where(F.col("o_orderkey") % 4 == part), f"batch {part}")
+    return store.read().agg(
+        F.count("*").alias("rows"),
+        F.sum("o_orderkey").alias("keys"),
+        F.count("CreatedAt").alias("stamped"),
+        F.min("ID").alias("first_id"),
+        F.max("ID").alias("last_id"),
+        F.countDistinct("ID").alias("ids"),
+    )
+
+
+@query
+def rerun_job(spark, sf_dir):
+    """An append job run twice over the same batch, and once over another: every batch is there once."""
+    names = jobs.Tables(
+        schema_tables=_fresh("schema_tables"), schema_columns=_fresh("schema_columns"), published=scratch_path(spark, "published")
+    )
+    source, target = _fresh("historical"), _fresh("results")
+    views.historical(spark, sf_dir).withColumn("batch_id", F.when(F.col("home_team") < "NATION_2", "b1").otherwise("b2")).write.saveAsTable(source)
+    spark.createDataFrame(
+        [(1, source, None, None), (2, target, None, None)],
+        "id int, table_name string, integration_type string, integration_provider string",
+    ).write.saveAsTable(names.schema_tables)
+    known = [(1, "home_score", "float"), (1, "home_team", "string"), (2, "HomeScore", "int"), (2, "MatchDate", "datetime")]
+    spark.createDataFrame(
+        [(table, column, kind, True, at) for at, (table, column, kind) in enumerate(known)],
+        "table_id int, column_name string, data_type string, is_required boolean, ordinal_position int",
+    ).write.saveAsTable(names.schema_columns)
+    job = {"pipeline_name": "historical_to_international_results", "source_table": source, "target_table": target, "system_event_id": "s"}
+    for batch in ("b1", "b2", "b1"):
+        jobs.run_job(spark, {**job, "batch_id": batch}, names)
+    results = spark.table(target)
+    return results.agg(
+        F.count("*").alias("rows"),
+        F.countDistinct("ID").alias("ids"),
+        F.max("ID").alias("last_id"),
+        F.sum("HomeScore").alias("home_points"),
+        F.sum("AwayScore").alias("away_points"),
+        F.sum(F.col("Neutral").cast("long")).alias("neutral"),
+    )
+
+
 @query
 def replaced_table(spark, sf_dir):
     """A table filled with one half of the orders, truncated, and replaced by the other half."""
@@ -238,7 +287,19 @@ def url_param(spark, sf_dir):
 @query
 def extract_pages(spark, sf_dir):
     wanted = views.matches(spark, sf_dir).where("HomeScore > 25").select(F.col("MatchDate").cast("date").alias("day"))
-    return pages.extract_games(views.game_pages(spark, sf_dir), "fixtures", "feed", wanted).drop("pos")
+    tasks = spark.sparkContext.defaultParallelism  # the test tables are single files
+    return pages.extract_games(views.game_pages(spark, sf_dir), "fixtures", "feed", wanted, tasks).drop("pos")
+
+
+@query
+def streamed_pages(spark, sf_dir):
+    """Two runs of the page stream; the second finds all games again, under other page ids, and keeps the unseen."""
+    folder, target, state = (scratch_path(spark, name) for name in ("pages", "games", "stream"))
+    found = views.game_pages(spark, sf_dir).select("page_id", F.lit("u").alias("url"), "html")
+    for run in (found.where("page_id % 3 <> 0"), found.withColumn("page_id", F.col("page_id") + 1_000_000_000)):
+        run.repartition(spark.sparkContext.defaultParallelism).write.mode("append").parquet(folder)
+        ingest.ingest_new_pages(ingest.page_stream(spark, folder), "fixtures", "feed", target, state).awaitTermination()
+    return spark.read.parquet(target)
 
 
 @query

@@ -225,22 +225,21 @@ def _parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def extract_games(
-    pages: DataFrame, kind: str, provider: str, dates: DataFrame | None = None
+    pages: DataFrame, kind: str, provider: str, dates: DataFrame | None = None, tasks: int | None = None
 ) -> DataFrame:
     """Scraped records of ``pages`` (page_id, html) with page_id and pos for ordering.
 
     kind      ``results`` or ``fixtures``; fixtures leave completed games out.
     dates     one date column; only games under these header dates are kept (all when None).
+    tasks     deal the pages out to so many tasks before they are parsed; for a few large files, whose
+              pieces would leave most cores idle. None shuffles nothing.
 
     Pages without a game list are dropped before Python sees them. Game blocks under an
     unreadable date header are skipped.
     """
     with_games = pages.where(F.col("html").contains("games-list")).select("page_id", "html")
-    # Fewer pieces than cores (few files) would leave most cores idle; else nothing is shuffled.
-    if not pages.isStreaming:
-        cores = pages.sparkSession.sparkContext.defaultParallelism
-        if with_games.rdd.getNumPartitions() < cores:
-            with_games = with_games.repartition(cores)
+    if tasks:
+        with_games = with_games.repartition(tasks)
     raw = with_games.mapInArrow(_parse_batches, _RAW_SCHEMA)
     # "Sun Dec 7, 2025": the weekday has to be there but does not take part in reading the date.
     header = F.regexp_extract(strip("header_date"), HEADER_DATE, 1)

@@ -2,19 +2,29 @@
 
 The batch jobs find new work through a high-water mark. A page folder can keep that mark in
 the stream checkpoint instead: each run takes the pages that arrived since the last one and
-stops (``availableNow``).
+stops (``availableNow``). Which match ids were seen lies in the stream's state store, by id, so no
+run reads what earlier ones wrote.
 """
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from touchline.operators.rows import keep_first
 from touchline.sources.pages import SCRAPED_COLUMNS, extract_games
 
+# Worker functions travel with the job: executors need no installed package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 PAGE_SCHEMA = "page_id bigint, url string, html string"
+_KEYED = "match_id string, page_id bigint, pos bigint, record string"
 
 
 def page_stream(spark: SparkSession, folder: str, files_per_trigger: int | None = None) -> DataFrame:
@@ -25,6 +35,42 @@ def page_stream(spark: SparkSession, folder: str, files_per_trigger: int | None
     return reader.parquet(folder)
 
 
+def _first(frame: pd.DataFrame) -> pd.DataFrame:
+    """The first record of every match id; null is one id."""
+    return frame.sort_values(["page_id", "pos"], kind="stable").drop_duplicates("match_id")
+
+
+def _first_of_batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Before the shuffle: a very frequent id (null above all) leaves one row a batch of rows."""
+    for frame in frames:
+        yield _first(frame)
+
+
+def _unseen(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """The first record of an id that no earlier batch of the stream held."""
+    best = None
+    for frame in frames:
+        best = _first(frame if best is None else pd.concat([best, frame]))
+    if not state.exists and best is not None:
+        state.update((True,))
+        yield best
+
+
+def new_games(pages: DataFrame, kind: str, provider: str, dates: DataFrame | None = None) -> DataFrame:
+    """A stream of the scraped records whose match id is new to the stream; null counts as one id.
+
+    Of records that arrive together the first page and position counts.
+    """
+    games = extract_games(pages, kind, provider, dates)
+    layout = games.select(*SCRAPED_COLUMNS).schema
+    keyed = games.select("match_id", "page_id", F.col("pos").cast("bigint").alias("pos"), F.to_json(F.struct(*SCRAPED_COLUMNS)).alias("record"))
+    first = keyed.mapInPandas(_first_of_batches, _KEYED)
+    unseen = first.groupBy("match_id").applyInPandasWithState(
+        _unseen, _KEYED, "seen boolean", "append", GroupStateTimeout.NoTimeout
+    )
+    return unseen.select(F.from_json("record", layout).alias("record")).select("record.*")
+
+
 def ingest_new_pages(
     pages: DataFrame,
     kind: str,
@@ -35,21 +81,16 @@ def ingest_new_pages(
 ) -> StreamingQuery:
     """Extract the new pages and append the first record of every match id to ``target``.
 
-    A record whose match id an earlier batch holds is left out; null counts as one id. A batch is
-    written under its own number and overwritten when it is replayed, so a restart after a lost
-    executor or driver adds nothing twice. Read the result with ``spark.read.parquet(target)``.
+    A record whose match id an earlier batch holds is left out. Files and state are committed
+    together with the batch, so a restart after a lost executor or driver adds nothing twice. Ids are
+    kept for good: for many of them set ``spark.sql.streaming.stateStore.providerClass`` to the
+    RocksDB store. Read the result with ``spark.read.parquet(target)``.
     """
-
-    def write(batch: DataFrame, number: int) -> None:
-        games = extract_games(batch, kind, provider, dates)
-        first = keep_first(games, "match_id", ["page_id", "pos"]).select(*SCRAPED_COLUMNS)
-        if number:  # every earlier batch has written its folder
-            held = batch.sparkSession.read.parquet(target).where(F.col("batch") < number).select(F.col("match_id").alias("_held"))
-            first = first.join(held.distinct(), F.col("match_id").eqNullSafe(F.col("_held")), "left_anti")
-        first.write.mode("overwrite").parquet(f"{target.rstrip('/')}/batch={number}")
-
     return (
-        pages.writeStream.foreachBatch(write)
+        new_games(pages, kind, provider, dates)
+        .writeStream.format("parquet")
+        .outputMode("append")
+        .option("path", target)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
