@@ -210,3 +210,19 @@ def test_form_is_one_window_without_python(spark):
     df = spark.createDataFrame(league(1, 50, 5, 20), MATCH)
     plan = form.rolling_form(form.to_team_rows(df))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "SinglePartition" not in plan
+
+
+def test_windows_read_the_pieces_where_they_are(spark):
+    """The rows are shuffled once, by range, before they are written: no exchange is left in the plans."""
+    df = spark.createDataFrame(league(1, 50, 5, 20), MATCH)
+    for pieces in (1, 7):
+        for out in (form.rolling_form(form.to_team_rows(df), pieces=pieces), ordering.global_rank(df, [F.col("MatchDate")], "rank", pieces)):
+            plan = out._jdf.queryExecution().executedPlan().toString()
+            assert "Window" in plan and "Exchange hashpartitioning" not in plan and "Union" not in plan
+
+
+@pytest.mark.parametrize("pieces", [1, 2, 13, 211])
+def test_every_piece_has_a_bucket_of_its_own(spark, pieces):
+    keys = ordering._bucket_keys(pieces)
+    hashed = spark.createDataFrame([(k,) for k in keys], "k int").select(F.pmod(F.hash("k"), F.lit(pieces))).collect()
+    assert [r[0] for r in hashed] == list(range(pieces))

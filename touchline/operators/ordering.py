@@ -6,30 +6,74 @@ folder with the number of their piece. A piece is one task's share of the order:
 size runs through as many pieces as it needs, whatever the types of time and tie-break are, and
 however many rows share a day. What a piece needs from the ones before it is little: how many rows
 there are (a count for each piece) and, for lagged frames, the last few rows of its first group.
+
+The pieces are the buckets of a table, so a window within a piece reads them where they are: the
+range partitioning is the only shuffle of the rows. The last rows that a later piece needs are
+added to its bucket.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
+from functools import lru_cache
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from touchline.session import scratch_path
 
+_PIECE, _BUCKET = "_piece", "_bucket"
+
+
+@lru_cache(maxsize=64)
+def _bucket_keys(pieces: int) -> tuple[int, ...]:
+    """For every bucket a number that Spark hashes into it, so that each piece has a bucket of its own."""
+    spark, found, tries = SparkSession.active(), [], 16 * pieces + 64
+    while len(found) < pieces:
+        numbers = spark.range(0, tries, 1, 1).select(F.col("id").cast("int").alias("key"))
+        by_bucket = numbers.groupBy(F.pmod(F.hash("key"), F.lit(pieces)).alias("bucket")).agg(F.min("key").alias("key"))
+        found, tries = by_bucket.orderBy("bucket").collect(), 4 * tries  # one row a piece
+    return tuple(row["key"] for row in found)
+
+
+def _bucket_of(piece: Column, pieces: int) -> Column:
+    return F.element_at(F.lit(list(_bucket_keys(pieces))), piece + 1)
+
+
+class _Pieces:
+    """A table of consecutive pieces of an order, one bucket each. Its files stay in the shared folder."""
+
+    def __init__(self, df: DataFrame, order: Sequence[Column], pieces: int | None):
+        self.spark = df.sparkSession
+        self.count = pieces or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        self.name, self.path = f"touchline_pieces_{uuid.uuid4().hex}", scratch_path(self.spark, "ordered")
+        ranged = df.repartitionByRange(self.count, *_sorted(order)).withColumn(_PIECE, F.spark_partition_id())
+        self.add(ranged.withColumn(_BUCKET, _bucket_of(F.col(_PIECE), self.count)))
+
+    def add(self, rows: DataFrame) -> None:
+        writer = rows.write.mode("append").bucketBy(self.count, _BUCKET).option("path", self.path)
+        writer.saveAsTable(self.name)
+
+    def read(self) -> DataFrame:
+        return self.spark.table(self.name)
+
+    def let_go(self) -> None:
+        """Take the name back; frames that were read keep the files."""
+        self.spark.sql(f"DROP TABLE {self.name}")
+
 
 def in_pieces(df: DataFrame, order: Sequence[Column], pieces: int | None = None) -> DataFrame:
     """``df`` in consecutive pieces of the ascending order (nulls last), numbered in ``_piece``.
 
     Written to the shared folder: every reader sees the same cuts. ``pieces`` defaults to the
-    number of shuffle partitions. Rows that agree in the whole order lie in one piece.
+    number of shuffle partitions. Rows that agree in the whole order lie in one piece. A window or
+    grouping that has ``_bucket``, the piece's key, among its columns shuffles nothing.
     """
-    spark = df.sparkSession
-    pieces = pieces or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(pieces, *[c.asc_nulls_last() for c in order]).withColumn("_piece", F.spark_partition_id())
-    path = scratch_path(spark, "ordered")
-    ranged.write.parquet(path)
-    return spark.read.schema(ranged.schema).parquet(path)
+    table = _Pieces(df, order, pieces)
+    cut = table.read()
+    table.let_go()
+    return cut
 
 
 def _sorted(order: Sequence[Column]) -> list[Column]:
@@ -50,10 +94,11 @@ def lagged(
     ``aggregates`` builds the columns for a given ordered window, e.g.
     ``lambda w: {"m": lagged_mean("x", w, 10)}``. ``groups`` must not be null.
     """
-    cut = in_pieces(df, [*map(F.col, groups), *order], pieces)
+    table = _Pieces(df.withColumn("_context", F.lit(False)), [*map(F.col, groups), *order], pieces)
+    cut = table.read()
     in_group = Window.partitionBy(*groups).orderBy("_piece")
     whole = Window.partitionBy(*groups)
-    parts = cut.groupBy(*groups, "_piece").agg(F.count("*").alias("_n")).withColumn("_parts", F.count("*").over(whole))
+    parts = cut.groupBy(*groups, _PIECE, _BUCKET).agg(F.count("*").alias("_n")).withColumn("_parts", F.count("*").over(whole))
     parts = parts.where("_parts > 1").select(
         *groups,
         "_piece",
@@ -63,39 +108,35 @@ def lagged(
     # A later part needs a row of this one when the row is among the last before its start.
     later = F.collect_list(F.struct(F.col("_piece").alias("piece"), F.col("_start").alias("start")))
     parts = parts.withColumn("_later", later.over(in_group.rowsBetween(1, rows_back)))
-    # Only the first and the last group of a piece can be cut: at most two rows a piece, which Spark
-    # broadcasts once it has seen their size.
-    backwards = Window.partitionBy(*groups, "_piece").orderBy(*[c.desc_nulls_first() for c in order])
+    # Only the first and the last group of a piece can be cut: at most two rows a piece.
+    backwards = Window.partitionBy(*groups, _PIECE, _BUCKET).orderBy(*[c.desc_nulls_first() for c in order])
     tails = (
-        cut.join(parts, [*groups, "_piece"])
+        cut.join(F.broadcast(parts), [*groups, _PIECE])
         .withColumn("_from_end", F.row_number().over(backwards))
         .where(F.col("_from_end") <= rows_back)
     )
     place = F.col("_start") + F.col("_n") - F.col("_from_end")
     needing = F.filter("_later", lambda part: part["start"] - place <= rows_back)
     context = tails.withColumn("_piece", F.explode(F.transform(needing, lambda part: part["piece"])))
-    context = context.select(*cut.columns, F.lit(True).alias("_context"))
-    ordered = Window.partitionBy(*groups, "_piece").orderBy(*_sorted(order))
-    return (
-        cut.withColumn("_context", F.lit(False))
-        .unionByName(context)
-        .withColumns(aggregates(ordered))
-        .where("not _context")
-        .drop("_piece", "_context")
-    )
+    context = context.withColumns({_BUCKET: _bucket_of(F.col(_PIECE), table.count), "_context": F.lit(True)})
+    table.add(context.select(*cut.columns).coalesce(1))  # at most ``rows_back`` rows a piece
+    ordered = Window.partitionBy(*groups, _PIECE, _BUCKET).orderBy(*_sorted(order))
+    whole = table.read()
+    table.let_go()
+    return whole.withColumns(aggregates(ordered)).where("not _context").drop(_PIECE, _BUCKET, "_context")
 
 
 def global_rank(df: DataFrame, order: Sequence[Column], rank: str, pieces: int | None = None) -> DataFrame:
     """Add the exact 1-based position in the ascending order (nulls last) over the whole frame."""
     cut = in_pieces(df, order, pieces)
     before, starts = 0, []
-    for piece, rows in cut.groupBy("_piece").count().orderBy("_piece").collect():  # one row a piece
+    for piece, rows in cut.groupBy(_PIECE, _BUCKET).count().drop(_BUCKET).orderBy(_PIECE).collect():  # one row a piece
         starts.append((piece, before))
         before += rows
     offsets = df.sparkSession.createDataFrame(starts, "_piece int, _before long")
-    in_piece = Window.partitionBy("_piece").orderBy(*_sorted(order))
+    in_piece = Window.partitionBy(_PIECE, _BUCKET).orderBy(*_sorted(order))
     return (
         cut.join(F.broadcast(offsets), "_piece")
         .withColumn(rank, F.row_number().over(in_piece) + F.col("_before"))
-        .drop("_piece", "_before")
+        .drop(_PIECE, _BUCKET, "_before")
     )
