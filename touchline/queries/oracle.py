@@ -557,6 +557,6 @@ ORACLE = {
            FROM matches WHERE ID % 7 > 0 AND ID % 5 > 0""",
         "matches",
     ),
-    "train_score_checks": f"""SELECT ID, true AS is_probability, true AS is_finite FROM ({_model_fixtures(True, 10.0)})""",
+    "train_score_checks": f"""SELECT ID, true AS is_probability, true AS is_finite, true AS scores_vary FROM ({_model_fixtures(True, 10.0)})""",
 }
 ORACLE["model_dataset"] = ORACLE["normalise_types"]

@@ -820,10 +820,12 @@ def train_score(spark, sf_dir):
 
 @query
 def train_score_checks(spark, sf_dir):
-    """What holds for any training: every fixture once, a probability, a finite margin."""
+    """What holds for any training: every fixture once, a probability, a finite margin, no constant scores."""
     out = train_score(spark, sf_dir)
+    varied = [F.max(c) > F.min(c) for c in ("homewin_v1", "pointdiff_v1")]
+    varies = out.agg((varied[0] & varied[1]).alias("varies")).scalar()
     finite = F.col("pointdiff_v1").isNotNull() & ~F.isnan("pointdiff_v1") & (F.abs("pointdiff_v1") < float("inf"))
-    return out.select("ID", F.col("homewin_v1").between(0, 1).alias("is_probability"), finite.alias("is_finite"))
+    return out.select("ID", F.col("homewin_v1").between(0, 1).alias("is_probability"), finite.alias("is_finite"), varies.alias("scores_vary"))
 
 
 def _predictions(spark, sf_dir) -> DataFrame:
