@@ -77,19 +77,29 @@ def rolling_form(
     All six aggregates share one window. The order runs through ``pieces`` tasks (see
     :func:`touchline.operators.ordering.lagged`), so a team of any size is spread.
     """
+    keyed = by_team(team_rows)
+    order = form_order(keyed, date_col, id_col, tie_break)
+    form = lagged(keyed, ["_named", "_team"], order, window_rows, lambda ordered: form_aggregates(ordered, window_rows), pieces)
+    return form.drop("_named", "_team")
+
+
+def by_team(team_rows: DataFrame) -> DataFrame:
+    """Keys without nulls: a missing team is told from an empty name."""
+    return team_rows.withColumns({"_named": F.col("Team").isNotNull(), "_team": F.coalesce("Team", F.lit(""))})
+
+
+def form_order(team_rows: DataFrame, date_col: str, id_col: str, tie_break: Sequence[str]) -> list[Column]:
+    """The ascending order of a team's rows; the home side comes first where a team meets itself."""
     extra = [c for c in tie_break if c in team_rows.columns]
-    order = [
+    return [
         F.col(date_col),
         F.col(id_col),
         *[F.coalesce(F.col(c).cast("timestamp"), F.col(date_col).cast("timestamp")) for c in extra],
         *([-F.col("IsHome")] if "IsHome" in team_rows.columns else []),
     ]
-    keyed = team_rows.withColumns({"_named": F.col("Team").isNotNull(), "_team": F.coalesce("Team", F.lit(""))})
-    form = lagged(keyed, ["_named", "_team"], order, window_rows, lambda ordered: _form(ordered, window_rows), pieces)
-    return form.drop("_named", "_team")
 
 
-def _form(ordered: WindowSpec, window_rows: int) -> dict[str, Column]:
+def form_aggregates(ordered: WindowSpec, window_rows: int) -> dict[str, Column]:
     played = (F.col("PointsFor").isNotNull() & F.col("PointsAgainst").isNotNull()).cast("long")
     form = {name: lagged_mean(source, ordered, window_rows) for name, source in FORM_MEANS.items()}
     form["FormGames"] = lagged_sum(played, ordered, window_rows)

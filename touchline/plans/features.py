@@ -20,6 +20,7 @@ from touchline.operators.form import (
     union_fixtures,
     with_differences,
 )
+from touchline.operators.form_state import form_increment
 from touchline.operators.lookups import add_team_features, keep_canonical_teams, keep_canonical_venues
 from touchline.operators.rows import drop_null_rows, without_columns
 from touchline.session import scratch_path
@@ -62,9 +63,14 @@ def _stored_canonical(matches: DataFrame, teams: DataFrame, venues: DataFrame) -
 
 
 def _with_form(
-    known: DataFrame, teams: DataFrame, features: FeatureSet, wanted: Column, pieces: int | None
+    known: DataFrame,
+    teams: DataFrame,
+    features: FeatureSet,
+    wanted: Column,
+    pieces: int | None,
+    tail: DataFrame | None = None,
 ) -> DataFrame:
-    """Form and team attributes on the ``wanted`` matches, from the history in all of ``known``.
+    """Form and team attributes on the ``wanted`` matches, from the history in ``known`` and before it in ``tail``.
 
     The match travels with its home row and the two rows are folded back by row number, so the matches are
     not joined again. Attributes are looked up for wanted matches only.
@@ -72,7 +78,10 @@ def _with_form(
     match = F.struct(*[c for c in known.columns if c != ROW])
     long = to_team_rows(known.withColumn("_match", match), context=[ROW, "KickoffTimeLocal", "_match"])
     long = long.withColumns({"_wanted": wanted, "_match": F.when(F.col("IsHome") == 1, F.col("_match"))})
-    form = rolling_form(long, FORM_WINDOW, tie_break=("KickoffTimeLocal",), pieces=pieces)
+    if tail is None:
+        form = rolling_form(long, FORM_WINDOW, pieces=pieces)
+    else:
+        form = form_increment(tail, long, FORM_WINDOW, pieces=pieces).where("not Restated")
     folded = (
         form.where("_wanted")
         .groupBy(ROW)
@@ -122,3 +131,29 @@ def fixtures_model_ready(
     weighted = add_time_decay(with_form, "MatchDate", features.half_life_years, latest_date(known, "MatchDate"))
     final = without_columns(weighted, *SCORES, SOURCE)
     return final.withColumn("MatchDate", midnight(timestamp_of(final, "MatchDate")))
+
+
+def results_team_rows(results: DataFrame, teams: DataFrame, venues: DataFrame) -> DataFrame:
+    """Canonical results as the team rows that a stored form state absorbs."""
+    return to_team_rows(_canonical(results, teams, venues))
+
+
+def fixtures_from_tail(
+    fixtures: DataFrame,
+    tail: DataFrame,
+    teams: DataFrame,
+    venues: DataFrame,
+    features: FeatureSet = INTERNATIONAL,
+    pieces: int | None = None,
+) -> DataFrame:
+    """What :func:`fixtures_model_ready` gives, from the tail of :func:`results_team_rows` in place of all results.
+
+    A daily run reads the fixtures and a few rows a team. A fixture older than the tail can tell is an
+    error. Columns that only results have are not among the result's.
+    """
+    absent = {c: F.lit(None).cast("long") for c in SCORES if c not in fixtures.columns}
+    known = _stored_canonical(fixtures.withColumns(absent) if absent else fixtures, teams, venues)
+    with_form = _with_form(known, teams, features, F.col("KickoffTimeLocal").isNotNull(), pieces, tail)
+    newest = F.greatest(latest_date(known, "MatchDate"), tail.agg(F.max("Newest")).scalar())
+    final = without_columns(add_time_decay(with_form, "MatchDate", features.half_life_years, newest), *SCORES)
+    return final.withColumn("MatchDate", midnight(timestamp_of(final, "MatchDate")))

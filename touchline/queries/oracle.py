@@ -386,6 +386,12 @@ ORACLE = {
         + ")",
         "matches", "results", "fixtures",
     ),
+    "form_increment": _sql(
+        "SELECT ID, Team, IsHome, " + ", ".join(_FORM_COLUMNS) + ", false AS Restated FROM ("
+        + _FORM.format(sides=_SIDES.format(columns="ID, MatchDate", source="matches"), order="MatchDate, ID")
+        + ") WHERE MatchDate >= DATE '2001-01-01'",
+        "matches",
+    ),
     "attach_form": f"""{_sql("", "matches").rstrip()},
         form AS ({_FORM.format(sides=_SIDES.format(columns="ID, MatchDate", source="matches"), order="MatchDate, ID")})
         SELECT m.ID, m.HomeTeam, m.AwayTeam, m.HomeScore, m.AwayScore, {_ATTACHED}
@@ -405,6 +411,7 @@ ORACLE = {
     "results_model_ready": _model_results(True, 10.0),
     "league_model_ready": _model_results(False, 5.0),
     "fixtures_model_ready": _model_fixtures(True, 10.0),
+    "fixtures_increment": _model_fixtures(True, 10.0),
     "league_fixtures_model_ready": _model_fixtures(False, 5.0),
     "schema_catalog": """
         SELECT p_partkey AS table_id, p_name AS table_name, p_type AS integration_type, p_brand AS integration_provider,

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from touchline.functions.dates import days_between, kickoff_timestamp, midnight, timestamp_of
 from touchline.functions.text import blank_to_null, contains_ignore_case, name_key, neutral_flag, query_parameter
 from touchline.functions.windows import lagged_mean, lagged_sum
-from touchline.operators import form, lookups, metrics, ordering, quality, rows
+from touchline.operators import form, form_state, lookups, metrics, ordering, quality, rows
 from touchline.operators.quality import ColumnRule
 from touchline.plans import cleaning, features, ingestion, jobs, ledger, modelling, report
 from touchline.queries import views
@@ -500,6 +500,32 @@ def rolling_form(spark, sf_dir):
     return form.rolling_form(long).select("ID", "Team", "IsHome", *form.FORM_COLUMNS)
 
 
+def _season(spark, sf_dir) -> DataFrame:
+    return views.matches(spark, sf_dir).where(F.col("MatchDate") >= F.lit(views.SEASON_START).cast("timestamp_ntz"))
+
+
+@query
+def form_increment(spark, sf_dir):
+    """Form of the newest season from stored tails: the history is absorbed in two batches, the second of them twice."""
+    history = form.to_team_rows(views.results(spark, sf_dir))
+    early = F.col("MatchDate") < F.lit(dt.datetime(1998, 1, 1))
+    state = form_state.FormState(spark, scratch_path(spark, "form-state"))
+    state.absorb(history.where(early), "to 1997")
+    for _ in range(2):
+        state.absorb(history.where(~early), "to 2000")
+    out = state.form(form.to_team_rows(_season(spark, sf_dir)), "2001")
+    return out.select("ID", "Team", "IsHome", *form.FORM_COLUMNS, "Restated")
+
+
+@query
+def fixtures_increment(spark, sf_dir):
+    """The fixtures build from a stored tail of the results."""
+    teams, venues = views.teams(spark, sf_dir), views.venues(spark, sf_dir)
+    state = form_state.FormState(spark, scratch_path(spark, "form-state"))
+    state.absorb(features.results_team_rows(views.results(spark, sf_dir), teams, venues), "results")
+    return _model_ready(features.fixtures_from_tail(views.fixtures(spark, sf_dir), state.before("fixtures"), teams, venues))
+
+
 @query
 def attach_form(spark, sf_dir):
     played = views.matches(spark, sf_dir)

@@ -17,6 +17,7 @@ import hashlib
 import json
 import threading
 import uuid
+from collections.abc import Sequence
 from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -162,22 +163,23 @@ class PublishedTable:
         paths = [f"{self.folder}/starts/{w}" for w in wheres]
         return self.spark.read.schema(kinds).option("basePath", f"{self.folder}/starts").parquet(*paths)
 
-    def read(self) -> DataFrame:
-        """The rows of all live batches with their ids. Only live attempts are listed and scanned."""
+    def read(self, batches: Sequence[str] | None = None) -> DataFrame:
+        """The rows of all live batches, or of the named ones, with their ids. Only their attempts are listed and scanned."""
         state = self.state()
+        live = {name: b for name, b in state.batches.items() if batches is None or name in batches}
         if state.schema is None:
             raise ValueError(f"nothing was published under {self.folder}")
         columns = T.StructType.fromJson(json.loads(state.schema))
-        if not state.batches:
+        if not live:
             whole = T.StructType([T.StructField(self.id_col, T.LongType()), *columns.fields])
             return self.spark.createDataFrame([], whole)
-        wheres = [f"batch={b['batch']}/attempt={b['attempt']}" for b in state.batches.values()]
+        wheres = [f"batch={b['batch']}/attempt={b['attempt']}" for b in live.values()]
         kept = T.StructType([*columns.fields, T.StructField(_PLACE, T.LongType())])
         kept = T.StructType([*kept.fields, T.StructField("batch", T.StringType()), T.StructField("attempt", T.StringType())])
         paths = [f"{self.folder}/data/{w}" for w in wheres]
         rows = self.spark.read.schema(kept).option("basePath", f"{self.folder}/data").parquet(*paths)
         rows = rows.withColumnsRenamed({"batch": _BATCH, "attempt": _ATTEMPT}).withColumn(_TASK, F.shiftright(_PLACE, 33).cast("int"))
-        firsts = [(b["attempt"], b["first"]) for b in state.batches.values()]
+        firsts = [(b["attempt"], b["first"]) for b in live.values()]
         firsts = self.spark.createDataFrame(firsts, f"attempt string, {_FIRST} bigint")
         # One row a batch and task; Spark broadcasts them when they are few.
         starts = self._starts(wheres).join(firsts, "attempt")
