@@ -1,6 +1,8 @@
 import math
+import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from touchline.operators import metrics
 
@@ -73,3 +75,47 @@ def test_regression_far_from_zero_and_constant(spark):
     assert metrics.regression_metrics(constant, "y", "f").first()["r2"] == 1.0
     missed = spark.createDataFrame([(1.0, 2.0), (1.0, 1.0)], schema)
     assert metrics.regression_metrics(missed, "y", "f").first()["r2"] == 0.0
+
+
+def grouped_rows(spark, n=600, seed=3):
+    rng = random.Random(seed)
+    made = []
+    for i in range(n):
+        group = "hot" if rng.random() < 0.8 else rng.choice(["few", "one class", "no label"])
+        label = None if group == "no label" or rng.random() < 0.1 else 1 if group == "one class" else rng.randrange(2)
+        made.append((group, label, rng.choice([rng.random(), round(rng.random(), 1), -0.0, 0.0]), 0.5 + rng.random(), rng.gauss(0, 1)))
+    return spark.createDataFrame(made, "g string, y int, p double, w double, v double")
+
+
+@pytest.mark.parametrize("pieces", [1, 9])
+def test_grouped_metrics_are_those_of_each_group(spark, pieces):
+    df = grouped_rows(spark)
+    got = {r["g"]: r for r in metrics.grouped_binary_metrics(df, ["g"], "y", "p", "w", pieces).collect()}
+    assert set(got) == {"hot", "few", "one class"}
+    for group, row in got.items():
+        own = df.where(F.col("g") == group)
+        alone = metrics.binary_metrics(own, "y", "p", "w").first()
+        for name in ("accuracy", "f1", "logloss"):
+            assert row[name] == (None if alone[name] is None else pytest.approx(alone[name]))
+        area = metrics.area_under_roc(own, "y", "p", "w")
+        assert row["auc"] == (None if area is None else pytest.approx(area))
+
+
+def test_grouped_area_is_the_share_of_won_pairs(spark):
+    df = grouped_rows(spark, 150, 8)
+    got = {r["g"]: r["auc"] for r in metrics.grouped_area_under_roc(df, ["g"], "y", "p", "w", 5).collect()}
+    made = [r for r in df.collect() if r["y"] is not None]
+    for group in ("hot", "few"):
+        for_, against = ([r for r in made if r["g"] == group and r["y"] == y] for y in (1, 0))
+        won = sum(a["w"] * b["w"] * ((a["p"] > b["p"]) + (a["p"] == b["p"]) / 2) for a in for_ for b in against)
+        assert got[group] == pytest.approx(won / sum(a["w"] * b["w"] for a in for_ for b in against))
+    assert metrics.grouped_area_under_roc(df.where("false"), ["g"], "y", "p").isEmpty()
+
+
+def test_grouped_regression_metrics(spark):
+    df = grouped_rows(spark).withColumn("y", F.when(F.col("g") == "few", 2.0).otherwise(F.col("y") + F.col("v")))
+    got = {r["g"]: r for r in metrics.grouped_regression_metrics(df, ["g"], "y", "p", "w").collect()}
+    for group, row in got.items():
+        alone = metrics.regression_metrics(df.where(F.col("g") == group), "y", "p", "w").first()
+        assert all(row[c] == pytest.approx(alone[c]) for c in ("rmse", "mae", "r2"))
+    assert got["few"]["r2"] == 0.0

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from touchline.session import scratch_path
 
-_PIECE, _BUCKET = "_piece", "_bucket"
+PIECE, BUCKET = "_piece", "_bucket"
 
 
 @lru_cache(maxsize=64)
@@ -48,11 +48,11 @@ class _Pieces:
         self.spark = df.sparkSession
         self.count = pieces or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         self.name, self.path = f"touchline_pieces_{uuid.uuid4().hex}", scratch_path(self.spark, "ordered")
-        ranged = df.repartitionByRange(self.count, *_sorted(order)).withColumn(_PIECE, F.spark_partition_id())
-        self.add(ranged.withColumn(_BUCKET, _bucket_of(F.col(_PIECE), self.count)))
+        ranged = df.repartitionByRange(self.count, *_sorted(order)).withColumn(PIECE, F.spark_partition_id())
+        self.add(ranged.withColumn(BUCKET, _bucket_of(F.col(PIECE), self.count)))
 
     def add(self, rows: DataFrame) -> None:
-        writer = rows.write.mode("append").bucketBy(self.count, _BUCKET).option("path", self.path)
+        writer = rows.write.mode("append").bucketBy(self.count, BUCKET).option("path", self.path)
         writer.saveAsTable(self.name)
 
     def read(self) -> DataFrame:
@@ -98,7 +98,7 @@ def lagged(
     cut = table.read()
     in_group = Window.partitionBy(*groups).orderBy("_piece")
     whole = Window.partitionBy(*groups)
-    parts = cut.groupBy(*groups, _PIECE, _BUCKET).agg(F.count("*").alias("_n")).withColumn("_parts", F.count("*").over(whole))
+    parts = cut.groupBy(*groups, PIECE, BUCKET).agg(F.count("*").alias("_n")).withColumn("_parts", F.count("*").over(whole))
     parts = parts.where("_parts > 1").select(
         *groups,
         "_piece",
@@ -109,34 +109,34 @@ def lagged(
     later = F.collect_list(F.struct(F.col("_piece").alias("piece"), F.col("_start").alias("start")))
     parts = parts.withColumn("_later", later.over(in_group.rowsBetween(1, rows_back)))
     # Only the first and the last group of a piece can be cut: at most two rows a piece.
-    backwards = Window.partitionBy(*groups, _PIECE, _BUCKET).orderBy(*[c.desc_nulls_first() for c in order])
+    backwards = Window.partitionBy(*groups, PIECE, BUCKET).orderBy(*[c.desc_nulls_first() for c in order])
     tails = (
-        cut.join(F.broadcast(parts), [*groups, _PIECE])
+        cut.join(F.broadcast(parts), [*groups, PIECE])
         .withColumn("_from_end", F.row_number().over(backwards))
         .where(F.col("_from_end") <= rows_back)
     )
     place = F.col("_start") + F.col("_n") - F.col("_from_end")
     needing = F.filter("_later", lambda part: part["start"] - place <= rows_back)
     context = tails.withColumn("_piece", F.explode(F.transform(needing, lambda part: part["piece"])))
-    context = context.withColumns({_BUCKET: _bucket_of(F.col(_PIECE), table.count), "_context": F.lit(True)})
+    context = context.withColumns({BUCKET: _bucket_of(F.col(PIECE), table.count), "_context": F.lit(True)})
     table.add(context.select(*cut.columns).coalesce(1))  # at most ``rows_back`` rows a piece
-    ordered = Window.partitionBy(*groups, _PIECE, _BUCKET).orderBy(*_sorted(order))
+    ordered = Window.partitionBy(*groups, PIECE, BUCKET).orderBy(*_sorted(order))
     whole = table.read()
     table.let_go()
-    return whole.withColumns(aggregates(ordered)).where("not _context").drop(_PIECE, _BUCKET, "_context")
+    return whole.withColumns(aggregates(ordered)).where("not _context").drop(PIECE, BUCKET, "_context")
 
 
 def global_rank(df: DataFrame, order: Sequence[Column], rank: str, pieces: int | None = None) -> DataFrame:
     """Add the exact 1-based position in the ascending order (nulls last) over the whole frame."""
     cut = in_pieces(df, order, pieces)
     before, starts = 0, []
-    for piece, rows in cut.groupBy(_PIECE, _BUCKET).count().drop(_BUCKET).orderBy(_PIECE).collect():  # one row a piece
+    for piece, rows in cut.groupBy(PIECE, BUCKET).count().drop(BUCKET).orderBy(PIECE).collect():  # one row a piece
         starts.append((piece, before))
         before += rows
     offsets = df.sparkSession.createDataFrame(starts, "_piece int, _before long")
-    in_piece = Window.partitionBy(_PIECE, _BUCKET).orderBy(*_sorted(order))
+    in_piece = Window.partitionBy(PIECE, BUCKET).orderBy(*_sorted(order))
     return (
         cut.join(F.broadcast(offsets), "_piece")
         .withColumn(rank, F.row_number().over(in_piece) + F.col("_before"))
-        .drop(_PIECE, _BUCKET, "_before")
+        .drop(PIECE, BUCKET, "_before")
     )

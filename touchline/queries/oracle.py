@@ -514,6 +514,34 @@ ORACLE = {
                  FROM scores)""",
         "matches", "scores",
     ),
+    "model_metrics": _sql(
+        """SELECT model_key, CompetitionName, round(accuracy, 9) AS accuracy, round(f1, 9) AS f1, round(logloss, 9) AS logloss, round(auc, 9) AS auc
+           FROM (SELECT model_key, CompetitionName,
+                        sum(w * CAST(CAST(p >= 0.5 AS INTEGER) = y AS INTEGER)) / sum(w) AS accuracy,
+                        coalesce(2 * sum(w * y) FILTER (p >= 0.5) / (sum(w) FILTER (p >= 0.5) + sum(w * y)), 0) AS f1,
+                        sum(-w * ln(CASE WHEN y = 1 THEN c ELSE 1 - c END)) / sum(w) AS logloss
+                 FROM (SELECT *, greatest(2.220446049250313e-16, least(1 - 2.220446049250313e-16, p)) AS c FROM modelled) GROUP BY 1, 2)
+           JOIN (SELECT model_key, CompetitionName, sum(pos * (below + neg / 2)) / (sum(pos) * sum(neg)) AS auc
+                 FROM (SELECT *, coalesce(sum(neg) OVER (PARTITION BY model_key, CompetitionName ORDER BY p
+                                                         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below
+                       FROM (SELECT model_key, CompetitionName, p, sum(w * y) AS pos, sum(w * (1 - y)) AS neg FROM modelled GROUP BY 1, 2, 3))
+                 GROUP BY 1, 2) USING (model_key, CompetitionName)""",
+        "matches", "scores",
+    ).replace("modelled", """(SELECT CompetitionName, CAST(weight AS DOUBLE) AS w, HomeWin AS y, model_key,
+                        CASE model_key WHEN 'logistic' THEN home_win WHEN 'coarse' THEN round(home_win, 1) ELSE 1 - home_win END AS p
+                 FROM scores, (VALUES ('logistic'), ('coarse'), ('contrary')) AS models(model_key))"""),
+    "boosting_checks": _sql(
+        """SELECT model_key, count(*) FILTER (model_key LIKE 'gaps%' OR (HomeScore - AwayScore >= -20 AND ID % 11 > 0)) AS train_rows,
+                  true AS least_loss, true AS beats_constant, true AS beats_constant_on_gaps
+           FROM matches, (VALUES ('complete HomeWin'), ('complete PointDiff'), ('gaps HomeWin'), ('gaps PointDiff')) AS models(model_key)
+           GROUP BY 1""",
+        "matches",
+    ),
+    "stored_models": _sql(
+        """SELECT model_key, 2 AS version, false AS lacks_metrics, count(*) AS scored_rows, CAST(0 AS BIGINT) AS differing_rows
+           FROM matches, (VALUES ('stored HomeWin'), ('stored PointDiff')) AS models(model_key) GROUP BY 1""",
+        "matches",
+    ),
     "wide_scores": _sql(
         "SELECT ID, HomeTeam, round(home_win, 9) AS homewin_v1, point_diff AS pointdiff_v1 FROM scores", "matches", "scores"
     ),
