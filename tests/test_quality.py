@@ -86,3 +86,19 @@ def test_category_limits(spark):
     assert quality.classify_text_columns(few) == {"v": "category"}
     assert quality.classify_text_columns(thin) == {"v": "text"}
     assert quality.classify_text_columns(few.where("false")) == {"v": "text"}
+
+
+def test_distinct_values_are_exact_up_to_the_limit(spark):
+    """One pass counts exactly up to the limit, and beyond it never comes back under."""
+    made = [("" if i % n == 0 else f"v{i % n}", n) for n in (1, 49, 50, 51, 63, 64, 65, 130, 4000) for i in range(n)]
+    df = spark.createDataFrame(made * 2 + [(None, 1)], "v string, n int").repartition(7)
+    got = {r["n"]: r["found"] for r in df.groupBy("n").agg(quality.distinct_up_to("v", 50).alias("found")).collect()}
+    assert all(got[n] == n for n in (1, 49, 50)) and all(got[n] > 50 for n in got if n > 50)
+    nothing = spark.createDataFrame([(None,)], "v string").agg(quality.distinct_up_to("v", 50))
+    assert nothing.first()[0] in (0, None)
+
+
+def test_profile_reads_the_frame_once(spark):
+    df = spark.range(100).selectExpr("concat('v', id % 3) AS a", "cast(id AS string) AS b")
+    plan = quality.profile_text_columns(df)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Range (") == 1 and "Expand" not in plan

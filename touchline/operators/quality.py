@@ -139,13 +139,9 @@ def schema_fingerprint(names: Column) -> Column:
 
 @dataclass(frozen=True)
 class NormalisationRules:
-    """``counted_exactly``: columns whose distinct estimate (standard error 5 %) is at most this multiple
-    of ``max_categories`` get an exact count; at twice the limit the estimate is 10 errors away."""
-
     numeric_share: float = 0.95
     max_categories: int = 50
     category_share: float = 0.5
-    counted_exactly: float = 2.0
 
 
 NUMBER, CATEGORY, TEXT = "number", "category", "text"
@@ -160,11 +156,24 @@ def as_number(column: str) -> Column:
     return number_of(F.col(column))
 
 
-def profile_text_columns(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """One row per text column: rows, non-null values, parseable numbers, distinct values.
+def distinct_up_to(column: str, most: int) -> Column:
+    """Aggregate: the number of distinct non-null texts, exact up to ``most`` and greater than it beyond.
+
+    A theta sketch keeps the smallest 64-bit hashes: all of them until there are more than its size, which is
+    above ``most``. Then it estimates, and as it still holds that many hashes of a part of the range, the
+    estimate is larger than its size. Sketches merge, so one pass does it with bounded state.
+    """
+    size = max(4, most.bit_length())
+    marked = F.concat(F.lit("="), F.col(f"`{column}`"))  # a sketch passes over empty text
+    return F.theta_sketch_estimate(F.theta_sketch_agg(marked, size))
+
+
+def profile_text_columns(
+    df: DataFrame, columns: Sequence[str] | None = None, most: int = NormalisationRules().max_categories
+) -> DataFrame:
+    """One row per text column: rows, non-null values, parseable numbers, distinct values (exact up to ``most``).
 
-    A single pass, unpivoted afterwards. Distinct values are a HyperLogLog estimate;
-    :func:`normalise_types` settles borderline columns exactly.
+    A single pass, unpivoted afterwards.
     """
     names = list(columns) if columns is not None else text_columns(df)
     per_column = [
@@ -173,7 +182,7 @@ def profile_text_columns(df: DataFrame, columns: Sequence[str] | None = None) ->
             F.count("*").alias("rows"),
             F.count(name).alias("non_null"),
             F.count(as_number(name)).alias("numeric"),
-            F.approx_count_distinct(name).alias("distinct_estimate"),
+            distinct_up_to(name, most).alias("distinct_values"),
         )
         for name in names
     ]
@@ -185,21 +194,13 @@ def classify_text_columns(df: DataFrame, rules: NormalisationRules = Normalisati
     names = text_columns(df)
     if not names:
         return {}
-    profile = {row["column_name"]: row for row in profile_text_columns(df, names).collect()}
     kinds = {name: TEXT for name in names}
-    borderline = []
-    for name, row in profile.items():
+    for row in profile_text_columns(df, names, rules.max_categories).collect():  # one a column
+        distinct = row["distinct_values"] or 0
         if row["numeric"] and row["numeric"] / row["rows"] >= rules.numeric_share:
-            kinds[name] = NUMBER
-        elif row["non_null"] and row["distinct_estimate"] <= rules.counted_exactly * rules.max_categories:
-            borderline.append(name)
-    if borderline:
-        # Few distinct values remain here, so the exact count collapses map-side.
-        exact = df.agg(*[F.countDistinct(F.col(name)).alias(name) for name in borderline]).first()
-        for name in borderline:
-            few = exact[name] <= rules.max_categories
-            if few and exact[name] / profile[name]["rows"] <= rules.category_share:
-                kinds[name] = CATEGORY
+            kinds[row["column_name"]] = NUMBER
+        elif row["non_null"] and distinct <= rules.max_categories and distinct / row["rows"] <= rules.category_share:
+            kinds[row["column_name"]] = CATEGORY
     return kinds
 
 
