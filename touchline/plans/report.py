@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from touchline.functions.text import percent_text, points_text
+from touchline.sources.partitioned import DAY
 
 # Digest columns in order.
 DIGEST_COLUMNS = (
@@ -44,11 +45,14 @@ def scored_tables(details: DataFrame) -> list[ScoredTable]:
 def predictions_of(scored: DataFrame, where: ScoredTable, day: dt.date) -> DataFrame:
     """Rows scored on ``day`` in the shared shape.
 
-    The half-open timestamp range reaches the scan. The text columns are for display; the
+    The half-open timestamp range reaches the scan; of a table partitioned by the day of ``ScoredAtUtc``
+    only that day is read. The text columns are for display; the
     numbers stay beside them. A missing probability counts as an away win.
     """
     start = dt.datetime.combine(day, dt.time())
     end = start + dt.timedelta(days=1)
+    if DAY in scored.columns:
+        scored = scored.where(F.col(DAY) == F.lit(day))
     shared = scored.where((F.col("ScoredAtUtc") >= F.lit(start)) & (F.col("ScoredAtUtc") < F.lit(end))).select(
         F.lit(where.table_name).alias("table_name"),
         F.col(where.competition_col).alias("competition"),

@@ -546,6 +546,10 @@ ORACLE = {
         "SELECT ID, HomeTeam, round(home_win, 9) AS homewin_v1, point_diff AS pointdiff_v1 FROM scores", "matches", "scores"
     ),
     "daily_predictions": _sql(_PREDICTIONS, "matches", "scores"),
+    "partitioned_predictions": _sql(_PREDICTIONS, "matches", "scores"),
+    "wide_category_checks": """
+        SELECT model_key, count(*) AS train_rows, count(*) AS scored_rows, true AS beats_constant, CAST(0 AS BIGINT) AS differing_rows
+        FROM lineitem, (VALUES ('by day'), ('by fold')) AS models(model_key) GROUP BY 1""",
     "digest": _sql(
         f"""SELECT table_name, competition, home_team, away_team, predicted_winner, home_team_win_prob_pct, predicted_margin
             FROM ({_PREDICTIONS})""",

@@ -20,7 +20,7 @@ from touchline.operators.quality import ColumnRule
 from touchline.plans import cleaning, features, ingestion, jobs, ledger, modelling, report
 from touchline.queries import views
 from touchline.session import scratch_path
-from touchline.sources import catalog, pages, publish, snapshots, tables
+from touchline.sources import catalog, pages, partitioned, publish, snapshots, tables
 from touchline.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -932,16 +932,19 @@ def train_score_checks(spark, sf_dir):
     return out.select("ID", F.col("homewin_v1").between(0, 1).alias("is_probability"), finite.alias("is_finite"), varies.alias("scores_vary"))
 
 
-def _predictions(spark, sf_dir) -> DataFrame:
+def _scored(spark, sf_dir) -> list[tuple[DataFrame, report.ScoredTable]]:
     scored = views.scores(spark, sf_dir)
     scored = scored.withColumns({c: F.when(F.col("ID") % 4 > 0, F.col(c)) for c in ("home_win", "point_diff")})
     league = F.col("CompetitionName") == "UNITED RUGBY CHAMPIONSHIP"
     columns = ("CompetitionName", "HomeTeam", "AwayTeam", "home_win", "point_diff")
-    sources = [
+    return [
         (scored.where(~league), report.ScoredTable("InternationalScores", *columns)),
         (scored.where(league), report.ScoredTable("LeagueScores", *columns)),
     ]
-    return report.daily_predictions(sources, REPORT_DAY)
+
+
+def _predictions(spark, sf_dir) -> DataFrame:
+    return report.daily_predictions(_scored(spark, sf_dir), REPORT_DAY)
 
 
 @query
@@ -957,3 +960,53 @@ def digest(spark, sf_dir):
 @query
 def digest_sections(spark, sf_dir):
     return report.digest_sections(_predictions(spark, sf_dir))
+
+
+@query
+def partitioned_predictions(spark, sf_dir):
+    """The day's predictions from tables in partitions of batch and day; the later batch ran before, with all its days shifted."""
+    made, new = [], F.col("ScoredAtUtc") >= F.lit(dt.datetime(1997, 1, 1))
+    for scored, one in _scored(spark, sf_dir):
+        name = _fresh("scored")
+        shifted = scored.where(new).withColumn("ScoredAtUtc", F.col("ScoredAtUtc") + F.expr("INTERVAL 1 DAY"))
+        for batch, rows_of_batch in (("new", shifted), ("old", scored.where(~new)), ("new", scored.where(new))):
+            partitioned.write_batch(rows_of_batch, name, batch, "ScoredAtUtc")
+        made.append((spark.table(name), one))
+    return report.daily_predictions(made, REPORT_DAY).withColumn("home_team_win_prob", F.round("home_team_win_prob", 9))
+
+
+@query
+def wide_category_checks(spark, sf_dir):
+    """Trees on the part of an order line as text, which has too many values for categories: the rows that train, an error
+    below half of the constant's on all rows, and the same scores from the stored model."""
+    lines = views.table(spark, sf_dir, "lineitem").select(
+        F.concat_ws("-", "l_orderkey", "l_linenumber").alias("ID"),
+        F.concat(F.lit("part "), "l_partkey").alias("part"),
+        F.col("l_quantity").cast("double").alias("quantity"),
+        F.col("l_shipdate").cast("timestamp").alias("shipped"),
+        (F.crc32(F.col("l_partkey").cast("string").cast("binary")) % 100 + F.col("l_quantity") / 10).cast("double").alias("amount"),
+    ).persist()
+    made = []
+    try:
+        for key, time in (("by day", "shipped"), ("by fold", None)):
+            trainer, parameters = {"max_categories": 50}, {"n_estimators": 8, "max_depth": 4, "random_state": 7}
+            model = modelling.ModelSpec(key, "trainer", "amount", "regression", None, time, parameters, trainer)
+            spec = modelling.GroupSpec("lines", "", "", None, (model,), ("ID",), ("part", "quantity"), ("amount",), None)
+            one = modelling.train(lines, model, spec)
+            root = scratch_path(spark, "artifacts")
+            one.pipeline.write().save(root)
+            scored = modelling.add_score(lines, one.pipeline, "regression", "score")
+            scored = modelling.add_score(scored, PipelineModel.load(root), "regression", "loaded")
+            mean = lines.agg(F.avg("amount")).first()[0]
+            found = scored.agg(
+                F.count("*").alias("rows"),
+                F.sum((F.col("score") - F.col("amount")) ** 2).alias("error"),
+                F.sum((F.lit(mean) - F.col("amount")) ** 2).alias("constant"),
+                F.count_if(F.abs(F.col("score") - F.col("loaded")) > 1e-9).alias("differing_rows"),
+            ).first()
+            made.append((key, one.train_rows, found["rows"], found["error"] < 0.5 * found["constant"], found["differing_rows"]))
+    finally:
+        lines.unpersist()
+    return spark.createDataFrame(
+        made, "model_key string, train_rows bigint, scored_rows bigint, beats_constant boolean, differing_rows bigint"
+    )
