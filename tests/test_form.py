@@ -226,3 +226,27 @@ def test_every_piece_has_a_bucket_of_its_own(spark, pieces):
     keys = ordering._bucket_keys(pieces)
     hashed = spark.createDataFrame([(k,) for k in keys], "k int").select(F.pmod(F.hash("k"), F.lit(pieces))).collect()
     assert [r[0] for r in hashed] == list(range(pieces))
+
+
+def test_last_rows_of_pieces_are_sorted_piece_by_piece(spark, monkeypatch):
+    """What later pieces need is found by a task a piece: no plan lets one task run through all of them."""
+    plans, add = [], ordering._Pieces.add
+    monkeypatch.setattr(ordering._Pieces, "add", lambda self, rows: (plans.append(rows), add(self, rows))[1])
+    at = dt.datetime(2020, 1, 1)
+    df = spark.range(60).select(F.col("id").alias("ID"), F.lit(at).alias("MatchDate"), F.lit("A").alias("HomeTeam"), F.lit("B").alias("AwayTeam"),
+                                F.col("id").alias("HomeScore"), F.lit(1).alias("AwayScore"))
+    form.rolling_form(form.to_team_rows(df), pieces=6).collect()
+    assert len(plans) == 2 and not any("Coalesce" in p._jdf.queryExecution().executedPlan().toString() for p in plans)
+
+
+def test_more_rows_make_more_pieces(spark, monkeypatch):
+    df = spark.range(200).select(F.col("id").alias("ID"), (F.col("id") % 3).alias("x"))
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert ordering._pieces_for(df) == least
+    monkeypatch.setattr(ordering, "ROWS_PER_PIECE", 20)
+    wanted = least * -(-200 // (least * 20))
+    assert ordering._pieces_for(df) == wanted and wanted * 20 >= 200
+    ranked = ordering.global_rank(df, [F.col("x"), F.col("ID")], "rank")
+    assert [r["ID"] for r in ranked.orderBy("rank").collect()] == sorted(range(200), key=lambda i: (i % 3, i))
+    monkeypatch.setattr(ordering, "ROWS_PER_PIECE", 1)
+    assert max(r["count"] for r in ordering.in_pieces(df, [F.col("ID")]).groupBy("_piece").count().collect()) <= 8

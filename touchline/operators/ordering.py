@@ -9,7 +9,7 @@ there are (a count for each piece) and, for lagged frames, the last few rows of
 
 The pieces are the buckets of a table, so a window within a piece reads them where they are: the
 range partitioning is the only shuffle of the rows. The last rows that a later piece needs are
-added to its bucket.
+added to its bucket. There are more pieces for more rows, so what one task holds does not grow.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from touchline.session import scratch_path
 
 PIECE, BUCKET = "_piece", "_bucket"
+# A piece is sorted by one task; beyond this many rows on average there are more pieces than shuffle partitions.
+ROWS_PER_PIECE = 250_000
 
 
 @lru_cache(maxsize=64)
@@ -41,12 +43,18 @@ def _bucket_of(piece: Column, pieces: int) -> Column:
     return F.element_at(F.lit(list(_bucket_keys(pieces))), piece + 1)
 
 
+def _pieces_for(df: DataFrame) -> int:
+    """As many pieces as shuffle partitions, or the multiple of them that keeps a piece at ``ROWS_PER_PIECE``."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return least * max(1, -(-df.count() // (least * ROWS_PER_PIECE)))
+
+
 class _Pieces:
     """A table of consecutive pieces of an order, one bucket each. Its files stay in the shared folder."""
 
     def __init__(self, df: DataFrame, order: Sequence[Column], pieces: int | None):
         self.spark = df.sparkSession
-        self.count = pieces or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        self.count = pieces or _pieces_for(df)
         self.name, self.path = f"touchline_pieces_{uuid.uuid4().hex}", scratch_path(self.spark, "ordered")
         ranged = df.repartitionByRange(self.count, *_sorted(order)).withColumn(PIECE, F.spark_partition_id())
         self.add(ranged.withColumn(BUCKET, _bucket_of(F.col(PIECE), self.count)))
@@ -67,7 +75,7 @@ def in_pieces(df: DataFrame, order: Sequence[Column], pieces: int | None = None)
     """``df`` in consecutive pieces of the ascending order (nulls last), numbered in ``_piece``.
 
     Written to the shared folder: every reader sees the same cuts. ``pieces`` defaults to the
-    number of shuffle partitions. Rows that agree in the whole order lie in one piece. A window or
+    number of shuffle partitions, or a multiple of it for many rows, which are counted first. Rows that agree in the whole order lie in one piece. A window or
     grouping that has ``_bucket``, the piece's key, among its columns shuffles nothing.
     """
     table = _Pieces(df, order, pieces)
@@ -119,7 +127,8 @@ def lagged(
     needing = F.filter("_later", lambda part: part["start"] - place <= rows_back)
     context = tails.withColumn("_piece", F.explode(F.transform(needing, lambda part: part["piece"])))
     context = context.withColumns({BUCKET: _bucket_of(F.col(PIECE), table.count), "_context": F.lit(True)})
-    table.add(context.select(*cut.columns).coalesce(1))  # at most ``rows_back`` rows a piece
+    # At most ``rows_back`` rows a piece. They are shuffled: fewer tasks without a shuffle would sort many pieces each.
+    table.add(context.select(*cut.columns).repartition(BUCKET))
     ordered = Window.partitionBy(*groups, PIECE, BUCKET).orderBy(*_sorted(order))
     whole = table.read()
     table.let_go()
