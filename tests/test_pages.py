@@ -167,3 +167,28 @@ def test_extraction_reads_no_plan_ahead(spark):
     out = extract_games(df, "results", "feed")
     assert spark.sparkContext.statusTracker().getJobIdsForGroup(None) == before
     assert rows(out, "home_team") == rows(extract_games(df, "results", "feed", tasks=3), "home_team") == [("A",)]
+
+
+def test_frequent_tags_are_read_once(monkeypatch):
+    from touchline.sources import pages
+
+    read, tag_of = [], pages._tag_of
+    monkeypatch.setattr(pages, "_tag_of", lambda token: (read.append(token[0]), tag_of(token))[1])
+    monkeypatch.setattr(pages, "_MOST_REMEMBERED", 100)
+    html = [page(game(f"A{n}", "B", "KO", n)) for n in range(400)]
+    assert [g["home_team"] for text in html for g in pages.games_in_page(text)] == [f" A{n} " for n in range(400)]
+    assert len(pages._REMEMBERED) <= 100 and len(read) < 400 * 10  # of 40 tags a page
+
+
+def test_plain_tags_are_told_from_others():
+    """What a tag's own text does not settle is read from the page."""
+    from touchline.sources import pages
+
+    for text in ('<div class="a b">', "</div>", "<BR/>", '<a href="x?a=1&amp;b" id="">'):
+        assert pages._plain_tag(text) is not None, text
+    for text in ("<div class='a'>", '<b a"="x>', '<b title="a>', "<script>", '<style type="x">', "<!-- x -->", "< b>", "<3 <b>", "<p a=1>"):
+        assert pages._plain_tag(text) is None, text
+    odd = '<p title="a>b">1</p><!-- <p> --><script>"<p>"</script><b a"="x>"y"><3 <i>2</i><!-- open'
+    assert [t[2][:2] for t in pages._tokens(odd) if t[2]] == [
+        ("p", None), (None, "p"), ("b", None), ("i", None), (None, "i"),
+    ]
