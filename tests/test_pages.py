@@ -169,6 +169,27 @@ def test_extraction_reads_no_plan_ahead(spark):
     assert rows(out, "home_team") == rows(extract_games(df, "results", "feed", tasks=3), "home_team") == [("A",)]
 
 
+def test_stream_state_is_shared_by_groups_of_ids(spark, tmp_path, monkeypatch):
+    """Python is called once a group of ids, in which every id, null too, keeps its first record of the first batch."""
+    from touchline.streaming import ingest
+
+    monkeypatch.setattr(ingest, "ID_GROUPS", 3)
+    folder, target, checkpoint = (str(tmp_path / n) for n in ("pages", "games", "state"))
+    schema = "page_id bigint, url string, html string"
+    nameless = game("N", "M", "KO", 1).replace("g=1", "h=1")
+
+    def pages_from(first, last, side):
+        return [(first + last - n, "u", page(game(f"{side} {n}", "B", "KO", n), nameless)) for n in range(first, last)]
+
+    for found in (pages_from(0, 30, "early") + pages_from(0, 30, "early"), pages_from(20, 50, "late"), pages_from(0, 50, "again")):
+        spark.createDataFrame(found, schema).write.mode("append").parquet(folder)
+        query = ingest.ingest_new_pages(ingest.page_stream(spark, folder), "results", "feed", target, checkpoint)
+        query.awaitTermination()
+        assert query.lastProgress["stateOperators"][0]["numRowsTotal"] <= 3
+    wanted = [(f"{'early' if n < 30 else 'late'} {n}", str(n)) for n in range(50)] + [("N", None)]
+    assert sorted(rows(spark.read.parquet(target), "home_team", "match_id"), key=str) == sorted(wanted, key=str)
+
+
 def test_frequent_tags_are_read_once(monkeypatch):
     from touchline.sources import pages
 

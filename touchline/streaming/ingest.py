@@ -2,8 +2,8 @@
 
 The batch jobs find new work through a high-water mark. A page folder can keep that mark in
 the stream checkpoint instead: each run takes the pages that arrived since the last one and
-stops (``availableNow``). Which match ids were seen lies in the stream's state store, by id, so no
-run reads what earlier ones wrote.
+stops (``availableNow``). Which match ids were seen lies in the stream's state store, in small groups of
+ids, so no run reads what earlier ones wrote.
 """
 
 from __future__ import annotations
@@ -25,6 +25,9 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 PAGE_SCHEMA = "page_id bigint, url string, html string"
 _KEYED = "match_id string, page_id bigint, pos bigint, record string"
+# Calling Python costs more than looking at an id, so ids share calls and state: a run makes at most so many calls.
+# Fixed for the life of a checkpoint.
+ID_GROUPS = 65_536
 
 
 def page_stream(spark: SparkSession, folder: str, files_per_trigger: int | None = None) -> DataFrame:
@@ -47,13 +50,15 @@ def _first_of_batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _unseen(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """The first record of an id that no earlier batch of the stream held."""
-    best = None
+    """The first record of every id of a group that no earlier batch of the stream held."""
+    seen = list(state.get[0]) if state.exists else []
+    known, best = set(seen), None
     for frame in frames:
-        best = _first(frame if best is None else pd.concat([best, frame]))
-    if not state.exists and best is not None:
-        state.update((True,))
-        yield best
+        fresh = frame[[i not in known for i in frame["match_id"]]]
+        best = _first(fresh if best is None else pd.concat([best, fresh]))
+    if best is not None and len(best):
+        state.update((seen + best["match_id"].tolist(),))
+        yield best.drop(columns="_group")
 
 
 def new_games(pages: DataFrame, kind: str, provider: str, dates: DataFrame | None = None) -> DataFrame:
@@ -65,8 +70,9 @@ def new_games(pages: DataFrame, kind: str, provider: str, dates: DataFrame | Non
     layout = games.select(*SCRAPED_COLUMNS).schema
     keyed = games.select("match_id", "page_id", F.col("pos").cast("bigint").alias("pos"), F.to_json(F.struct(*SCRAPED_COLUMNS)).alias("record"))
     first = keyed.mapInPandas(_first_of_batches, _KEYED)
-    unseen = first.groupBy("match_id").applyInPandasWithState(
-        _unseen, _KEYED, "seen boolean", "append", GroupStateTimeout.NoTimeout
+    grouped = first.withColumn("_group", F.pmod(F.xxhash64("match_id"), F.lit(ID_GROUPS)))
+    unseen = grouped.groupBy("_group").applyInPandasWithState(
+        _unseen, _KEYED, "seen array<string>", "append", GroupStateTimeout.NoTimeout
     )
     return unseen.select(F.from_json("record", layout).alias("record")).select("record.*")
 
@@ -82,8 +88,8 @@ def ingest_new_pages(
     """Extract the new pages and append the first record of every match id to ``target``.
 
     A record whose match id an earlier batch holds is left out. Files and state are committed
-    together with the batch, so a restart after a lost executor or driver adds nothing twice. Ids are
-    kept for good: for many of them set ``spark.sql.streaming.stateStore.providerClass`` to the
+    together with the batch, so a restart after a lost executor or driver adds nothing twice. A checkpoint
+    whose state is by single id (of an earlier layout) cannot be continued. Ids are kept for good: for many of them set ``spark.sql.streaming.stateStore.providerClass`` to the
     RocksDB store. Read the result with ``spark.read.parquet(target)``.
     """
     return (
