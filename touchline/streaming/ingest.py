@@ -27,7 +27,7 @@ PAGE_SCHEMA = "page_id bigint, url string, html string"
 _KEYED = "match_id string, page_id bigint, pos bigint, record string"
 # Calling Python costs more than looking at an id, so ids share calls and state: a run makes at most so many calls.
 # Fixed for the life of a checkpoint.
-ID_GROUPS = 65_536
+ID_GROUPS = 8_192
 
 
 def page_stream(spark: SparkSession, folder: str, files_per_trigger: int | None = None) -> DataFrame:
