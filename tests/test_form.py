@@ -1,5 +1,6 @@
 import datetime as dt
 import random
+import re
 
 import pytest
 from tests.helpers import rows
@@ -250,3 +251,15 @@ def test_more_rows_make_more_pieces(spark, monkeypatch):
     assert [r["ID"] for r in ranked.orderBy("rank").collect()] == sorted(range(200), key=lambda i: (i % 3, i))
     monkeypatch.setattr(ordering, "ROWS_PER_PIECE", 1)
     assert max(r["count"] for r in ordering.in_pieces(df, [F.col("ID")]).groupBy("_piece").count().collect()) <= 8
+
+
+def test_more_rows_make_more_tasks_that_fold_and_join(spark, monkeypatch):
+    """A task's share of the fold and of the join with the matches does not grow with the rows."""
+    df = spark.createDataFrame(league(1, 200, 5, 20), MATCH)
+    few = form.attach_form(df, form.rolling_form(form.to_team_rows(df)))
+    monkeypatch.setattr(ordering, "ROWS_PER_PIECE", 50)
+    many = form.attach_form(df, form.rolling_form(form.to_team_rows(df)))
+    plan = many._jdf.queryExecution().executedPlan().toString()
+    # Two sides of 200 matches in pieces of 50 rows; both inputs of the join are dealt alike.
+    assert re.findall(r"hashpartitioning\(ID#\w+, (\d+)\)", plan) == ["8", "8"]
+    assert sorted(map(str, few.collect())) == sorted(map(str, many.collect())) and many.count() == 200

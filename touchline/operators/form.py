@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from touchline.functions.dates import decay_weight, timestamp_of
 from touchline.functions.windows import lagged_mean, lagged_sum
-from touchline.operators.ordering import lagged
+from touchline.operators.ordering import dealt, lagged
 
 FORM_MEANS = {
     "FormWinRate": "Win",
@@ -116,9 +116,10 @@ def attach_form(
 
     The two long rows of a match are folded into one row per id first, so the match table is
     shuffled once, not once per side. ``id_cols`` must identify a match; either side's name may be
-    null, the other keeps its form.
+    null, the other keeps its form. More form rows make more tasks, for the fold and for the join.
     """
-    folded = form_rows.groupBy(*id_cols).agg(*folded_form())
+    sides = form_rows.select(*id_cols, "IsHome", *FORM_COLUMNS)
+    folded = dealt(sides, id_cols).groupBy(*id_cols).agg(*folded_form())
     # Both sides have one row per match, so neither is ever worth broadcasting.
     joined = with_differences(matches.join(folded.hint("merge"), list(id_cols), "left"))
     return joined.select(*matches.columns, *SIDE_FORM, *[f"Diff_{c}" for c in FORM_DIFFERENCES])

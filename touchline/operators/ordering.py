@@ -49,6 +49,15 @@ def _pieces_for(df: DataFrame) -> int:
     return least * max(1, -(-df.count() // (least * ROWS_PER_PIECE)))
 
 
+def dealt(df: DataFrame, keys: Sequence[str], like: DataFrame | None = None) -> DataFrame:
+    """``df`` hash-partitioned by ``keys`` into as many tasks as it would have pieces.
+
+    For groupings of few rows a key: the rows are counted first, so a task's share does not grow with them.
+    ``like`` is a frame of as many rows that is cheaper to count.
+    """
+    return df.repartition(_pieces_for(df if like is None else like), *keys)
+
+
 class _Pieces:
     """A table of consecutive pieces of an order, one bucket each. Its files stay in the shared folder."""
 
