@@ -1,8 +1,10 @@
 import datetime as dt
+import re
 
 import pytest
 from tests.helpers import rows
 
+from touchline.operators import ordering
 from touchline.plans import features
 
 RESULTS = (
@@ -85,6 +87,17 @@ def test_builds_in_one_and_many_pieces_agree(spark, teams, venues):
     assert rows(one) == rows(many)
 
 
+def test_more_matches_make_more_tasks_that_fold_them(spark, teams, venues, monkeypatch):
+    made = [result(i, f"2024-01-{1 + i % 9:02d}", "FRANCE", "WALES", i % 11, 20) for i in range(100)]
+    df = spark.createDataFrame(made, RESULTS)
+    few = features.results_model_ready(df, teams, venues)
+    monkeypatch.setattr(ordering, "ROWS_PER_PIECE", 25)
+    many = features.results_model_ready(df, teams, venues)
+    plan = many._jdf.queryExecution().executedPlan().toString()
+    assert re.findall(r"hashpartitioning\(_row#\w+, (\d+)\)", plan) == ["8"]
+    assert rows(few) == rows(many) and len(rows(many)) == 100
+
+
 def test_null_and_repeated_ids_lose_no_match(spark, teams, venues):
     made = [result(None, "2024-02-01", "FRANCE", "WALES", 10, 7), result(None, "2024-02-02", "WALES", "FRANCE", 3, 9), result(5, "2024-02-03", "FRANCE", "WALES", 1, 7), result(5, "2024-02-04", "FRANCE", "WALES", 1, 8)]
     assert features.results_model_ready(spark.createDataFrame(made, RESULTS), teams, venues).count() == 4

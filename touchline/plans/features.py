@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from touchline.functions.dates import midnight, timestamp_of
 from touchline.operators.form import (
+    FORM_COLUMNS,
     FORM_DIFFERENCES,
     SIDE_FORM,
     add_targets,
@@ -22,6 +23,7 @@ from touchline.operators.form import (
 )
 from touchline.operators.form_state import form_increment
 from touchline.operators.lookups import add_team_features, keep_canonical_teams, keep_canonical_venues
+from touchline.operators.ordering import dealt
 from touchline.operators.rows import drop_null_rows, without_columns
 from touchline.session import scratch_path
 
@@ -82,8 +84,9 @@ def _with_form(
         form = rolling_form(long, FORM_WINDOW, pieces=pieces)
     else:
         form = form_increment(tail, long, FORM_WINDOW, pieces=pieces).where("not Restated")
+    sides = form.where("_wanted").select(ROW, "_match", "IsHome", *FORM_COLUMNS)
     folded = (
-        form.where("_wanted")
+        dealt(sides, [ROW], like=long.where("_wanted"))  # ``long`` reads the stored matches, no window
         .groupBy(ROW)
         .agg(F.first("_match", ignorenulls=True).alias("_match"), *folded_form())
         .select("_match.*", *SIDE_FORM)
