@@ -110,6 +110,14 @@ def test_matches_are_scanned_once(spark, teams, venues, tmp_path):
     assert "raw_results" not in out._jdf.queryExecution().toString()
 
 
+def test_team_rows_for_a_state_read_stored_matches(spark, teams, venues, tmp_path):
+    """The known names are looked up once, however often the state reads its rows."""
+    spark.createDataFrame([result(1, "2024-02-01", "FRANCE", "WALES", 10, 7)], RESULTS).write.parquet(str(tmp_path / "raw_results"))
+    out = features.results_team_rows(spark.read.parquet(str(tmp_path / "raw_results")), teams, venues)
+    assert out.inputFiles() and not any("raw_results" in f for f in out.inputFiles())
+    assert [r["Team"] for r in out.collect()] == ["FRANCE", "WALES"]
+
+
 def test_bad_date_is_an_error(spark, teams, venues):
     df = spark.createDataFrame([result(1, "never", "FRANCE", "WALES", 10, 7)], RESULTS)
     with pytest.raises(Exception, match="invalid MatchDate"):

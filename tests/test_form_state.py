@@ -1,11 +1,12 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 from tests.helpers import rows
 from tests.test_form import MATCH, approximately, as_dict, brute_form, day, league
 
-from touchline.operators import form, form_state
+from touchline.operators import form, form_state, ordering
 
 
 def team_rows(spark, made):
@@ -104,3 +105,14 @@ def test_state_runs_a_batch_again(spark, tmp_path):
         state.before("b0")
     total = state.before("next").groupBy("Team").agg(F.max("Seen").alias("n")).agg(F.sum("n")).first()[0]
     assert total == 480
+
+
+def test_more_rows_make_more_tasks_that_keep_the_last_ones(spark, monkeypatch):
+    """What a task sorts to hand on the last rows of each team does not grow with the rows."""
+    long = team_rows(spark, league(9, 200, 4, 40))
+    few = form_state.form_tail(long, keep=15)
+    monkeypatch.setattr(ordering, "ROWS_PER_PIECE", 50)
+    many = form_state.form_tail(long, keep=15)
+    plan = many._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"Exchange hashpartitioning\(Team#\w+, MatchDate#.*, 8\), REPARTITION_BY_NUM", plan)
+    assert rows(few) == rows(many)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from touchline.operators.form import FORM_COLUMNS, FORM_MEANS, by_team, form_aggregates, form_order
-from touchline.operators.ordering import lagged
+from touchline.operators.ordering import dealt, lagged
 from touchline.sources.publish import PublishedTable
 
 KEEP = 40
@@ -42,13 +42,14 @@ def form_tail(
 ) -> DataFrame:
     """The last ``keep`` rows of every team in ``team_rows`` and, when given, in the ``tail`` before them.
 
-    Rows without a team are no history and leave. Each task hands on at most ``keep`` rows a team, so no
-    team is a hot key. A team without new rows keeps its tail. ``keep`` must not shrink below the frame of
+    Rows without a team are no history and leave. The rows are dealt out to more tasks when there are more
+    of them, and each task hands on at most ``keep`` rows a team, so no team is a hot key. A team without new rows keeps its tail. ``keep`` must not shrink below the frame of
     the form it is to serve; rows that agree in the whole order are taken in any order.
     """
     named = team_rows.where(F.col("Team").isNotNull())
     fresh = named.select(*_tail_columns(team_rows, date_col, id_col, tie_break))
-    counted = fresh.groupBy("Team").agg(F.count(F.lit(1)).alias("Seen"), F.max(date_col).alias("Newest"))
+    fresh = dealt(fresh, fresh.columns)
+    counted = named.groupBy("Team").agg(F.count(F.lit(1)).alias("Seen"), F.max(date_col).alias("Newest"))
     if tail is not None:
         before = tail.groupBy("Team").agg(F.max("Seen").alias("Seen"), F.max("Newest").alias("Newest"))
         counted = counted.unionByName(before).groupBy("Team").agg(F.sum("Seen").alias("Seen"), F.max("Newest").alias("Newest"))

@@ -137,8 +137,8 @@ def fixtures_model_ready(
 
 
 def results_team_rows(results: DataFrame, teams: DataFrame, venues: DataFrame) -> DataFrame:
-    """Canonical results as the team rows that a stored form state absorbs."""
-    return to_team_rows(_canonical(results, teams, venues))
+    """Canonical results, written once, as the team rows that a stored form state counts and absorbs."""
+    return to_team_rows(_stored_canonical(results, teams, venues))
 
 
 def fixtures_from_tail(
