@@ -263,3 +263,21 @@ def test_more_rows_make_more_tasks_that_fold_and_join(spark, monkeypatch):
     # Two sides of 200 matches in pieces of 50 rows; both inputs of the join are dealt alike.
     assert re.findall(r"hashpartitioning\(ID#\w+, (\d+)\)", plan) == ["8", "8"]
     assert sorted(map(str, few.collect())) == sorted(map(str, many.collect())) and many.count() == 200
+
+
+def test_tasks_send_to_no_more_tasks_than_spark_serves_row_by_row(spark, monkeypatch):
+    """Beyond 200 pieces a task would gather all rows it read before it sends them; then pieces grow instead."""
+    df = spark.createDataFrame(league(5, 150, 5, 40), MATCH)
+    long = form.to_team_rows(df)
+    monkeypatch.setattr(ordering, "ROWS_PER_PIECE", 1)
+    least = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for given, wanted in ((12, 192), (300, 300), (2, 200)):
+            spark.conf.set("spark.sql.shuffle.partitions", given)
+            assert ordering._pieces_for(long) == wanted
+        form_rows = form.rolling_form(long)
+        approximately(as_dict(form_rows), brute_form([r.asDict() for r in long.collect()]))
+        plan = form.attach_form(df, form_rows)._jdf.queryExecution().executedPlan().toString()
+        assert re.findall(r"hashpartitioning\(ID#\w+, (\d+)\)", plan) == ["200", "200"]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", least)

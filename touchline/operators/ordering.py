@@ -9,7 +9,8 @@ there are (a count for each piece) and, for lagged frames, the last few rows of
 
 The pieces are the buckets of a table, so a window within a piece reads them where they are: the
 range partitioning is the only shuffle of the rows. The last rows that a later piece needs are
-added to its bucket. There are more pieces for more rows, so what one task holds does not grow.
+added to its bucket. There are more pieces for more rows, so what one task holds does not grow until
+there are ``MOST_PIECES``; from then on it grows with the rows, by one share of so many.
 """
 
 from __future__ import annotations
@@ -26,6 +27,9 @@ from touchline.session import scratch_path
 PIECE, BUCKET = "_piece", "_bucket"
 # A piece is sorted by one task; beyond this many rows on average there are more pieces than shuffle partitions.
 ROWS_PER_PIECE = 250_000
+# A shuffle to at most this many tasks (Spark's bypassMergeThreshold) is written row by row; for one to more of them
+# a task first gathers all rows it read in its memory, and how many these are is up to the caller's input.
+MOST_PIECES = 200
 
 
 @lru_cache(maxsize=64)
@@ -44,15 +48,19 @@ def _bucket_of(piece: Column, pieces: int) -> Column:
 
 
 def _pieces_for(df: DataFrame) -> int:
-    """As many pieces as shuffle partitions, or the multiple of them that keeps a piece at ``ROWS_PER_PIECE``."""
+    """As many pieces as shuffle partitions, or the multiple of them that keeps a piece at ``ROWS_PER_PIECE``.
+
+    The multiple stays within ``MOST_PIECES``; with that many, pieces grow with the rows.
+    """
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return least * max(1, -(-df.count() // (least * ROWS_PER_PIECE)))
+    wanted = -(-df.count() // (least * ROWS_PER_PIECE))
+    return least * max(1, min(wanted, MOST_PIECES // least))
 
 
 def dealt(df: DataFrame, keys: Sequence[str], like: DataFrame | None = None) -> DataFrame:
     """``df`` hash-partitioned by ``keys`` into as many tasks as it would have pieces.
 
-    For groupings of few rows a key: the rows are counted first, so a task's share does not grow with them.
+    For groupings of few rows a key: the rows are counted first, so a task's share stays small for many rows.
     ``like`` is a frame of as many rows that is cheaper to count.
     """
     return df.repartition(_pieces_for(df if like is None else like), *keys)
