@@ -5,7 +5,7 @@ import pytest
 from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
-from touchline.plans import modelling
+from touchline.plans import modelling, value_means
 from touchline.plans.value_means import STRENGTH, learn_means, output_of
 
 DAY = dt.datetime(2024, 1, 1)
@@ -66,6 +66,40 @@ def test_one_value_that_says_nothing(spark):
         assert encoded.where(F.abs(F.col(output_of(0)) - 0.5) > 1e-12).isEmpty()
 
 
+@pytest.mark.parametrize("time", ["t", None])
+def test_frequent_values_are_not_gathered(spark, time):
+    """Means are the same whether a value's rows meet in one task or, being more than ``most``, do not; null is frequent too."""
+    rows, df = made(spark, 400)
+    by_rows, stages = learn_means(df, ["a", "b"], "y", time)
+    got = {r["id"]: (r[output_of(0)], r[output_of(1)]) for r in by_rows.collect()}
+    by_sums, _ = learn_means(df, ["a", "b"], "y", time, without=("a", "b"), most=20)
+    assert not {"a", "b", "_period"} & set(by_sums.columns) and by_sums.count() == len(rows) == len(got)
+    for r in by_sums.collect():
+        assert (r[output_of(0)], r[output_of(1)]) == pytest.approx(got[r["id"]])
+    means = {r["key"]: r["mean"] for r in stages[0].table.collect()}
+    for most in (0, 70, 1_000):
+        found = value_means._looked_up(df, "a", stages[0].table, "mean", "m", most).collect()
+        assert len(found) == len(rows)
+        assert all(r["m"] == means["" if r["a"] is None else f"={r['a']}"] for r in found)
+
+
+def test_models_one_after_another_move_rows_once(spark, monkeypatch):
+    """Two lookups of one text share a shuffle of the rows and order none of them; a large table is still ordered."""
+    _, df = made(spark)
+    _, stages = learn_means(df, ["b"], "y", None)
+    monkeypatch.setattr(value_means, "ROWS_PER_PIECE", 1_000)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        twice = stages[0].transform(stages[0].transform(df).withColumnRenamed(output_of(0), "first"))
+        assert twice.where(F.abs(F.col("first") - F.col(output_of(0))) > 0).isEmpty() and twice.count() == df.count()
+        plan = twice._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning(b#") == 1 and plan.count("ShuffledHashJoin") == 2 and "Sort " not in plan
+        monkeypatch.setattr(value_means, "ROWS_PER_PIECE", 1)
+        assert "SortMergeJoin" in stages[0].transform(df)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 @pytest.mark.parametrize("time", ["t", None])
 def test_wide_feature_trains_and_is_stored(spark, time, tmp_path):
     """15,000 values of four rows each: far above the limit, learned, stored, loaded and scored alike."""

@@ -5,9 +5,12 @@ no time, those of the other folds. Later rows get the mean over all training row
 of all labels, the more the fewer rows it has; values not seen in training get that mean. Null is a value like any
 other. Rows count alike, whatever their weights.
 
-Rows are counted by (feature, value, day or fold) once, with map-side sums; the running sums see one row a value and
-day, so a value that a third of all rows hold is no large group. Values never come to the driver: their means
-are a table, which is joined and is stored beside the model.
+Rows are summed by value once, map-side; that is the table of means, which is looked up and is stored beside the model.
+Where time tells what a training row may know of, rows travel once to the other rows of their value and a window gives
+them their mean. A value that more than ``ROWS_PER_PIECE`` rows hold is no large group: for the window its rows are
+summed by (value, day) and joined, and where means are looked up, its rows stay where they are. Of all values only
+those, at most one a ``ROWS_PER_PIECE`` rows, come to the driver. The rows of a lookup are not ordered when a task's
+share of the means is small; they travel by the text itself, so models one after another share one shuffle.
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ from pyspark.ml.util import DefaultParamsReader, DefaultParamsWriter, MLReadable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from touchline.operators.ordering import ROWS_PER_PIECE
 from touchline.session import scratch_path
 
 # So many rows with the mean of all labels are added to those of a value.
@@ -37,6 +41,40 @@ def _mean(total: Column, rows: Column, prior: float) -> Column:
     return (total + F.lit(prior * STRENGTH)) / (rows + F.lit(STRENGTH))
 
 
+def _hash_join_fits(table: DataFrame) -> bool:
+    """Whether ``table`` is too large to be broadcast by its statistics and a task's share of it small enough to be hashed."""
+    spark = table.sparkSession
+    size = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size <= spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold():
+        return False
+    return table.count() <= ROWS_PER_PIECE * int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _looked_up(df: DataFrame, column: str, table: DataFrame, value: str, output: str, most: int = ROWS_PER_PIECE) -> DataFrame:
+    """``df`` with ``output``, what ``table`` (key, n, ``value``) has for the text in ``column``, or null.
+
+    Rows are joined by the text; those of the values of more than ``most`` training rows, which are few values, are
+    not moved.
+    """
+    n = F.col("n") if "n" in table.columns else F.lit(0)
+    known = table.where((n > most) | (F.col("key") == "")).select("key", n.alias("n"), value).collect()
+    frequent = [row["key"] for row in known if row["n"] > most]
+    of_null = next((row[value] for row in known if row["key"] == ""), None)
+
+    text, key = f"{output}_text", f"{output}_key"
+    rare = table.where("key <> ''").select(F.expr("substring(key, 2)").alias(text), F.col(value).alias(output))
+    rare = rare.hint("shuffle_hash") if _hash_join_fits(rare) else rare
+    held = _key(column).isin(frequent)
+    rows = df.where(~held) if frequent else df
+    found = rows.join(rare, F.col(f"`{column}`") == F.col(text), "left").drop(text)
+    if of_null is not None:
+        found = found.withColumn(output, F.when(F.col(f"`{column}`").isNull(), F.lit(of_null)).otherwise(F.col(output)))
+    if frequent:
+        few = F.broadcast(table.where(n > most).select(F.col("key").alias(key), F.col(value).alias(output)))
+        found = found.unionByName(df.where(held).withColumn(key, _key(column)).join(few, key).drop(key))
+    return found
+
+
 class _Writer(MLWriter):
     def __init__(self, means: ValueMeans):
         super().__init__()
@@ -59,17 +97,15 @@ class _Reader(MLReader):
 
 
 class ValueMeans(Transformer, MLWritable, MLReadable):
-    """Adds ``output``, the mean of the value in ``column``, from ``table`` (key, mean); a stage of a pipeline."""
+    """Adds ``output``, the mean of the value in ``column``, from ``table`` (key, n, mean); a stage of a pipeline."""
 
     def __init__(self, column: str, output: str, prior: float, table: DataFrame):
         super().__init__()
         self.column, self.output, self.prior, self.table = column, output, prior, table
 
     def _transform(self, df: DataFrame) -> DataFrame:
-        key = f"{self.output}_key"
-        means = self.table.select(F.col("key").alias(key), F.col("mean").alias(self.output))
-        joined = df.withColumn(key, _key(self.column)).join(means, key, "left").drop(key)
-        return joined.withColumn(self.output, F.coalesce(self.output, F.lit(self.prior)))
+        found = _looked_up(df, self.column, self.table, "mean", self.output)
+        return found.withColumn(self.output, F.coalesce(self.output, F.lit(self.prior)))
 
     def write(self) -> MLWriter:
         return _Writer(self)
@@ -89,42 +125,63 @@ def _stored(df: DataFrame, spark: SparkSession) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def _known_by_rows(rows: DataFrame, column: str, label: str) -> DataFrame:
+    """What each row knows of earlier days, as ``_n`` rows and their ``_total``: a value's rows are ordered in one task.
+
+    They are ordered by the hash of the value first, so its text mostly need not be compared.
+    """
+    of_value = Window.partitionBy("_hash", F.col(f"`{column}`")).orderBy("_period")
+    earlier = of_value.rangeBetween(Window.unboundedPreceding, -1)
+    n, total = F.count(label).over(earlier), F.coalesce(F.sum(label).over(earlier), F.lit(0))
+    hashed = rows.withColumn("_hash", F.xxhash64(F.col(f"`{column}`")))
+    return hashed.select("*", n.alias("_n"), total.alias("_total")).drop("_hash")
+
+
+def _known_by_sums(rows: DataFrame, column: str, label: str) -> DataFrame:
+    """What :func:`_known_by_rows` gives, from one row a value and day, joined: no task has all rows of a value."""
+    keyed = rows.withColumn("_key", _key(column))
+    sums = keyed.groupBy("_key", "_period").agg(F.count(label).alias("n"), F.sum(label).alias("total"))
+    sums = _stored(sums, rows.sparkSession)
+    earlier = Window.partitionBy("_key").orderBy("_period").rowsBetween(Window.unboundedPreceding, -1)
+    n, total = (F.coalesce(F.sum(c).over(earlier), F.lit(0)) for c in ("n", "total"))
+    return keyed.join(sums.select("_key", "_period", n.alias("_n"), total.alias("_total")), ["_key", "_period"]).drop("_key")
+
+
 def learn_means(
-    training: DataFrame, wide: Sequence[str], label: str, time: str | None
+    training: DataFrame, wide: Sequence[str], label: str, time: str | None, without: Sequence[str] = (), most: int = ROWS_PER_PIECE
 ) -> tuple[DataFrame, list[ValueMeans]]:
     """The training rows with ``output_of(i)`` for each feature of ``wide``, and the stages for all other rows.
 
     ``time`` is a timestamp column; rows of one day do not know of each other, and rows without a time come last.
-    Without ``time``, equal rows are in one fold.
+    Without ``time``, equal rows are in one fold. Every row has a label. Columns of ``without`` are not returned, and
+    values of more than ``most`` rows are not gathered in one task.
     """
     spark = training.sparkSession
     if time:
         period = F.coalesce(F.unix_date(F.to_date(time)), F.lit(NO_DAY))
     else:
         period = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in training.columns]), F.lit(FOLDS)).cast("int")
-    keys = [f"_key_{i}" for i in range(len(wide))]
-    keyed = training.withColumns({"_period": period, **{key: _key(c) for key, c in zip(keys, wide)}})
-
-    each = F.array(*[F.struct(F.lit(i).alias("feature"), F.col(key).alias("key")) for i, key in enumerate(keys)])
-    long = keyed.select(F.col("_period").alias("period"), F.col(label).alias("label"), F.inline(each))
-    sums = long.groupBy("feature", "key", "period").agg(F.count("*").alias("n"), F.sum("label").alias("total"))
-    sums = _stored(sums, spark)
-    prior = sums.where("feature = 0").agg(F.sum("total") / F.sum("n")).first()[0]
-
-    of_value = Window.partitionBy("feature", "key")
-    if time:
-        earlier = of_value.orderBy("period").rowsBetween(Window.unboundedPreceding, -1)
-        total, n = (F.coalesce(F.sum(c).over(earlier), F.lit(0)) for c in ("total", "n"))
-    else:
-        total, n = (F.sum(c).over(of_value) - F.col(c) for c in ("total", "n"))
-    known = sums.withColumn("mean", _mean(total, n, prior))
-    whole = sums.groupBy("feature", "key").agg(_mean(F.sum("total"), F.sum("n"), prior).alias("mean"))
-    whole = _stored(whole, spark)
-
+    rows = training.withColumn("_period", period)
+    parts = [] if time else [F.when(F.col("_period") == i, F.col(label)) for i in range(FOLDS)]
+    parts = [f(part).alias(f"{name}_{i}") for i, part in enumerate(parts) for name, f in (("n", F.count), ("total", F.sum))]
+    whole = [
+        _stored(rows.groupBy(_key(c).alias("key")).agg(F.count("*").alias("n"), F.sum(label).alias("total"), *parts), spark)
+        for c in wide
+    ]
+    prior = whole[0].agg(F.sum("total") / F.sum("n")).first()[0]
     stages = []
-    for i, (column, key) in enumerate(zip(wide, keys)):
-        mine = known.where(F.col("feature") == i)
-        mine = mine.select(F.col("key").alias(key), F.col("period").alias("_period"), F.col("mean").alias(output_of(i)))
-        keyed = keyed.join(mine, [key, "_period"])
-        stages.append(ValueMeans(column, output_of(i), prior, whole.where(F.col("feature") == i).select("key", "mean")))
-    return _stored(keyed.drop("_period", *keys), spark), stages
+    for i, (column, sums) in enumerate(zip(wide, whole)):
+        output, n, total = output_of(i), F.col("n"), F.col("total")
+        if time:
+            frequent = [row["key"] for row in sums.where(n > most).select("key").collect()]
+            held = _key(column).isin(frequent)
+            known = _known_by_rows(rows.where(~held) if frequent else rows, column, label)
+            if frequent:
+                known = known.unionByName(_known_by_sums(rows.where(held), column, label))
+            rows = known.withColumn(output, _mean(F.col("_total"), F.col("_n"), prior)).drop("_total", "_n")
+        else:
+            others = [_mean(total - F.coalesce(f"total_{j}", F.lit(0)), n - F.col(f"n_{j}"), prior) for j in range(FOLDS)]
+            known = _looked_up(rows, column, sums.withColumn("means", F.array(*others)), "means", output, most)
+            rows = known.withColumn(output, F.get(output, "_period"))
+        stages.append(ValueMeans(column, output, prior, sums.select("key", "n", _mean(total, n, prior).alias("mean"))))
+    return _stored(rows.drop("_period", *without), spark), stages
